@@ -46,4 +46,4 @@ def keyword_tokens_sql(text: str, stop_words: list[str] | None = None) -> str:
     """DuckDB form: list of keyword tokens of ``text``."""
     stops = UNIQUE_STOP_WORDS if stop_words is None else sorted(set(stop_words))
     return (f"list_filter(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}_]+'), "
-            f"w -> regexp_full_match(w, '[a-z]{{3,}}') AND w NOT IN ({sql_list(stops)}))")
+            f"lambda w: regexp_full_match(w, '[a-z]{{3,}}') AND w NOT IN ({sql_list(stops)}))")

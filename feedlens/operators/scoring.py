@@ -63,13 +63,17 @@ def argmax_label(all_scores: Column) -> Column:
     return F.sort_array(keyed)[0]["label"]
 
 
+def _member_of(ws: list[str]):
+    return lambda w: w.isin(ws)
+
+
 def lexicon_scores(text: Column, max_chars: int | None = None) -> Column:
     """Map label -> probability from lexicon hits plus the prior (whole text unless capped)."""
     t = F.coalesce(text, F.lit(""))
     if max_chars:
         t = F.substring(t, 1, max_chars)
     toks = words(t)
-    hits = {lab: (F.size(F.filter(toks, lambda w, ws=ws: w.isin(ws))) if ws else F.lit(0))
+    hits = {lab: (F.size(F.filter(toks, _member_of(ws))) if ws else F.lit(0))
             for lab, ws in LEXICON.items()}
     total = sum(hits.values(), F.lit(0)) + F.lit(PRIOR_TOTAL)
     return F.map_from_arrays(
@@ -95,7 +99,7 @@ def lexicon_scorer_sql(text: str, max_chars: int | None = None) -> tuple[str, st
     if max_chars:
         t = f"substr({t}, 1, {max_chars})"
     toks = f"regexp_split_to_array(lower({t}), '[^\\p{{L}}\\p{{N}}_]+')"
-    hits = {lab: (f"len(list_filter({toks}, w -> w IN ({sql_list(ws)})))" if ws else "0")
+    hits = {lab: (f"len(list_filter({toks}, lambda w: w IN ({sql_list(ws)})))" if ws else "0")
             for lab, ws in LEXICON.items()}
     total = "(" + " + ".join(hits[lab] for lab in EMOTIONS) + f" + {PRIOR_TOTAL!r})"
     s = {lab: f"(({hits[lab]}) + {PRIOR[lab]!r}) / {total}" for lab in EMOTIONS}
