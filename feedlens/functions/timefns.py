@@ -11,7 +11,10 @@ import datetime as _dt
 
 from pyspark.sql import Column, functions as F
 
-EPOCH_NTZ = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
+def _epoch() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 GROUP_BY_UNITS = ("hour", "day", "week")
 
 
@@ -37,16 +40,16 @@ def ntz_sql(value) -> str:
 
 def instant_to_ntz(ts: Column | str) -> Column:
     """UTC wall clock of an instant (TIMESTAMP) as TIMESTAMP_NTZ."""
-    return F.timestamp_add("MICROSECOND", F.unix_micros(_col(ts)), EPOCH_NTZ)
+    return F.timestamp_add("MICROSECOND", F.unix_micros(_col(ts)), _epoch())
 
 
 def ntz_to_instant(ts: Column | str) -> Column:
     """The instant whose UTC wall clock is the given TIMESTAMP_NTZ."""
-    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", EPOCH_NTZ, _col(ts)))
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", _epoch(), _col(ts)))
 
 
 def epoch_seconds_to_ntz(secs: Column) -> Column:
-    return F.timestamp_add("MICROSECOND", (secs * F.lit(1_000_000)).cast("long"), EPOCH_NTZ)
+    return F.timestamp_add("MICROSECOND", (secs * F.lit(1_000_000)).cast("long"), _epoch())
 
 
 def parse_event_time(raw: Column | str, fallback=None) -> Column:
