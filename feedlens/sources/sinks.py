@@ -44,3 +44,40 @@ def ingest_report(raw: DataFrame, valid: DataFrame) -> DataFrame:
 def rejects(raw: DataFrame, valid_predicate) -> DataFrame:
     """Rows failing validation, kept as a quarantine DataFrame instead of being printed."""
     return raw.where(~valid_predicate)
+
+
+# ---- writers for the reference's exchange formats ----------------------------------------------
+CSV_WRITE_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "quoteAll": "true",
+                     "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+ENVELOPE_SIZE = 100
+
+
+def write_reviews_csv(reviews: DataFrame, path: str) -> None:
+    """Review rows as header CSV with every field quoted ("" escapes), one file per task."""
+    reviews.write.mode("overwrite").options(**CSV_WRITE_OPTIONS).csv(path)
+
+
+def _chunk_key(reviews: DataFrame, size: int):
+    """Bounded groups of at most ``size`` reviews (numeric ids; hashed ids spread otherwise)."""
+    rid = F.coalesce(F.col("Id").try_cast("long"), F.abs(F.xxhash64("Id")))
+    return F.floor(rid / F.lit(size))
+
+
+def write_review_envelopes(reviews: DataFrame, path: str, size: int = ENVELOPE_SIZE,
+                           include_top_comments: bool = True, top_comments_per_category: int = 10) -> None:
+    """S3 format: JSON lines, each an envelope ``{"reviews": [...], flags}`` of at most ``size``
+    reviews (groups are bounded, so no task ever holds an unbounded list)."""
+    env = (reviews.groupBy(_chunk_key(reviews, size).alias("_chunk"))
+                  .agg(F.collect_list(F.struct(*reviews.columns)).alias("reviews"))
+                  .select("reviews", F.lit(True).alias("group_by_product"),
+                          F.lit(include_top_comments).alias("include_top_comments"),
+                          F.lit(top_comments_per_category).alias("top_comments_per_category")))
+    env.write.mode("overwrite").json(path)
+
+
+def write_review_arrays(reviews: DataFrame, path: str, size: int = ENVELOPE_SIZE) -> None:
+    """S4 format: files each holding one bare JSON array of at most ``size`` reviews."""
+    arr = (reviews.groupBy(_chunk_key(reviews, size).alias("chunk"))
+                  .agg(F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(F.struct(*reviews.columns))),
+                                                         ","), F.lit("]")).alias("value")))
+    (arr.repartition("chunk").write.mode("overwrite").partitionBy("chunk").text(path))
