@@ -43,9 +43,19 @@ def instant_to_ntz(ts: Column | str) -> Column:
     return F.timestamp_add("MICROSECOND", F.unix_micros(_col(ts)), _epoch())
 
 
+def ntz_micros(ts: Column | str) -> Column:
+    """Microseconds since 1970-01-01 00:00 of an NTZ wall clock, from its date/time fields (no
+    detour through the session time zone)."""
+    c = _col(ts)
+    days = F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date")).cast("long")
+    secs = F.extract(F.lit("SECOND"), c)                      # seconds with micro fraction
+    return (days * F.lit(86_400_000_000) + F.hour(c).cast("long") * F.lit(3_600_000_000)
+            + F.minute(c).cast("long") * F.lit(60_000_000) + (secs * F.lit(1_000_000)).cast("long"))
+
+
 def ntz_to_instant(ts: Column | str) -> Column:
     """The instant whose UTC wall clock is the given TIMESTAMP_NTZ."""
-    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", _epoch(), _col(ts)))
+    return F.timestamp_micros(ntz_micros(ts))
 
 
 def epoch_seconds_to_ntz(secs: Column) -> Column:
@@ -92,7 +102,7 @@ def bucket_sql(ts: str, unit: str) -> str:
 
 def whole_days_between(earlier: Column | str, later: Column | str) -> Column:
     """Floor of the day difference (Python ``timedelta.days``), negative for future rows."""
-    micros = F.timestamp_diff("MICROSECOND", _col(earlier), _col(later))
+    micros = ntz_micros(later) - ntz_micros(earlier)
     return F.floor(micros / F.lit(86_400_000_000.0)).cast("long")
 
 
