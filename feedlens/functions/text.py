@@ -28,6 +28,16 @@ MIN_JOINED_CHARS = 50
 # anything else and keeping whole tokens that match KEYWORD_PATTERN equals ``\b[a-z]{3,}\b``.
 NON_WORD_SPLIT = "[^\\p{L}\\p{N}_]+"
 UNIQUE_STOP_WORDS = sorted(set(STOP_WORDS))
+# The same whole-token rule as one scan: a run of [a-z]{3,} not touching another word character.
+_WORD_CHAR = "[\\p{L}\\p{N}_]"
+KEYWORD_TOKEN_REGEX = f"(?<!{_WORD_CHAR})[a-z]{{3,}}(?!{_WORD_CHAR})"
+
+
+def whole_word_regex(words_: list[str]) -> str:
+    """Regex matching any of ``words_`` as a whole token (for counting lexicon hits in one scan)."""
+    import re
+    alt = "|".join(re.escape(w) for w in sorted(set(words_), key=lambda w: (-len(w), w)))
+    return f"(?<!{_WORD_CHAR})(?:{alt})(?!{_WORD_CHAR})"
 
 
 def words(text: Column | str) -> Column:
@@ -36,10 +46,20 @@ def words(text: Column | str) -> Column:
     return F.split(F.lower(c), NON_WORD_SPLIT)
 
 
+def candidate_keywords(text: Column | str) -> Column:
+    """Array of whole tokens of three or more ASCII letters, in text order (one regex scan,
+    codegen'd; short, accented and digit-bearing tokens never leave the scan)."""
+    c = F.col(text) if isinstance(text, str) else text
+    return F.regexp_extract_all(F.lower(c), F.lit(KEYWORD_TOKEN_REGEX), 0)
+
+
 def keyword_tokens(text: Column | str, stop_words: list[str] | None = None) -> Column:
-    """Array of keyword tokens in text order: pruned inside the array, before any explode."""
+    """Array of keyword tokens (stop words removed) — the per-row form of W2's tokenizer.
+
+    Operators that explode the tokens apply the stop-word test after ``explode`` instead, where it
+    is a codegen'd hash-set filter rather than an interpreted lambda."""
     stops = UNIQUE_STOP_WORDS if stop_words is None else sorted(set(stop_words))
-    return F.filter(words(text), lambda w: w.rlike(KEYWORD_PATTERN) & ~w.isin(stops))
+    return F.filter(candidate_keywords(text), lambda w: ~w.isin(stops))
 
 
 def keyword_tokens_sql(text: str, stop_words: list[str] | None = None) -> str:

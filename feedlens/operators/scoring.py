@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.labels import EMOTIONS
 from ..functions.text import NON_WORD_SPLIT, words
+from ..session import spread_small
 
 # ---- fixed values of this library's lexicon scorer (own stand-in; not from the reference) -----
 LEXICON = {
@@ -67,24 +68,35 @@ def _member_of(ws: list[str]):
     return lambda w: w.isin(ws)
 
 
-def lexicon_scores(text: Column, max_chars: int | None = None) -> Column:
-    """Map label -> probability from lexicon hits plus the prior (whole text unless capped)."""
+def lexicon_hits(text: Column, max_chars: int | None = None) -> Column:
+    """Tokens of the lower-cased text (whole unless capped) that are lexicon words, in order."""
     t = F.coalesce(text, F.lit(""))
     if max_chars:
         t = F.substring(t, 1, max_chars)
-    toks = words(t)
-    hits = {lab: (F.size(F.filter(toks, _member_of(ws))) if ws else F.lit(0))
-            for lab, ws in LEXICON.items()}
-    total = sum(hits.values(), F.lit(0)) + F.lit(PRIOR_TOTAL)
+    all_words = sorted({w for ws in LEXICON.values() for w in ws})
+    return F.filter(words(t), _member_of(all_words))
+
+
+def lexicon_scores(hits: Column) -> Column:
+    """Map label -> probability from the lexicon hits of one text plus the prior."""
+    per_label = {lab: (F.size(F.filter(hits, _member_of(ws))) if ws else F.lit(0))
+                 for lab, ws in LEXICON.items()}
+    total = F.size(hits) + F.lit(PRIOR_TOTAL)
     return F.map_from_arrays(
         F.array(*[F.lit(lab) for lab in EMOTIONS]),
-        F.array(*[(hits[lab] + F.lit(PRIOR[lab])) / total for lab in EMOTIONS]))
+        F.array(*[(per_label[lab] + F.lit(PRIOR[lab])) / total for lab in EMOTIONS]))
 
 
 def lexicon_scorer(df: DataFrame, text_col: str = "text", max_chars: int | None = None,
                    keep_scores: bool = False) -> DataFrame:
-    """Native lexicon scoring; adds sentiment_label, confidence_score (and all_scores)."""
-    out = df.withColumn("all_scores", lexicon_scores(F.col(text_col), max_chars))
+    """Native lexicon scoring; adds sentiment_label, confidence_score (and all_scores).
+
+    The text is split once and pruned to lexicon words in one pass (its own projection, so the
+    split is never repeated); per-label counts then run over that short hit list.  Small inputs
+    are spread over all cores first (see ``spread_small``).
+    """
+    out = spread_small(df).withColumn("_hits", lexicon_hits(F.col(text_col), max_chars))
+    out = out.withColumn("all_scores", lexicon_scores(F.col("_hits"))).drop("_hits")
     out = out.withColumns({
         "sentiment_label": argmax_label(F.col("all_scores")),
         "confidence_score": F.array_max(F.map_values(F.col("all_scores"))),

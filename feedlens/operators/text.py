@@ -14,8 +14,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.labels import POLARITIES, polarity
-from ..functions.text import MIN_JOINED_CHARS, keyword_tokens
+from ..functions.text import MIN_JOINED_CHARS, UNIQUE_STOP_WORDS, candidate_keywords
 from ..functions.timefns import ntz, whole_days_between
+from ..session import spread_small
 
 # ---- fixed values (must equal the reference) -------------------------------------------------
 # Ranking weights of a comment: confidence, helpfulness, recency, text length.
@@ -80,14 +81,15 @@ def top_comment_lists(df: DataFrame, top_n: int = 10, as_of=None) -> DataFrame:
 
 def keyword_counts(df: DataFrame, scheme: str = "m1s") -> DataFrame:
     """W2 step 1: (product, polarity, word, count) for groups passing the 50-character rule."""
-    base = (df.select("product", polarity("sentiment_label", scheme).alias("polarity"),
+    base = (spread_small(df).select("product", polarity("sentiment_label", scheme).alias("polarity"),
                       F.coalesce(F.col("text"), F.lit("")).alias("text"))
               .where(F.col("polarity").isNotNull()))
     eligible = (base.groupBy("product", "polarity")
                     .agg((F.sum(F.length("text")) + F.count(F.lit(1)) - 1).alias("joined_chars"))
                     .where(F.col("joined_chars") >= MIN_JOINED_CHARS)
                     .select("product", "polarity"))
-    counts = (base.select("product", "polarity", F.explode(keyword_tokens(F.col("text"))).alias("word"))
+    counts = (base.select("product", "polarity", F.explode(candidate_keywords(F.col("text"))).alias("word"))
+                  .where(~F.col("word").isin(UNIQUE_STOP_WORDS))
                   .groupBy("product", "polarity", "word").agg(F.count(F.lit(1)).alias("count")))
     return counts.join(eligible, ["product", "polarity"], "left_semi")
 

@@ -66,3 +66,31 @@ def local_path(path: str) -> str | None:
     if "://" in path:
         return None
     return path if os.path.isabs(path) else None
+
+
+SPREAD_MAX_BYTES = 1 << 30
+
+
+def estimated_bytes(df) -> int | None:
+    """Catalyst's size estimate of a plan (file sizes after pruning); no job is run."""
+    try:
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return int(size) if isinstance(size, int) else int(size.toString())
+    except Exception:  # noqa: BLE001 - e.g. Spark Connect: no estimate available
+        return None
+
+
+def spread_small(df, max_bytes: int = SPREAD_MAX_BYTES):
+    """Round-robin a *small* input over all cores before CPU-heavy per-row work.
+
+    A file with one row group is read by one task, so tokenizing it would run on one core.  For
+    inputs under ``max_bytes`` (estimated from the plan) one cheap shuffle buys full parallelism;
+    large inputs already arrive in many splits and are returned unchanged (no extra shuffle).
+    """
+    if df.isStreaming:
+        return df
+    size = estimated_bytes(df)
+    if size is None or size > max_bytes:
+        return df
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n)
