@@ -228,3 +228,14 @@ FROM feedback_events WHERE event_ts BETWEEN TIMESTAMP '{EV_AS_OF}' - INTERVAL 30
 GROUP BY 1, 2, 3"""))
 def r7(spark, sf):
     return R.dashboard(feedback_events(spark, sf), EV_AS_OF)["recent_trends"]
+
+
+@register("A20_A21_alert_base", with_views(f"""
+SELECT product, CAST(count(*) AS BIGINT) AS total, CAST(count_if({M1} = 'negative') AS BIGINT) AS negative_count,
+  avg(confidence_score) AS avg_confidence, min(confidence_score) AS min_confidence,
+  CAST(count_if(event_ts >= TIMESTAMP '{EV_AS_OF}' - INTERVAL 7 DAY) AS BIGINT) AS recent_total,
+  CAST(count_if(event_ts >= TIMESTAMP '{EV_AS_OF}' - INTERVAL 7 DAY AND {M1} = 'negative') AS BIGINT)
+    AS recent_negative
+FROM feedback_events WHERE product IS NOT NULL AND product <> '' GROUP BY product"""))
+def a20(spark, sf):
+    return R.alert_base(feedback_events(spark, sf), EV_AS_OF, 7)
