@@ -95,7 +95,7 @@ def f12(spark, sf):
 
 
 @register("F13_nonzero_labels", with_views("""
-SELECT label, n AS count FROM (SELECT 'joy' AS label, count_if(sentiment_label = 'joy') AS n FROM feedback_events
+SELECT label, CAST(n AS BIGINT) AS count FROM (SELECT 'joy' AS label, count_if(sentiment_label = 'joy') AS n FROM feedback_events
   UNION ALL SELECT 'sadness', count_if(sentiment_label = 'sadness') FROM feedback_events
   UNION ALL SELECT 'anger', count_if(sentiment_label = 'anger') FROM feedback_events) x WHERE n > 0"""))
 def f13(spark, sf):

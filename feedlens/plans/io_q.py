@@ -66,7 +66,7 @@ def s4(spark, sf):
 
 
 @register("S5_feedback_csv_roundtrip", with_views("""
-SELECT length(text) AS text_length, product, event_ts, team FROM feedback_docs"""))
+SELECT CAST(length(text) AS INTEGER) AS text_length, product, event_ts, team FROM feedback_docs"""))
 def s5(spark, sf):
     d = feedback_docs(spark, sf, with_rating=False)
     out = d.select("text", "product",

@@ -16,7 +16,7 @@ AS_OF = "2024-06-01 00:00:00"
 _RV = ("rv", REVIEW_ROWS_SQL)
 
 _P1_SQL = with_views(f"""
-SELECT TRY_CAST(Id AS BIGINT) AS id, length(Text) AS text_length,
+SELECT TRY_CAST(Id AS BIGINT) AS id, CAST(length(Text) AS INTEGER) AS text_length,
   coalesce(
     CASE WHEN regexp_full_match(trim(Time), '[+-]?[0-9]+(\\.[0-9]*)?')
            THEN make_timestamp(CAST(CAST(trim(Time) AS DOUBLE) * 1000000 AS BIGINT))
