@@ -42,7 +42,8 @@ def main() -> None:
                       extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")})
     qs = all_queries()
     timings: dict[str, float] = {}
-    for name in HEADLINE:
+    only = [x for x in os.environ.get("BENCH_QUERIES", "").split(",") if x]
+    for name in (only or HEADLINE):
         build = qs[name]
 
         def run() -> float:

@@ -133,6 +133,8 @@ def product_summary(df: DataFrame, top_n: int = 10, as_of=None) -> DataFrame:
     empty = F.array().cast("array<string>")
     for p in ("positive", "negative", "neutral"):
         out = out.withColumn(f"{p}_keywords", F.coalesce(F.col(f"{p}_keywords"), empty))
+        c = f"top_{p}_comments"
+        out = out.withColumn(c, F.coalesce(F.col(c), F.array().cast(tc.schema[c].dataType)))
     meta_cols = set(df.columns)
     if "metadata" in meta_cols:
         names = modal_value(

@@ -144,13 +144,22 @@ def by_team_m2(df: DataFrame) -> DataFrame:
     return df.where(F.col("team").isNotNull() & (F.col("team") != "")).groupBy("team").agg(*_m2_counts())
 
 
-def _suggestion(rule, fired_from: DataFrame, subject: Column | None, ratio_col: Column,
-                points: Column, order: int) -> DataFrame:
+def suggestion_groups(df: DataFrame) -> DataFrame:
+    """A12–A14 in one pass: M2 counts for all rows, per product and per customer type as grouping
+    sets of a single aggregate (``level`` = overall / product / team)."""
+    g = df.groupingSets([[], ["product"], ["team"]], "product", "team").agg(
+        *_m2_counts(), F.grouping_id().alias("_gid"))
+    level = F.when(F.col("_gid") == 3, "overall").when(F.col("_gid") == 1, "product").otherwise("team")
+    return g.withColumn("level", level).drop("_gid")
+
+
+def _candidate(fire: Column, rule, subject: Column | None, ratio_col: Column, points: Column,
+               order: int) -> Column:
     category, priority, title, text, actions = rule
     subj = subject if subject is not None else F.lit("")
     vals = {"subject": subj, "ratio": py_percent_text(ratio_col)}
-    return fired_from.select(
-        F.lit(category).alias("category"), F.lit(priority).alias("priority"),
+    return F.struct(
+        fire.alias("fire"), F.lit(category).alias("category"), F.lit(priority).alias("priority"),
         render(title, **vals).alias("title"), render(text, **vals).alias("description"),
         points.cast("long").alias("data_points"),
         F.array(*[render(a, **vals) for a in actions]).alias("action_items"),
@@ -162,34 +171,29 @@ def suggestions(df: DataFrame, sentiment: str | None = None, customer_type: str
                 product: str | None = None, max_rows: int | None = 1000) -> DataFrame:
     """R2: rule-based suggestions over the filtered (F8), newest ``max_rows`` rows.
 
-    Overall, per-product and per-customer-type rules are unioned (U4); the default
-    "Continue Monitoring" row appears only when no rule fired (an EXISTS subquery, no collect).
-    Ordered by priority, then rule, then subject.
+    One grouping-sets aggregate yields the overall, per-product and per-customer-type rows; every
+    rule is a candidate struct on its row and the fired ones are emitted with ``inline`` (U4 without
+    re-scanning).  The default "Continue Monitoring" row appears only when no rule fired (an EXISTS
+    subquery, no collect).  Ordered by priority, then rule, then subject.
     """
     d = newest(filters.with_all_sentinel(df, sentiment, customer_type, product), max_rows)
-    o = overall_m2(d)
-    parts = [
-        _suggestion(SUGGEST_QUALITY, o.where(F.col("negative_ratio") > OVERALL_NEG), None,
-                    F.col("negative_ratio"), F.col("negative"), 1),
-        _suggestion(SUGGEST_MARKETING, o.where(F.col("positive_ratio") > OVERALL_POS), None,
-                    F.col("positive_ratio"), F.col("positive"), 2),
-    ]
-    p = by_product_m2(d).where(F.col("total") >= PRODUCT_MIN).withColumns({
-        "nr": F.col("negative") / F.col("total"), "pr": F.col("positive") / F.col("total")})
-    subj = F.coalesce(F.col("product"), F.lit("None"))
-    parts.append(_suggestion(SUGGEST_PRODUCT_FIX, p.where(F.col("nr") > PRODUCT_NEG), subj,
-                             F.col("nr"), F.col("negative"), 3))
-    parts.append(_suggestion(SUGGEST_PRODUCT_PROMOTE,
-                             p.where(~(F.col("nr") > PRODUCT_NEG) & (F.col("pr") > PRODUCT_POS)), subj,
-                             F.col("pr"), F.col("positive"), 4))
-    t = by_team_m2(d).where(F.col("total") >= TEAM_MIN).withColumn("nr", F.col("negative") / F.col("total"))
-    parts.append(_suggestion(SUGGEST_RETENTION, t.where(F.col("nr") > TEAM_NEG), F.col("team"),
-                             F.col("nr"), F.col("negative"), 5))
-    fired = parts[0]
-    for x in parts[1:]:
-        fired = fired.unionByName(x)
-    default = _suggestion(SUGGEST_DEFAULT, o.where(~fired.exists()), None, F.lit(0.0),
-                          F.col("total"), 6)
+    g = suggestion_groups(d)
+    lvl, tot = F.col("level"), F.col("total")
+    nr, pr = ratio(F.col("negative"), tot), ratio(F.col("positive"), tot)
+    prod_subj = F.coalesce(F.col("product"), F.lit("None"))
+    is_prod = (lvl == "product") & (tot >= PRODUCT_MIN)
+    is_team = (lvl == "team") & F.col("team").isNotNull() & (F.col("team") != "") & (tot >= TEAM_MIN)
+    cands = F.array(
+        _candidate((lvl == "overall") & (nr > OVERALL_NEG), SUGGEST_QUALITY, None, nr, F.col("negative"), 1),
+        _candidate((lvl == "overall") & (pr > OVERALL_POS), SUGGEST_MARKETING, None, pr, F.col("positive"), 2),
+        _candidate(is_prod & (nr > PRODUCT_NEG), SUGGEST_PRODUCT_FIX, prod_subj, nr, F.col("negative"), 3),
+        _candidate(is_prod & ~(nr > PRODUCT_NEG) & (pr > PRODUCT_POS), SUGGEST_PRODUCT_PROMOTE, prod_subj,
+                   pr, F.col("positive"), 4),
+        _candidate(is_team & (nr > TEAM_NEG), SUGGEST_RETENTION, F.col("team"), nr, F.col("negative"), 5))
+    fired = g.select(F.inline(F.filter(cands, lambda c: c["fire"]))).drop("fire")
+    overall = g.where(lvl == "overall")
+    default = overall.where(~fired.exists()).select(F.inline(F.array(
+        _candidate(F.lit(True), SUGGEST_DEFAULT, None, F.lit(0.0), tot, 6)))).drop("fire")
     return fired.unionByName(default).orderBy(F.col("priority_rank").desc(), "rule_order", "subject")
 
 

@@ -67,7 +67,7 @@ def w2(spark, sf):
         .select("product", "polarity", "word", "count", "rank")
 
 
-_THEMES_SQL = with_views("""
+_THEMES_BODY = """
 SELECT p.product AS product_id,
   coalesce(CASE WHEN t.themes IS NOT NULL THEN 'Key themes: ' || t.themes END,
            'No key themes detected.') AS product_description
@@ -76,7 +76,8 @@ FROM (SELECT DISTINCT product FROM feedback_docs) p LEFT JOIN (
     SELECT product, word, k, row_number() OVER (PARTITION BY product ORDER BY k) AS n FROM (
       SELECT product, word, min(CASE polarity WHEN 'positive' THEN rank ELSE 100 + rank END) AS k
       FROM kt WHERE polarity IN ('positive', 'negative') GROUP BY 1, 2) a) b
-  WHERE n <= 5 GROUP BY product) t ON p.product = t.product""", *_kw_ctes())
+  WHERE n <= 5 GROUP BY product) t ON p.product = t.product"""
+_THEMES_SQL = with_views(_THEMES_BODY, *_kw_ctes())
 
 
 @register("R6_product_description", _THEMES_SQL)
@@ -142,7 +143,15 @@ def u12(spark, sf):
     return C.keyword_set_rows(C.compare_products(C.comparable_summary(df, list(PAIR)), *PAIR))
 
 
-@register("J5_product_summary")
+@register("J5_product_summary", with_views(f"""
+SELECT s.product_id, s.total_reviews, s.positive_percentage, s.negative_percentage, s.neutral_percentage,
+  s.avg_confidence, th.product_description, coalesce(pk.kw, '') AS positive_keywords,
+  CAST(least(10, coalesce(nn.n, 0)) AS INTEGER) AS n_top_negative
+FROM s LEFT JOIN th ON th.product_id = s.product_id
+LEFT JOIN (SELECT product, string_agg(word, ',' ORDER BY rank) AS kw FROM kt WHERE polarity = 'positive'
+           GROUP BY product) pk ON pk.product = s.product_id
+LEFT JOIN (SELECT product, count(*) AS n FROM feedback_docs WHERE {POL} = 'negative' GROUP BY product) nn
+  ON nn.product = s.product_id""", *_kw_ctes(), ("th", _THEMES_BODY), ("s", _summary_sql("TRUE"))))
 def j5(spark, sf):
     df = feedback_docs(spark, sf, with_rating=False)
     s = P.product_summary(df, 10, AS_OF)
