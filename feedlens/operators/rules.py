@@ -191,7 +191,8 @@ def suggestions(df: DataFrame, sentiment: str | None = None, customer_type: str
                    pr, F.col("positive"), 4),
         _candidate(is_team & (nr > TEAM_NEG), SUGGEST_RETENTION, F.col("team"), nr, F.col("negative"), 5))
     fired = g.select(F.inline(F.filter(cands, lambda c: c["fire"]))).drop("fire")
-    overall = g.where(lvl == "overall")
+    # A global aggregate always yields one row (grouping sets yield none on empty input).
+    overall = d.agg(F.count(F.lit(1)).alias("total"))
     default = overall.where(~fired.exists()).select(F.inline(F.array(
         _candidate(F.lit(True), SUGGEST_DEFAULT, None, F.lit(0.0), tot, 6)))).drop("fire")
     return fired.unionByName(default).orderBy(F.col("priority_rank").desc(), "rule_order", "subject")
