@@ -47,7 +47,7 @@ def products_page(df: DataFrame, limit: int = 100, offset: int = 0, min_reviews:
     The page is a top-(offset+limit) sort (TakeOrderedAndProject); the total is a scalar subquery.
     """
     roll = product_rollup(df, min_reviews, scheme)
-    total = qualifying_products(df, min_reviews).scalar()
+    total = roll.agg(F.count(F.lit(1))).scalar()        # same aggregate: its exchange is reused
     page = roll.orderBy(F.col("total_reviews").desc(), F.col("product_id").asc())
     if offset:
         page = page.offset(offset)

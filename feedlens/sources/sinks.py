@@ -17,15 +17,20 @@ def _with_date(df: DataFrame) -> DataFrame:
              .withColumn("event_date", F.to_date("event_ts"))
 
 
+def _rebalanced(df: DataFrame) -> DataFrame:
+    """Cluster rows by date for few files per partition directory, while letting AQE split a hot
+    date over several writer tasks (a plain ``repartition(date)`` would give it one task)."""
+    return _with_date(df).hint("rebalance", "event_date")
+
+
 def write_results(df: DataFrame, path: str, mode: str = "append") -> None:
     """Append scored rows to the fact table (``mode='overwrite'`` is S7)."""
-    (_with_date(df).repartition("event_date").write.mode(mode)
-        .partitionBy("event_date").parquet(path))
+    _rebalanced(df).write.mode(mode).partitionBy("event_date").parquet(path)
 
 
 def overwrite_results(df: DataFrame, path: str, dynamic: bool = False) -> None:
     """Truncate-and-reload; ``dynamic=True`` replaces only the dates present in ``df``."""
-    w = _with_date(df).repartition("event_date").write.mode("overwrite").partitionBy("event_date")
+    w = _rebalanced(df).write.mode("overwrite").partitionBy("event_date")
     if dynamic:
         w = w.option("partitionOverwriteMode", "dynamic")
     w.parquet(path)
