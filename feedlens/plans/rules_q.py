@@ -239,3 +239,36 @@ SELECT product, CAST(count(*) AS BIGINT) AS total, CAST(count_if({M1} = 'negativ
 FROM feedback_events WHERE product IS NOT NULL AND product <> '' GROUP BY product"""))
 def a20(spark, sf):
     return R.alert_base(feedback_events(spark, sf), EV_AS_OF, 7)
+
+
+@register("W5_top5_negative_ratio", with_views(f"""
+SELECT product_id, negative_percentage / 100 AS ratio, total_reviews FROM (
+  {_rollup_select(_rollup_sql('feedback_events', 3))}) r
+ORDER BY negative_percentage / 100 DESC, total_reviews DESC, product_id LIMIT 5"""))
+def w5(spark, sf):
+    from ..operators.products import product_rollup
+    r = product_rollup(feedback_events(spark, sf), min_reviews=3)
+    return (r.select("product_id", (F.col("negative_percentage") / 100).alias("ratio"), "total_reviews")
+             .orderBy(F.col("ratio").desc(), F.col("total_reviews").desc(), "product_id").limit(5))
+
+
+@register("W7_ordered_series", with_views(f"""
+SELECT time, sum(total) AS total FROM (SELECT CAST(date_trunc('day', event_ts) AS TIMESTAMP) AS time,
+  CAST(count(*) AS BIGINT) AS total FROM feedback_events GROUP BY 1) s GROUP BY time ORDER BY time"""
+    .replace("sum(total) AS total", "CAST(sum(total) AS BIGINT) AS total")))
+def w7(spark, sf):
+    from ..operators.timeseries import sentiment_timeseries, trend
+    return trend(sentiment_timeseries(feedback_events(spark, sf), None, None, "day")) \
+        .select(F.col("day").alias("time"), "total")
+
+
+SPIKE_AS_OF = "2024-02-10 00:00:00"      # a two-day window late in the documents' time range
+
+
+@register("J4_spikes_without_critical", with_views(
+    "SELECT product, title, description, metric FROM al WHERE title LIKE 'Escalation Spike:%'",
+    ("al", _alerts_sql("feedback_docs", SPIKE_AS_OF, 40.0, 2))))
+def j4(spark, sf):
+    a = R.alerts(feedback_docs(spark, sf, with_rating=False), 40.0, 2, as_of=SPIKE_AS_OF)
+    return a.where(F.col("title").startswith("Escalation Spike:")).select("product", "title", "description",
+                                                                        "metric")

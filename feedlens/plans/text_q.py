@@ -159,3 +159,16 @@ def j5(spark, sf):
                     "neutral_percentage", "avg_confidence", "product_description",
                     F.array_join("positive_keywords", ",").alias("positive_keywords"),
                     F.size("top_negative_comments").alias("n_top_negative"))
+
+
+@register("U3_key_themes", with_views("""
+SELECT product, CAST(n AS INTEGER) AS position, word FROM (
+  SELECT product, word, row_number() OVER (PARTITION BY product ORDER BY k) AS n FROM (
+    SELECT product, word, min(CASE polarity WHEN 'positive' THEN rank ELSE 100 + rank END) AS k
+    FROM kt WHERE polarity IN ('positive', 'negative') GROUP BY 1, 2) a) b WHERE n <= 5""", *_kw_ctes()))
+def u3(spark, sf):
+    kw = TX.keyword_lists(feedback_docs(spark, sf, with_rating=False), 10)
+    empty = F.array().cast("array<string>")
+    themes = P.key_themes(F.coalesce("positive_keywords", empty), F.coalesce("negative_keywords", empty))
+    return kw.select("product", F.posexplode(themes).alias("pos", "word")) \
+             .select("product", (F.col("pos") + 1).alias("position"), "word")
