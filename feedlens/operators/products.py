@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.labels import count_polarity, polarity
+from ..functions.labels import count_polarity
 from ..functions.numeric import pct
 from . import filters
 

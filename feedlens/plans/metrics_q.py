@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.labels import CLASSES, sql_list, three_class_sql
+from ..functions.labels import CLASSES, three_class_sql
 from ..operators import metrics as M
 from ..sources.fixtures import feedback_docs
 from .oracle import with_views
@@ -28,7 +28,6 @@ _PCR = ("pcr", """SELECT class, round_even(p * 100, 1) AS precision, round_even(
   round_even(CASE WHEN p + r > 0 THEN 2.0e0 * p * r / (p + r) ELSE 0.0e0 END * 100, 1) AS f1_score,
   CAST(support AS BIGINT) AS support FROM pc""")
 
-_ = sql_list
 
 
 @register("A15_confusion_matrix", with_views("SELECT actual, predicted, count FROM cm",

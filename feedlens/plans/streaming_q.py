@@ -3,7 +3,6 @@ compared with the batch SQL of what a closed-window stream must have emitted."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from ..functions.labels import polarity_sql
 from ..functions.numeric import pct_sql

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from ..functions.labels import EMOTIONS, polarity_sql
 from ..functions.timefns import bucket_sql

@@ -192,3 +192,13 @@ def test_profile_and_filters(facts):
 def test_timeseries_counts(facts):
     s = TS.sentiment_timeseries(facts, None, None, "day").collect()
     assert sum(x.total for x in s) == 8 and all(x.positive + x.neutral + x.negative == x.total for x in s)
+
+
+def test_api_surface(spark, reviews):
+    from feedlens import api
+    facts = api.score(api.normalize(reviews, AS_OF), "lexicon")
+    assert api.products(facts, limit=2).count() == 2
+    assert api.statistics(facts).first().total_analyses == 8
+    c = api.compare_products(facts, "B001234567", "B007654321").first()
+    assert c.product_1 == "B001234567"
+    assert api.alerts(facts, as_of=AS_OF).count() >= 0
