@@ -33,7 +33,7 @@ def _rollup_select(inner: str) -> str:
   avg_confidence, first_review, last_review FROM ({inner}) r"""
 
 
-@register("A3_product_rollup", with_views(_rollup_select(_rollup_sql("feedback_events", 1))))
+@register("A3_product_rollup", with_views(_rollup_select(_rollup_sql("feedback_events", 1))), stable=('avg_confidence',))
 def a3(spark, sf):
     return P.product_rollup(feedback_events(spark, sf))
 
@@ -42,7 +42,7 @@ def a3(spark, sf):
           with_views(_rollup_select(_rollup_sql(
               "(SELECT *, CASE WHEN score >= 4 THEN 'positive' WHEN score <= 2 THEN 'negative' "
               "ELSE 'neutral' END AS sentiment_label, 0.5e0 AS confidence_score FROM feedback_orders)",
-              1))))
+              1))), stable=('avg_confidence',))
 def a3_orders(spark, sf):
     from ..operators.scoring import rating_labels
     df = feedback_orders(spark, sf)
@@ -63,7 +63,7 @@ SELECT p.*, t.total, (10 + 10) < t.total AS has_more
 FROM ({_rollup_select(_rollup_sql('feedback_events', 1))} ORDER BY total_reviews DESC, product_id
       LIMIT 10 OFFSET 10) p,
      (SELECT CAST(count(*) AS BIGINT) AS total FROM (SELECT product FROM feedback_events
-      WHERE product IS NOT NULL AND product <> 'unknown' GROUP BY product) q) t"""))
+      WHERE product IS NOT NULL AND product <> 'unknown' GROUP BY product) q) t"""), stable=('avg_confidence',))
 def w3(spark, sf):
     return P.products_page(feedback_events(spark, sf), limit=10, offset=10)
 
@@ -77,7 +77,7 @@ SELECT product AS product_id, CAST(count(*) AS BIGINT) AS total_reviews,
   {pct_sql("count_if(" + polarity_sql('sentiment_label', 'm1') + " = 'negative')", 'count(*)')} AS negative_percentage,
   {pct_sql("count_if(" + polarity_sql('sentiment_label', 'm1') + " = 'neutral')", 'count(*)')} AS neutral_percentage,
   sum(coalesce(confidence_score, 0.0)) / count(*) AS avg_confidence
-FROM feedback_events GROUP BY product"""))
+FROM feedback_events GROUP BY product"""), stable=('avg_confidence',))
 def a9(spark, sf):
     return P.bulk_summary(feedback_events(spark, sf))
 

@@ -16,7 +16,7 @@ SELECT CAST(count(*) AS BIGINT) AS total_analyses,
        CAST(count(DISTINCT CAST(event_ts AS DATE)) AS BIGINT) AS days_analyzed,
        avg(confidence_score) AS average_confidence,
        min(event_ts) AS first_analysis, max(event_ts) AS last_analysis
-FROM feedback_events"""))
+FROM feedback_events"""), stable=('average_confidence',))
 def a1(spark, sf):
     return PR.statistics(feedback_events(spark, sf))
 
@@ -54,7 +54,7 @@ def a24b(spark, sf):
 
 @register("A25_text_length", with_views("""
 SELECT avg(length(text)) AS avg_length, CAST(min(length(text)) AS INTEGER) AS min_length,
-       CAST(max(length(text)) AS INTEGER) AS max_length FROM feedback_docs"""))
+       CAST(max(length(text)) AS INTEGER) AS max_length FROM feedback_docs"""), stable=('avg_length',))
 def a25(spark, sf):
     return PR.text_length_stats(feedback_docs(spark, sf, with_rating=False))
 
@@ -72,7 +72,7 @@ SELECT avg(CAST(helpfulness_numerator AS DOUBLE) /
        CAST(count_if(CAST(helpfulness_numerator AS DOUBLE) /
            CASE WHEN helpfulness_denominator = 0 THEN 1 ELSE helpfulness_denominator END = 1.0)
          AS BIGINT) AS fully_helpful
-FROM feedback_docs"""))
+FROM feedback_docs"""), stable=('avg_helpfulness_ratio',))
 def a27(spark, sf):
     return PR.helpfulness_stats(feedback_docs(spark, sf, with_rating=False))
 

@@ -15,11 +15,26 @@ _MODULES = ["products_q", "profile_q", "timeseries_q", "text_q", "metrics_q", "r
             "normalize_q", "scoring_q", "io_q", "streaming_q"]
 
 
-def register(name: str, sql: str | None = None):
+STABLE_DIGITS = 9
+
+
+def register(name: str, sql: str | None = None, stable: tuple[str, ...] = ()):
+    """Register a query.  ``stable`` names floating columns that are sums/averages of doubles:
+    their last bits depend on summation order (partitioning), so both the Spark result and the
+    oracle round them to ``STABLE_DIGITS`` decimals in the final projection."""
     def deco(fn: Build) -> Build:
         if name in _QUERIES:
             raise ValueError(f"duplicate query {name}")
-        _QUERIES[name] = (fn, sql)
+        build, text = fn, sql
+        if stable:
+            def build(spark, sf, _fn=fn):
+                from pyspark.sql import functions as F
+                df = _fn(spark, sf)
+                return df.withColumns({c: F.round(c, STABLE_DIGITS) for c in stable})
+            if sql is not None:
+                repl = ", ".join(f"round({c}, {STABLE_DIGITS}) AS {c}" for c in stable)
+                text = f"SELECT * REPLACE ({repl}) FROM (\n{sql}\n) stable_q"
+        _QUERIES[name] = (build, text)
         return fn
     return deco
 

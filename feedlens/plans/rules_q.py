@@ -225,7 +225,7 @@ SELECT CAST(date_trunc('day', event_ts) AS TIMESTAMP) AS time, team, product,
   CAST(count_if({M1} = 'negative') AS BIGINT) AS negative, CAST(count(*) AS BIGINT) AS total,
   avg(confidence_score) AS avg_confidence
 FROM feedback_events WHERE event_ts BETWEEN TIMESTAMP '{EV_AS_OF}' - INTERVAL 30 DAY AND TIMESTAMP '{EV_AS_OF}'
-GROUP BY 1, 2, 3"""))
+GROUP BY 1, 2, 3"""), stable=('avg_confidence',))
 def r7(spark, sf):
     return R.dashboard(feedback_events(spark, sf), EV_AS_OF)["recent_trends"]
 
@@ -236,7 +236,7 @@ SELECT product, CAST(count(*) AS BIGINT) AS total, CAST(count_if({M1} = 'negativ
   CAST(count_if(event_ts >= TIMESTAMP '{EV_AS_OF}' - INTERVAL 7 DAY) AS BIGINT) AS recent_total,
   CAST(count_if(event_ts >= TIMESTAMP '{EV_AS_OF}' - INTERVAL 7 DAY AND {M1} = 'negative') AS BIGINT)
     AS recent_negative
-FROM feedback_events WHERE product IS NOT NULL AND product <> '' GROUP BY product"""))
+FROM feedback_events WHERE product IS NOT NULL AND product <> '' GROUP BY product"""), stable=('avg_confidence',))
 def a20(spark, sf):
     return R.alert_base(feedback_events(spark, sf), EV_AS_OF, 7)
 

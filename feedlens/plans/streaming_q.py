@@ -37,7 +37,7 @@ SELECT CAST(date_trunc('hour', event_ts) AS TIMESTAMP) AS time, team, product,
 FROM feedback_events
 WHERE date_trunc('hour', event_ts) + INTERVAL 1 HOUR
       <= (SELECT max(event_ts) FROM feedback_events) - INTERVAL 1 HOUR
-GROUP BY 1, 2, 3"""))
+GROUP BY 1, 2, 3"""), stable=('avg_confidence',))
 def t2(spark, sf):
     ev = ST.stream_table(spark, sf, "events").selectExpr(*fx.EVENTS_EXPRS)
     return ST.run_to_table(spark, ST.stream_timeseries(ev, "hour", "1 hour"), "t2-timeseries")

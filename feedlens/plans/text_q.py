@@ -115,7 +115,7 @@ SELECT '{PAIR[0]}' AS product_1, '{PAIR[1]}' AS product_2,
   CASE WHEN a.positive_percentage > b.positive_percentage THEN a.product_id ELSE b.product_id END
     AS better_product
 FROM s a, s b WHERE a.product_id = '{PAIR[0]}' AND b.product_id = '{PAIR[1]}'""",
-    ("s", _summary_sql(_PAIR_WHERE))))
+    ("s", _summary_sql(_PAIR_WHERE))), stable=('positive_percentage_diff', 'negative_percentage_diff', 'neutral_percentage_diff', 'confidence_diff'))
 def j3(spark, sf):
     df = feedback_docs(spark, sf, with_rating=False)
     cmp = C.compare_products(C.comparable_summary(df, list(PAIR)), *PAIR)
@@ -151,7 +151,7 @@ FROM s LEFT JOIN th ON th.product_id = s.product_id
 LEFT JOIN (SELECT product, string_agg(word, ',' ORDER BY rank) AS kw FROM kt WHERE polarity = 'positive'
            GROUP BY product) pk ON pk.product = s.product_id
 LEFT JOIN (SELECT product, count(*) AS n FROM feedback_docs WHERE {POL} = 'negative' GROUP BY product) nn
-  ON nn.product = s.product_id""", *_kw_ctes(), ("th", _THEMES_BODY), ("s", _summary_sql("TRUE"))))
+  ON nn.product = s.product_id""", *_kw_ctes(), ("th", _THEMES_BODY), ("s", _summary_sql("TRUE"))), stable=('avg_confidence',))
 def j5(spark, sf):
     df = feedback_docs(spark, sf, with_rating=False)
     s = P.product_summary(df, 10, AS_OF)

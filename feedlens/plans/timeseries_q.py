@@ -27,22 +27,22 @@ FROM feedback_events WHERE {where} GROUP BY 1, 2, 3"""
 @register("A5_label_buckets_hour", with_views(f"""
 SELECT {bucket_sql('event_ts', 'hour')} AS time, sentiment_label, team, product,
        CAST(count(*) AS BIGINT) AS count, avg(confidence_score) AS avg_confidence
-FROM feedback_events WHERE {_WHERE} GROUP BY 1, 2, 3, 4"""))
+FROM feedback_events WHERE {_WHERE} GROUP BY 1, 2, 3, 4"""), stable=('avg_confidence',))
 def a5(spark, sf):
     return TS.label_buckets(feedback_events(spark, sf), START, END, "hour")
 
 
-@register("A6_timeseries_hour", with_views(_a6_sql("hour", _WHERE)))
+@register("A6_timeseries_hour", with_views(_a6_sql("hour", _WHERE)), stable=('avg_confidence',))
 def a6h(spark, sf):
     return TS.sentiment_timeseries(feedback_events(spark, sf), START, END, "hour")
 
 
-@register("A6_timeseries_day_all", with_views(_a6_sql("day")))
+@register("A6_timeseries_day_all", with_views(_a6_sql("day")), stable=('avg_confidence',))
 def a6d(spark, sf):
     return TS.sentiment_timeseries(feedback_events(spark, sf), None, None, "day")
 
 
-@register("A6_timeseries_week_team", with_views(_a6_sql("week", "team = 'Premium'")))
+@register("A6_timeseries_week_team", with_views(_a6_sql("week", "team = 'Premium'")), stable=('avg_confidence',))
 def a6w(spark, sf):
     return TS.sentiment_timeseries(feedback_events(spark, sf), None, None, "week", team="Premium")
 
@@ -70,12 +70,12 @@ def a8(spark, sf):
 
 @register("J1_top_products_timeseries", with_views(_a6_sql("day", f"""product IN (
   SELECT product FROM feedback_events WHERE product IS NOT NULL AND product <> 'unknown'
-  GROUP BY product ORDER BY count(*) DESC, product LIMIT 5)""")))
+  GROUP BY product ORDER BY count(*) DESC, product LIMIT 5)""")), stable=('avg_confidence',))
 def j1(spark, sf):
     return TS.products_timeseries(feedback_events(spark, sf), None, limit=5, group_by="day")
 
 
-@register("J2_product_timeseries", with_views(_a6_sql("hour", _WHERE + " AND product = 'P3'")))
+@register("J2_product_timeseries", with_views(_a6_sql("hour", _WHERE + " AND product = 'P3'")), stable=('avg_confidence',))
 def j2(spark, sf):
     return TS.product_timeseries(feedback_events(spark, sf), "P3", START, END, "hour")
 
