@@ -63,9 +63,12 @@ def write_reviews_csv(reviews: DataFrame, path: str) -> None:
 
 
 def _chunk_key(reviews: DataFrame, size: int):
-    """Bounded groups of at most ``size`` reviews (numeric ids; hashed ids spread otherwise)."""
-    rid = F.coalesce(F.col("Id").try_cast("long"), F.abs(F.xxhash64("Id")))
-    return F.floor(rid / F.lit(size))
+    """Groups of at most ``size`` consecutive rows of one input partition.
+
+    ``monotonically_increasing_id`` is contiguous within a partition (partition id in the high
+    bits), so a chunk never spans partitions and never exceeds ``size`` rows, however ids repeat.
+    """
+    return F.floor(F.monotonically_increasing_id() / F.lit(size))
 
 
 def write_review_envelopes(reviews: DataFrame, path: str, size: int = ENVELOPE_SIZE,
