@@ -69,9 +69,11 @@ def p9(spark, sf):
         "Id", "Score", "HelpfulnessNumerator", "HelpfulnessDenominator", "Customer_Type")
 
 
-@register("P10_resolve_columns")
+@register("P10_resolve_columns", with_views(
+    "SELECT Id, ProductId, Text, Score, CAST(NULL AS VARCHAR) AS Missing FROM rv", _RV))
 def p10(spark, sf):
-    lowered = review_rows(spark, sf).toDF(*[c.lower() for c in review_rows(spark, sf).columns])
+    r = review_rows(spark, sf)
+    lowered = r.toDF(*[c.lower() for c in r.columns])
     return N.resolve_columns(lowered, ["Id", "ProductId", "Text", "Score", "Missing"])
 
 
