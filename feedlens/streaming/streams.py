@@ -28,9 +28,24 @@ def with_event_time(sdf: DataFrame, delay: str, col: str = "event_ts") -> DataFr
     return sdf.withColumn("event_time", ntz_to_instant(F.col(col))).withWatermark("event_time", delay)
 
 
-def stream_scored(sdf: DataFrame, scorer: str = "lexicon", delay: str = "1 day") -> DataFrame:
-    """Score each incoming row (C5 lexicon or C4 rating) and drop duplicate ids."""
+def drop_local_copies(sdf: DataFrame, key: str = "id") -> DataFrame:
+    """Drop repeated keys inside each Arrow batch before the de-duplication shuffle.
+
+    Streaming de-duplication has no map-side partial step, so a review copied many times would
+    send every copy to the one task owning its key; this keeps at most one copy per batch."""
+    def run(batches):
+        for pdf in batches:
+            yield pdf.drop_duplicates(subset=[key], keep="first")
+    return sdf.mapInPandas(run, sdf.schema)
+
+
+def stream_scored(sdf: DataFrame, scorer: str = "lexicon", delay: str = "1 day",
+                  pre_dedup: bool = True) -> DataFrame:
+    """Score each incoming row (C5 lexicon or C4 rating) and drop duplicate ids within the
+    watermark (copies are thinned per batch first, see ``drop_local_copies``)."""
     scored = scoring.lexicon_scorer(sdf) if scorer == "lexicon" else scoring.rating_scorer(sdf)
+    if pre_dedup:
+        scored = drop_local_copies(scored)
     return with_event_time(scored, delay).dropDuplicatesWithinWatermark(["id"]).drop("event_time")
 
 
