@@ -77,6 +77,31 @@ def bulk_summary(df: DataFrame) -> DataFrame:
         F.when(t > 0, F.col("_conf") / t).otherwise(F.lit(0.0)).alias("avg_confidence"))
 
 
+def bulk_summary_with_emotions(df: DataFrame) -> DataFrame:
+    """A9 + A10 from one (product, emotion) pre-aggregate: the per-product totals and the emotion
+    map are both re-aggregated from it (one scan, two small shuffles instead of three)."""
+    emotion = F.lower(F.coalesce("sentiment_label", F.lit("")))
+    lvl1 = df.groupBy("product", emotion.alias("emotion")).agg(
+        F.count(F.lit(1)).alias("count"),
+        count_polarity("sentiment_label", "positive", "m1").alias("p"),
+        count_polarity("sentiment_label", "negative", "m1").alias("n"),
+        count_polarity("sentiment_label", "neutral", "m1").alias("u"),
+        F.sum(F.coalesce(F.col("confidence_score"), F.lit(0.0))).alias("c"))
+    g = lvl1.groupBy("product").agg(
+        F.sum("count").alias("total_reviews"), F.sum("p").alias("positive_count"),
+        F.sum("n").alias("negative_count"), F.sum("u").alias("neutral_count"), F.sum("c").alias("_conf"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("emotion", "count")))).alias("emotion_counts"))
+    t = F.col("total_reviews")
+    return g.select(
+        F.col("product").alias("product_id"), "total_reviews",
+        "positive_count", "negative_count", "neutral_count",
+        pct(F.col("positive_count"), t).alias("positive_percentage"),
+        pct(F.col("negative_count"), t).alias("negative_percentage"),
+        pct(F.col("neutral_count"), t).alias("neutral_percentage"),
+        F.when(t > 0, F.col("_conf") / t).otherwise(F.lit(0.0)).alias("avg_confidence"),
+        "emotion_counts")
+
+
 def emotion_counts_long(df: DataFrame) -> DataFrame:
     """A10 (flat form): rows (product, emotion, count); emotion = lower-cased label."""
     return (df.groupBy("product", F.lower(F.coalesce("sentiment_label", F.lit(""))).alias("emotion"))
@@ -104,6 +129,20 @@ def modal_value(df: DataFrame, key: str, value: str, out: str | None = None) ->
                   .select(key, F.col(value).alias(out), F.col("_n").alias(f"{out}_count")))
 
 
+def _modal_metadata(df: DataFrame) -> DataFrame:
+    """A11 for product name and CSV description in one pass: (product, field, value) counts, one
+    window ranking both fields, then one row per product."""
+    kv = df.select("product", F.inline(F.array(
+        F.struct(F.lit("product_name").alias("field"),
+                 F.get_json_object("metadata", "$.product_name").alias("value")),
+        F.struct(F.lit("csv_description").alias("field"),
+                 F.get_json_object("metadata", "$.product_description").alias("value")))))
+    best = modal_value(kv.withColumn("key", F.struct("product", "field")), "key", "value", "v")
+    return best.groupBy(F.col("key.product").alias("product_id")).agg(
+        F.max(F.when(F.col("key.field") == "product_name", F.col("v"))).alias("product_name"),
+        F.max(F.when(F.col("key.field") == "csv_description", F.col("v"))).alias("csv_description"))
+
+
 def key_themes(pos_keywords: Column, neg_keywords: Column, n: int = 5) -> Column:
     """Ordered de-duplicated positive-then-negative keywords, first ``n``."""
     return F.slice(F.array_distinct(F.concat(pos_keywords, neg_keywords)), 1, n)
@@ -125,26 +164,17 @@ def product_summary(df: DataFrame, top_n: int = 10, as_of=None) -> DataFrame:
     """
     from . import text as textops
 
-    base = bulk_summary(df)
-    emo = emotion_counts(df).withColumnRenamed("product", "product_id")
+    base = bulk_summary_with_emotions(df)
     kw = textops.keyword_lists(df, top_n).withColumnRenamed("product", "product_id")
     tc = textops.top_comment_lists(df, top_n, as_of).withColumnRenamed("product", "product_id")
-    out = base.join(emo, "product_id", "left").join(kw, "product_id", "left").join(tc, "product_id", "left")
+    out = base.join(kw, "product_id", "left").join(tc, "product_id", "left")
     empty = F.array().cast("array<string>")
     for p in ("positive", "negative", "neutral"):
         out = out.withColumn(f"{p}_keywords", F.coalesce(F.col(f"{p}_keywords"), empty))
         c = f"top_{p}_comments"
         out = out.withColumn(c, F.coalesce(F.col(c), F.array().cast(tc.schema[c].dataType)))
-    meta_cols = set(df.columns)
-    if "metadata" in meta_cols:
-        names = modal_value(
-            df.withColumn("_pn", F.get_json_object("metadata", "$.product_name")), "product", "_pn",
-            "product_name").withColumnRenamed("product", "product_id").drop("product_name_count")
-        descs = modal_value(
-            df.withColumn("_pd", F.get_json_object("metadata", "$.product_description")), "product",
-            "_pd", "csv_description").withColumnRenamed("product", "product_id") \
-            .drop("csv_description_count")
-        out = out.join(names, "product_id", "left").join(descs, "product_id", "left")
+    if "metadata" in df.columns:
+        out = out.join(_modal_metadata(df), "product_id", "left")
     else:
         out = out.withColumn("product_name", F.lit(None).cast("string")) \
                  .withColumn("csv_description", F.lit(None).cast("string"))

@@ -12,7 +12,7 @@ Build = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, tuple[Build, str | None]] = {}
 
 _MODULES = ["products_q", "profile_q", "timeseries_q", "text_q", "metrics_q", "rules_q", "filters_q",
-            "normalize_q", "scoring_q", "io_q", "streaming_q"]
+            "normalize_q", "scoring_q", "io_q", "streaming_q", "bulk_q"]
 
 
 STABLE_DIGITS = 9

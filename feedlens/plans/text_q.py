@@ -45,8 +45,8 @@ def w1(spark, sf):
     return TX.top_comments(feedback_docs(spark, sf, with_rating=False), 10, AS_OF).select(*_W1_COLS)
 
 
-def _kw_ctes(where: str = "TRUE"):
-    base = (f"SELECT product, {POL} AS polarity, coalesce(text, '') AS text FROM feedback_docs "
+def _kw_ctes(where: str = "TRUE", src: str = "feedback_docs"):
+    base = (f"SELECT product, {POL} AS polarity, coalesce(text, '') AS text FROM {src} "
             f"WHERE {POL} IS NOT NULL AND {where}")
     return [
         ("kb", base),
@@ -71,13 +71,13 @@ _THEMES_BODY = """
 SELECT p.product AS product_id,
   coalesce(CASE WHEN t.themes IS NOT NULL THEN 'Key themes: ' || t.themes END,
            'No key themes detected.') AS product_description
-FROM (SELECT DISTINCT product FROM feedback_docs) p LEFT JOIN (
+FROM (SELECT DISTINCT product FROM {src}) p LEFT JOIN (
   SELECT product, string_agg(word, ', ' ORDER BY k) AS themes FROM (
     SELECT product, word, k, row_number() OVER (PARTITION BY product ORDER BY k) AS n FROM (
       SELECT product, word, min(CASE polarity WHEN 'positive' THEN rank ELSE 100 + rank END) AS k
       FROM kt WHERE polarity IN ('positive', 'negative') GROUP BY 1, 2) a) b
   WHERE n <= 5 GROUP BY product) t ON p.product = t.product"""
-_THEMES_SQL = with_views(_THEMES_BODY, *_kw_ctes())
+_THEMES_SQL = with_views(_THEMES_BODY.format(src="feedback_docs"), *_kw_ctes())
 
 
 @register("R6_product_description", _THEMES_SQL)
@@ -151,7 +151,7 @@ FROM s LEFT JOIN th ON th.product_id = s.product_id
 LEFT JOIN (SELECT product, string_agg(word, ',' ORDER BY rank) AS kw FROM kt WHERE polarity = 'positive'
            GROUP BY product) pk ON pk.product = s.product_id
 LEFT JOIN (SELECT product, count(*) AS n FROM feedback_docs WHERE {POL} = 'negative' GROUP BY product) nn
-  ON nn.product = s.product_id""", *_kw_ctes(), ("th", _THEMES_BODY), ("s", _summary_sql("TRUE"))), stable=('avg_confidence',))
+  ON nn.product = s.product_id""", *_kw_ctes(), ("th", _THEMES_BODY.format(src="feedback_docs")), ("s", _summary_sql("TRUE"))), stable=('avg_confidence',))
 def j5(spark, sf):
     df = feedback_docs(spark, sf, with_rating=False)
     s = P.product_summary(df, 10, AS_OF)

@@ -55,3 +55,4 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
     assert df.columns[:2] == ["product_id", "total_reviews"]
+    assert "product_description" in df.columns
