@@ -42,15 +42,16 @@ def get_spark(master: str | None = None, app: str = "feedlens",
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder of this session (set one only when none is configured)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared checkpoint folder of this session.
+
+    Read from ``spark.checkpoint.dir`` (or the context's checkpoint dir); only when neither is
+    configured (unit tests, a bare local session) a fresh temporary folder is registered on the
+    context — ``spark.checkpoint.dir`` itself cannot be changed at runtime.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="feedlens-ckpt-"))
         root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="feedlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
