@@ -70,6 +70,7 @@ def local_path(path: str) -> str | None:
 
 
 SPREAD_MAX_BYTES = 1 << 30
+SPREAD_TARGET_BYTES = 2 << 20
 
 
 def estimated_bytes(df) -> int | None:
@@ -93,5 +94,6 @@ def spread_small(df, max_bytes: int = SPREAD_MAX_BYTES):
     size = estimated_bytes(df)
     if size is None or size > max_bytes:
         return df
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    n = max(1, min(cores, -(-size // SPREAD_TARGET_BYTES)))     # ~2 MB per task, at most one per core
+    return df.repartition(n) if n > 1 else df
