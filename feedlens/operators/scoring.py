@@ -148,6 +148,18 @@ class PandasLexiconScorer:
         return pd.DataFrame(rows, columns=EMOTIONS, index=texts.index, dtype="float64")
 
 
+_WORKER_SCORERS: dict = {}
+
+
+def _worker_scorer(factory):
+    """One scorer per Python worker process (workers are reused across tasks, so e.g. a model is
+    loaded once per worker, not once per task)."""
+    key = f"{factory.__module__}.{factory.__qualname__}"
+    if key not in _WORKER_SCORERS:
+        _WORKER_SCORERS[key] = factory()
+    return _WORKER_SCORERS[key]
+
+
 def score_with(df: DataFrame, scorer: Scorer | Callable[[], Scorer] | None = None,
                text_col: str = "text", batch_size: int = 128, max_chars: int | None = None,
                keep_scores: bool = False) -> DataFrame:
@@ -166,7 +178,7 @@ def score_with(df: DataFrame, scorer: Scorer | Callable[[], Scorer] | None = Non
     ])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s = factory() if factory else fixed
+        s = _worker_scorer(factory) if factory else fixed
         for pdf in batches:
             for start in range(0, len(pdf), batch_size):
                 chunk = pdf.iloc[start:start + batch_size].copy()

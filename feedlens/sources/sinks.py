@@ -23,8 +23,13 @@ def _rebalanced(df: DataFrame) -> DataFrame:
     return _with_date(df).hint("rebalance", "event_date")
 
 
-def write_results(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Append scored rows to the fact table (``mode='overwrite'`` is S7)."""
+def write_results(df: DataFrame, path: str, mode: str = "append", dedupe_on: list[str] | None = None) -> None:
+    """Append scored rows to the fact table (``mode='overwrite'`` is S7).
+
+    ``dedupe_on`` (e.g. ``["id"]``) drops re-imported copies within the batch first; batch
+    ``dropDuplicates`` aggregates map-side, so even a hot group of copies is combined per task."""
+    if dedupe_on:
+        df = df.dropDuplicates(dedupe_on)
     _rebalanced(df).write.mode(mode).partitionBy("event_date").parquet(path)
 
 

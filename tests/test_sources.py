@@ -84,3 +84,22 @@ def test_fact_append_overwrite_and_partition_pruning(spark):
     assert "PartitionFilters: [isnotnull(event_date" in pruned._jdf.queryExecution().executedPlan().toString()
     rep = SK.ingest_report(base, base.where("id < 6")).first()
     assert (rep.received, rep.processed, rep.failed) == (9, 6, 3)
+
+
+def test_write_results_dedupe(spark):
+    base = spark.createDataFrame(
+        [(i % 3, f"t{i}", "2024-01-01 10:00:00", "p") for i in range(12)],
+        "id long, text string, ts string, product string") \
+        .select("id", "text", F.col("ts").cast("timestamp_ntz").alias("event_ts"), "product",
+                F.lit(None).cast("string").alias("team"), F.lit("{}").alias("metadata"))
+    path = scratch_path(spark, "t-dedupe")
+    SK.write_results(S.lexicon_scorer(base), path, dedupe_on=["id"])
+    assert RD.read_fact(spark, path).count() == 3
+
+
+def test_scorer_factory_built_per_worker(spark):
+    from feedlens.operators.scoring import PandasLexiconScorer, score_with
+    df = spark.createDataFrame([(i, "great" if i % 2 else "sad") for i in range(40)], "id long, text string") \
+        .repartition(4)
+    out = {r.id: r.sentiment_label for r in score_with(df, PandasLexiconScorer).collect()}
+    assert out[1] == "joy" and out[2] == "sadness"
