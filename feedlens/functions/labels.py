@@ -38,7 +38,7 @@ _SCHEMES = {
 
 
 def polarity(label: Column | str, scheme: str = "m1") -> Column:
-    """positive / negative / neutral (or NULL for labels outside a strict map)."""
+    """Positive / negative / neutral (NULL for labels outside a strict map)."""
     pos, neg, neu, lower = _SCHEMES[scheme]
     c = F.col(label) if isinstance(label, str) else label
     if lower:

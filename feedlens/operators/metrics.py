@@ -47,7 +47,7 @@ def _grid(spark) -> DataFrame:
 
 
 def confusion_matrix(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Counts per (actual, predicted), zero-filled over the 3×3 grid."""
+    """A15 (+J6): counts per (actual, predicted), zero-filled over the 3×3 grid."""
     c = classified(df, max_rows).where(F.col("actual").isNotNull()) \
         .groupBy("actual", "predicted").agg(F.count(F.lit(1)).alias("count"))
     grid = _grid(df.sparkSession)

@@ -169,7 +169,8 @@ def _candidate(fire: Column, rule, subject: Column | None, ratio_col: Column, po
 
 def suggestions(df: DataFrame, sentiment: str | None = None, customer_type: str | None = None,
                 product: str | None = None, max_rows: int | None = 1000) -> DataFrame:
-    """R2: rule-based suggestions over the filtered (F8), newest ``max_rows`` rows.
+    """R2 (+U4, W6): rule-based suggestions over the filtered (F8), newest ``max_rows`` rows (W4),
+    all rule outputs in one list (U4), ordered by priority (W6).
 
     One grouping-sets aggregate yields the overall, per-product and per-customer-type rows; every
     rule is a candidate struct on its row and the fired ones are emitted with ``inline`` (U4 without
@@ -212,7 +213,8 @@ def alert_base(df: DataFrame, as_of, spike_window_days: int = 7) -> DataFrame:
 
 def alerts(df: DataFrame, negative_threshold: float = 40.0, spike_window_days: int = 7,
            as_of=None) -> DataFrame:
-    """Critical / warning / info alerts per product and recent escalation spikes.
+    """R3 (+J4, W6): critical / warning / info alerts per product and recent escalation spikes;
+    a spike is raised only without a critical alert (J4); rows ordered by severity (W6).
 
     Output: type, title, description, product, metric, timestamp, severity order (W6).
     """
@@ -289,7 +291,7 @@ def volume_leaders(df: DataFrame, n: int = 5) -> DataFrame:
 
 # ---- R1: insights ------------------------------------------------------------------------------
 def insights(df: DataFrame, limit: int = 100) -> DataFrame:
-    """Among the ``limit`` largest known products, top (pos >= 0.7) and attention (neg >= 0.3)
+    """R1 (+W5): among the ``limit`` largest known products, top (pos >= 0.7) and attention (neg >= 0.3)
     lists, five each, by score (ties keep volume order)."""
     page = products_page(df, limit=limit)
     vol = Window.orderBy(F.col("total_reviews").desc(), F.col("product_id"))

@@ -58,7 +58,7 @@ def rating_scorer(df: DataFrame, score_col: str = "score", default_score: float
 
 
 def argmax_label(all_scores: Column) -> Column:
-    """Label with the highest score; ties go to the label that sorts first (model order)."""
+    """C3 (C1 for one text): label with the highest score; ties go to the label that sorts first (model order)."""
     entries = F.map_entries(all_scores)
     keyed = F.transform(entries, lambda e: F.struct((-e["value"]).alias("k"), e["key"].alias("label")))
     return F.sort_array(keyed)[0]["label"]

@@ -96,7 +96,7 @@ def products_timeseries(df: DataFrame, product_ids: list[str] | str | None = Non
 
 
 def trend(series: DataFrame) -> DataFrame:
-    """An A6 series re-rolled per calendar day across team and product, date ordered."""
+    """A32 (+W7): an A6 series re-rolled per calendar day across team and product, date ordered."""
     return (series.groupBy(bucket("time", "day").alias("day"))
                   .agg(F.sum("positive").alias("positive"), F.sum("neutral").alias("neutral"),
                        F.sum("negative").alias("negative"), F.sum("total").alias("total"))
