@@ -79,26 +79,45 @@ def top_comment_lists(df: DataFrame, top_n: int = 10, as_of=None) -> DataFrame:
     return g.withColumns(cols).drop("_all")
 
 
-def keyword_counts(df: DataFrame, scheme: str = "m1s") -> DataFrame:
-    """W2 step 1: (product, polarity, word, count) for groups passing the 50-character rule."""
-    base = (spread_small(df).select("product", polarity("sentiment_label", scheme).alias("polarity"),
-                      F.coalesce(F.col("text"), F.lit("")).alias("text"))
+def _keyword_base(df: DataFrame, scheme: str) -> DataFrame:
+    return (spread_small(df).select("product", polarity("sentiment_label", scheme).alias("polarity"),
+                                    F.coalesce(F.col("text"), F.lit("")).alias("text"))
               .where(F.col("polarity").isNotNull()))
-    eligible = (base.groupBy("product", "polarity")
-                    .agg((F.sum(F.length("text")) + F.count(F.lit(1)) - 1).alias("joined_chars"))
-                    .where(F.col("joined_chars") >= MIN_JOINED_CHARS)
-                    .select("product", "polarity"))
-    counts = (base.select("product", "polarity", F.explode(candidate_keywords(F.col("text"))).alias("word"))
-                  .where(~F.col("word").isin(UNIQUE_STOP_WORDS))
-                  .groupBy("product", "polarity", "word").agg(F.count(F.lit(1)).alias("count")))
-    return counts.join(eligible, ["product", "polarity"], "left_semi")
+
+
+def _eligible_groups(base: DataFrame) -> DataFrame:
+    """(product, polarity) groups whose joined texts reach the 50-character rule (one row each)."""
+    return (base.groupBy("product", "polarity")
+                .agg((F.sum(F.length("text")) + F.count(F.lit(1)) - 1).alias("joined_chars"))
+                .where(F.col("joined_chars") >= MIN_JOINED_CHARS)
+                .select("product", "polarity"))
+
+
+def _word_counts(base: DataFrame) -> DataFrame:
+    return (base.select("product", "polarity", F.explode(candidate_keywords(F.col("text"))).alias("word"))
+                .where(~F.col("word").isin(UNIQUE_STOP_WORDS))
+                .groupBy("product", "polarity", "word").agg(F.count(F.lit(1)).alias("count")))
+
+
+def keyword_counts(df: DataFrame, scheme: str = "m1s") -> DataFrame:
+    """W2 step 1: (product, polarity, word, count) for groups passing the 50-character rule.
+
+    The rule is applied with an *inner* join on the aggregated counts (one eligibility row per
+    group): unlike a semi join, Catalyst cannot push it below the aggregate onto raw tokens, where a
+    non-broadcast join would shuffle every token."""
+    base = _keyword_base(df, scheme)
+    return _word_counts(base).join(_eligible_groups(base), ["product", "polarity"], "inner")
 
 
 def keywords(df: DataFrame, top_n: int = 10, scheme: str = "m1s") -> DataFrame:
-    """The ``top_n`` most frequent keywords per product × polarity (ties by word)."""
-    c = keyword_counts(df, scheme)
+    """The ``top_n`` most frequent keywords per product × polarity (ties by word).
+
+    Top-N first (partial WindowGroupLimit before the shuffle), then the 50-character rule as an
+    inner join of at most ``top_n`` rows per group with one eligibility row per group."""
+    base = _keyword_base(df, scheme)
     w = Window.partitionBy("product", "polarity").orderBy(F.col("count").desc(), F.col("word").asc())
-    return c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
+    top = _word_counts(base).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
+    return top.join(_eligible_groups(base), ["product", "polarity"], "inner")
 
 
 def keyword_lists(df: DataFrame, top_n: int = 10) -> DataFrame:

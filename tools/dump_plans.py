@@ -13,7 +13,7 @@ NOTES = {
     "R2_suggestions_all_rows": "overall / product / team rows from one Expand-based grouping-sets aggregate",
     "W1_top_comments": "WindowGroupLimit Partial before the exchange, Final after it",
     "W2_keywords": "regex scan + explode + InSet stop-word filter + partial count before the exchange; "
-                   "small eligibility side broadcast into a left-semi join; two-phase WindowGroupLimit",
+                   "two-phase WindowGroupLimit; the 50-character eligibility rows join only the top-N",
     "C5_lexicon_scorer": "no exchange besides the small-input spread; no Python",
     "J1_top_products_timeseries": "top-N product list (bounded) broadcast into a left-semi join",
     "A16_class_metrics": "one aggregate to at most 9 confusion cells; everything after is tiny",
