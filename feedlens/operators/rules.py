@@ -147,8 +147,14 @@ def by_team_m2(df: DataFrame) -> DataFrame:
 def suggestion_groups(df: DataFrame) -> DataFrame:
     """A12–A14 in one pass: M2 counts for all rows, per product and per customer type as grouping
     sets of a single aggregate (``level`` = overall / product / team)."""
-    g = df.groupingSets([[], ["product"], ["team"]], "product", "team").agg(
-        *_m2_counts(), F.grouping_id().alias("_gid"))
+    # polarity is projected once, before the aggregate: counting a plain column keeps the two uses of
+    # this aggregate (fired rules, default row) canonically equal, so their shuffle is reused
+    d = df.withColumn("_m2", polarity("sentiment_label", "m2"))
+    g = d.groupingSets([[], ["product"], ["team"]], "product", "team").agg(
+        F.count_if(F.col("_m2") == "positive").alias("positive"),
+        F.count_if(F.col("_m2") == "negative").alias("negative"),
+        F.count_if(F.col("_m2") == "neutral").alias("neutral"),
+        F.count(F.lit(1)).alias("total"), F.grouping_id().alias("_gid"))
     level = F.when(F.col("_gid") == 3, "overall").when(F.col("_gid") == 1, "product").otherwise("team")
     return g.withColumn("level", level).drop("_gid")
 
@@ -174,8 +180,9 @@ def suggestions(df: DataFrame, sentiment: str | None = None, customer_type: str
 
     One grouping-sets aggregate yields the overall, per-product and per-customer-type rows; every
     rule is a candidate struct on its row and the fired ones are emitted with ``inline`` (U4 without
-    re-scanning).  The default "Continue Monitoring" row appears only when no rule fired (an EXISTS
-    subquery, no collect).  Ordered by priority, then rule, then subject.
+    re-scanning).  The default "Continue Monitoring" row appears only when no rule fired, decided by
+    a global aggregate over the same grouped rows (no subquery, no collect).  Ordered by priority,
+    then rule, then subject.
     """
     d = newest(filters.with_all_sentinel(df, sentiment, customer_type, product), max_rows)
     g = suggestion_groups(d)
@@ -192,10 +199,13 @@ def suggestions(df: DataFrame, sentiment: str | None = None, customer_type: str
                    pr, F.col("positive"), 4),
         _candidate(is_team & (nr > TEAM_NEG), SUGGEST_RETENTION, F.col("team"), nr, F.col("negative"), 5))
     fired = g.select(F.inline(F.filter(cands, lambda c: c["fire"]))).drop("fire")
-    # A global aggregate always yields one row (grouping sets yield none on empty input).
-    overall = d.agg(F.count(F.lit(1)).alias("total"))
-    default = overall.where(~fired.exists()).select(F.inline(F.array(
-        _candidate(F.lit(True), SUGGEST_DEFAULT, None, F.lit(0.0), tot, 6)))).drop("fire")
+    # Default row: one global aggregate over the same grouped rows (always exactly one row, also for
+    # empty input; partial per task) says whether any rule fired and carries the overall total.
+    state = g.agg(F.max(F.exists(cands, lambda c: c["fire"])).alias("any_fired"),
+                  F.max(F.when(lvl == "overall", tot)).alias("overall_total"))
+    default = state.where(~F.coalesce(F.col("any_fired"), F.lit(False))).select(F.inline(F.array(
+        _candidate(F.lit(True), SUGGEST_DEFAULT, None, F.lit(0.0),
+                   F.coalesce(F.col("overall_total"), F.lit(0)), 6)))).drop("fire")
     return fired.unionByName(default).orderBy(F.col("priority_rank").desc(), "rule_order", "subject")
 
 

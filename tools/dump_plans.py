@@ -10,7 +10,8 @@ NOTES = {
                                 "(broadcast here, sort-merge + AQE skew split at scale); scans read 3+3+1 columns",
     "A6_timeseries_hour": "time range pushed into the Parquet scan; one aggregate on (hour, team, product)",
     "R3_alerts_events": "A20 + A21 fused in one aggregate; alerts emitted with Generate(inline) from that row",
-    "R2_suggestions_all_rows": "overall / product / team rows from one Expand-based grouping-sets aggregate",
+    "R2_suggestions_all_rows": "overall / product / team rows from one Expand-based grouping-sets aggregate; the "
+                               "default row from a global aggregate over the same grouped rows (no subquery)",
     "W1_top_comments": "WindowGroupLimit Partial before the exchange, Final after it",
     "W2_keywords": "regex scan + explode + InSet stop-word filter + partial count before the exchange; "
                    "two-phase WindowGroupLimit; the 50-character eligibility rows join only the top-N",
