@@ -252,10 +252,9 @@ def w5(spark, sf):
              .orderBy(F.col("ratio").desc(), F.col("total_reviews").desc(), "product_id").limit(5))
 
 
-@register("W7_ordered_series", with_views(f"""
-SELECT time, sum(total) AS total FROM (SELECT CAST(date_trunc('day', event_ts) AS TIMESTAMP) AS time,
-  CAST(count(*) AS BIGINT) AS total FROM feedback_events GROUP BY 1) s GROUP BY time ORDER BY time"""
-    .replace("sum(total) AS total", "CAST(sum(total) AS BIGINT) AS total")))
+@register("W7_ordered_series", with_views("""
+SELECT CAST(date_trunc('day', event_ts) AS TIMESTAMP) AS time, CAST(count(*) AS BIGINT) AS total
+FROM feedback_events GROUP BY 1 ORDER BY time"""))
 def w7(spark, sf):
     from ..operators.timeseries import sentiment_timeseries, trend
     return trend(sentiment_timeseries(feedback_events(spark, sf), None, None, "day")) \
