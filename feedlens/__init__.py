@@ -11,3 +11,14 @@ collects to the driver.  Sub-packages:
 """
 
 __version__ = "0.1.0"
+
+# Python workers (mapInPandas in C2 and T1) receive feedlens functions by value, so they need no
+# access to this package's files on executors.
+try:
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cloudpickle
+
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # noqa: BLE001 - older cloudpickle: fall back to importing on workers
+    pass
