@@ -133,19 +133,23 @@ class PandasLexiconScorer:
     def __init__(self, max_chars: int | None = None):
         import regex
         self._split = regex.compile(NON_WORD_SPLIT)
-        self._sets = {lab: frozenset(ws) for lab, ws in LEXICON.items()}
+        self._label_of = {w: EMOTIONS.index(lab) for lab, ws in LEXICON.items() for w in ws}
         self.max_chars = max_chars
 
     def __call__(self, texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts.fillna("").astype(str):
+        import numpy as np
+        hits = np.zeros((len(texts), len(EMOTIONS)))
+        label_of = self._label_of
+        for r, t in enumerate(texts.fillna("").astype(str)):
             if self.max_chars:
                 t = t[: self.max_chars]
-            toks = self._split.split(t.lower())
-            hits = {lab: sum(1 for w in toks if w in s) for lab, s in self._sets.items()}
-            total = sum(hits.values()) + PRIOR_TOTAL
-            rows.append([(hits[lab] + PRIOR[lab]) / total for lab in EMOTIONS])
-        return pd.DataFrame(rows, columns=EMOTIONS, index=texts.index, dtype="float64")
+            for w in self._split.split(t.lower()):          # one pass, one dict lookup per token
+                k = label_of.get(w)
+                if k is not None:
+                    hits[r, k] += 1
+        prior = np.array([PRIOR[lab] for lab in EMOTIONS])
+        probs = (hits + prior) / (hits.sum(axis=1, keepdims=True) + PRIOR_TOTAL)
+        return pd.DataFrame(probs, columns=EMOTIONS, index=texts.index)
 
 
 _WORKER_SCORERS: dict = {}
