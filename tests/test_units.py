@@ -202,3 +202,10 @@ def test_api_surface(spark, reviews):
     c = api.compare_products(facts, "B001234567", "B007654321").first()
     assert c.product_1 == "B001234567"
     assert api.alerts(facts, as_of=AS_OF).count() >= 0
+
+
+def test_approximate_distinct_option(facts):
+    exact = PR.dataset_profile(facts, ["product"]).first().n_distinct_product
+    approx = PR.dataset_profile(facts, ["product"], exact=False).first().n_distinct_product
+    assert exact == approx == 3
+    assert PR.statistics(facts, exact=False).first().days_analyzed == 8
