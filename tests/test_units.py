@@ -207,5 +207,5 @@ def test_api_surface(spark, reviews):
 def test_approximate_distinct_option(facts):
     exact = PR.dataset_profile(facts, ["product"]).first().n_distinct_product
     approx = PR.dataset_profile(facts, ["product"], exact=False).first().n_distinct_product
-    assert exact == approx == 3
-    assert PR.statistics(facts, exact=False).first().days_analyzed == 8
+    assert exact == 3 and abs(approx - exact) <= 1          # HyperLogLog++ may be off by a little
+    assert abs(PR.statistics(facts, exact=False).first().days_analyzed - 8) <= 1
