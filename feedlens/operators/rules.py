@@ -147,13 +147,13 @@ def by_team_m2(df: DataFrame) -> DataFrame:
 def suggestion_groups(df: DataFrame) -> DataFrame:
     """A12–A14 in one pass: M2 counts for all rows, per product and per customer type as grouping
     sets of a single aggregate (``level`` = overall / product / team)."""
-    # polarity is projected once, before the aggregate: counting a plain column keeps the two uses of
-    # this aggregate (fired rules, default row) canonically equal, so their shuffle is reused
+    # polarity is projected once and counted with count(when(...)) rather than count_if, whose
+    # common-expression rewrite gives each use of this aggregate its own alias names
     d = df.withColumn("_m2", polarity("sentiment_label", "m2"))
     g = d.groupingSets([[], ["product"], ["team"]], "product", "team").agg(
-        F.count_if(F.col("_m2") == "positive").alias("positive"),
-        F.count_if(F.col("_m2") == "negative").alias("negative"),
-        F.count_if(F.col("_m2") == "neutral").alias("neutral"),
+        F.count(F.when(F.col("_m2") == "positive", 1)).alias("positive"),
+        F.count(F.when(F.col("_m2") == "negative", 1)).alias("negative"),
+        F.count(F.when(F.col("_m2") == "neutral", 1)).alias("neutral"),
         F.count(F.lit(1)).alias("total"), F.grouping_id().alias("_gid"))
     level = F.when(F.col("_gid") == 3, "overall").when(F.col("_gid") == 1, "product").otherwise("team")
     return g.withColumn("level", level).drop("_gid")
