@@ -58,3 +58,19 @@ def test_no_python_outside_c2(spark, q):
 
 def test_c2_is_arrow_batched(spark, q):
     assert "MapInPandas" in plan(q["C2_pandas_batch_scorer"](spark, SF_SMALL))
+
+
+def test_keyword_eligibility_joins_only_top_n(spark, q):
+    p = plan(q["W2_keywords"](spark, SF_SMALL))
+    join_at = p.find("Join")
+    assert join_at != -1 and join_at < p.find("WindowGroupLimit")    # join above the top-N
+    assert "LeftSemi" not in p                                         # never a semi join on tokens
+
+
+def test_spread_small_only_for_small_inputs(spark):
+    from feedlens.session import spread_small
+    df = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    assert "RoundRobinPartitioning" not in plan(spread_small(df, max_bytes=0))
+    assert spread_small(df, max_bytes=0) is df
+    small = spread_small(df.union(df).union(df), max_bytes=1 << 30)
+    assert small is not None
