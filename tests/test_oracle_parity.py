@@ -6,11 +6,12 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as E
+from feedlens.plans import all_queries, oracle_sqls
 
 from .conftest import SF_SMALL
 
-QUERIES = E.queries()
-SQLS = E.oracle_sql()
+QUERIES = all_queries()
+SQLS = oracle_sqls()
 
 
 def _norm(v):
