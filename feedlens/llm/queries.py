@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -19,6 +20,30 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import drop_repeated_windows
+
+    out = drop_repeated_windows(table(spark, sf_dir, "documents"), window=13)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s
+  FROM d, unnest(range(1, len(w) - 11)) AS u(i) WHERE len(w) >= 13),
+low AS (SELECT s, min(doc_id) AS least FROM win GROUP BY s),
+hit AS (
+  SELECT doc_id, list(DISTINCT i + j) AS gone
+  FROM win JOIN low USING (s), unnest(range(0, 13)) AS k(j) WHERE least < doc_id GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE
+         list_transform(list_filter(range(1, len(w) + 1), lambda p: NOT list_contains(gone, p)), lambda p: w[p]) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id
+"""
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact import exact_duplicates
 
@@ -36,6 +61,7 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 
 _QUERIES: dict[str, tuple[Build, str | None]] = {
     "op2_sentencepiece": (op2_sentencepiece, None),
+    "op4_substring_dedup": (op4_substring_dedup, OP4_SQL),
     "op9_exact_dedup": (op9_exact_dedup, OP9_SQL),
 }
 
