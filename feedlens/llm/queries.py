@@ -44,6 +44,12 @@ FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id
 """
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .nearsets import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact import exact_duplicates
 
@@ -62,6 +68,7 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 _QUERIES: dict[str, tuple[Build, str | None]] = {
     "op2_sentencepiece": (op2_sentencepiece, None),
     "op4_substring_dedup": (op4_substring_dedup, OP4_SQL),
+    "op8_minhash_chosen_path": (op8_minhash, None),
     "op9_exact_dedup": (op9_exact_dedup, OP9_SQL),
 }
 
