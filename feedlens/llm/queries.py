@@ -44,6 +44,12 @@ FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id
 """
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vectors import vector_duplicates
+
+    return vector_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .nearsets import near_duplicates
 
@@ -68,6 +74,7 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 _QUERIES: dict[str, tuple[Build, str | None]] = {
     "op2_sentencepiece": (op2_sentencepiece, None),
     "op4_substring_dedup": (op4_substring_dedup, OP4_SQL),
+    "op5_embedding_dedup": (op5_embedding_dedup, None),
     "op8_minhash_chosen_path": (op8_minhash, None),
     "op9_exact_dedup": (op9_exact_dedup, OP9_SQL),
 }
