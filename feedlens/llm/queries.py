@@ -12,6 +12,12 @@ from .common import table
 Build = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify_language
+
+    return identify_language(table(spark, sf_dir, "documents"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -20,6 +26,12 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repeats import drop_repeated_windows
 
@@ -79,7 +91,9 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
 _QUERIES: dict[str, tuple[Build, str | None]] = {
+    "op1_language_id": (op1_language_id, None),
     "op2_sentencepiece": (op2_sentencepiece, None),
+    "op3_quality": (op3_quality, None),
     "op4_substring_dedup": (op4_substring_dedup, OP4_SQL),
     "op5_embedding_dedup": (op5_embedding_dedup, None),
     "op8_minhash_chosen_path": (op8_minhash, None),
