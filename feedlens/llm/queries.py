@@ -62,6 +62,29 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.95)
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import conversation_digests, format_conversations
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return conversation_digests(format_conversations(rows.unionByName(more)))
+
+
+OP7_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(regexp_replace(role, '[\\#<:]', '..', 'g')) + length(regexp_replace(text, '[\\#<]', '..', 'g')) + 14) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .nearsets import near_duplicates
 
@@ -96,6 +119,7 @@ _QUERIES: dict[str, tuple[Build, str | None]] = {
     "op3_quality": (op3_quality, None),
     "op4_substring_dedup": (op4_substring_dedup, OP4_SQL),
     "op5_embedding_dedup": (op5_embedding_dedup, None),
+    "op7_chat_format": (op7_chat_format, OP7_SQL),
     "op8_minhash_chosen_path": (op8_minhash, None),
     "op9_exact_dedup": (op9_exact_dedup, OP9_SQL),
     "op10_source_mixing": (op10_source_mixing, None),
