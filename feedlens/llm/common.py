@@ -33,6 +33,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """This session's own folder below the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage: compute once and store in the shared checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)

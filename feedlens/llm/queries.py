@@ -62,6 +62,12 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.95)
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .extraction import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import conversation_digests, format_conversations
 
@@ -113,16 +119,24 @@ SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 _QUERIES: dict[str, tuple[Build, str | None]] = {
     "op1_language_id": (op1_language_id, None),
     "op2_sentencepiece": (op2_sentencepiece, None),
     "op3_quality": (op3_quality, None),
     "op4_substring_dedup": (op4_substring_dedup, OP4_SQL),
     "op5_embedding_dedup": (op5_embedding_dedup, None),
+    "op6_html_extraction": (op6_html_extraction, None),
     "op7_chat_format": (op7_chat_format, OP7_SQL),
     "op8_minhash_chosen_path": (op8_minhash, None),
     "op9_exact_dedup": (op9_exact_dedup, OP9_SQL),
     "op10_source_mixing": (op10_source_mixing, None),
+    "pipeline": (pipeline, None),
 }
 
 
