@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_RE, durable
+from .common import SPACE_RE, durable, fresh_name
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -32,7 +32,7 @@ def merge_runs(rows: DataFrame, runs: int = 64, steps: int = 2) -> DataFrame:
     """
     level = rows.select("digest", "length", "check", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
                         F.pmod(F.xxhash64("id"), F.lit(runs)).alias("run"))
-    left = runs.bit_length() - 1
+    left = max(1, runs.bit_length() - 1)
     while left > 0:
         down = min(steps, left)
         left -= down
@@ -67,5 +67,6 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df``, unchanged, without those whose text a row with a smaller id has."""
-    dropped = exact_duplicates(df, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("_dropped_id"))
-    return df.join(dropped.distinct(), F.col(id_col).eqNullSafe(F.col("_dropped_id")), "left_anti")
+    name = fresh_name(df, "dropped_id")
+    dropped = exact_duplicates(df, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias(name)).distinct()
+    return df.join(dropped, F.col(id_col).eqNullSafe(F.col(name)), "left_anti")

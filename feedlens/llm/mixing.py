@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, durable
+from .common import WORD_RE, durable, fresh_name
 
 MOST_SOURCES = 100_000
 #: Words in a block, blocks in a shard, and passes over a source at most.
@@ -175,8 +175,8 @@ def mix_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The mixed corpus: each row of ``df`` once for every shard that takes it, shard by shard, in an order
     shuffled within the shard.  Rows repeating an id share the larger decision."""
     decided = mix_decisions(df, id_col, text_col, source_col, **options)
-    copies = (decided.groupBy(F.col(id_col).alias("_mix_id")).agg(F.max_by("shards", F.size("shards")).alias("_mix_shards"))
-              .select("_mix_id", F.posexplode("_mix_shards").alias("_mix_copy", "_mix_shard")))
-    mixed = df.join(copies, F.col(id_col).eqNullSafe(F.col("_mix_id")))
-    shuffled = mixed.withColumn("_mix_order", F.xxhash64("_mix_shard", "_mix_id", "_mix_copy"))
-    return shuffled.repartition("_mix_shard").sortWithinPartitions("_mix_shard", "_mix_order").select(*[df[c] for c in df.columns])
+    key, copy, shard, order = (fresh_name(df, n) for n in ("mix_id", "mix_copy", "mix_shard", "mix_order"))
+    copies = (decided.groupBy(F.col(id_col).alias(key)).agg(F.max_by("shards", F.size("shards")).alias("shards"))
+              .select(key, F.posexplode("shards").alias(copy, shard)))
+    mixed = df.join(copies, F.col(id_col).eqNullSafe(F.col(key))).withColumn(order, F.xxhash64(shard, key, copy))
+    return mixed.repartition(shard).sortWithinPartitions(shard, order).select(*[df[c] for c in df.columns])

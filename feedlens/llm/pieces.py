@@ -150,7 +150,9 @@ class Codec:
         kinds = np.array([p.type for p in proto.pieces])
         self.is_byte, self.is_unknown = kinds == 6, kinds == 2
         #: Chunks can be segmented alone if no piece has a white-space mark after another character.
-        self.splits = self.normalize.plain and not any(re.search(f"[^{MARK}]{MARK}", p.piece) for p in proto.pieces if p.type != 3)
+        mark = self.lib.piece_to_id(MARK)
+        self.mark_ids = [mark]
+        self.splits = self.normalize.plain and kinds[mark] == 1 and not any(re.search(f"[^{MARK}]{MARK}", p.piece) for p in proto.pieces if p.type != 3)
         surface = [bytes([int(p.piece[3:-1], 16)]) if p.type == 6 else b"" if p.type == 3 else proto.trainer_spec.unk_surface.encode() if p.type == 2
                    else p.piece.replace(MARK, " ").encode() for p in proto.pieces]
         self.surface_at = np.concatenate([[0], np.cumsum([len(s) for s in surface])])
@@ -164,7 +166,7 @@ class Codec:
 
     def _learn(self, words: list[str]) -> None:
         """Segment chunks (given without their first mark, which the library puts in front again)."""
-        ids = self.lib.encode(words, num_threads=1)
+        ids = [i if w else self.mark_ids for w, i in zip(words, self.lib.encode(words, num_threads=1))]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((i for x in ids for i in x), np.int32, int(sizes.sum()))
         at = np.concatenate([[0], np.cumsum(sizes)])
