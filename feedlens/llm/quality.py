@@ -21,7 +21,7 @@ from .words import Words
 #: Labelled documents the model is fitted on at most, those with the smallest hash of their id.
 SAMPLE_DOCS = 12_000
 THRESHOLD = 0.3
-TREES, DEPTH, BINS, RATE, L2, LEAST_LEAF = 80, 4, 64, 0.15, 2.0, 8.0
+TREES, DEPTH, BINS, RATE, L2, LEAST_LEAF = 100, 3, 64, 0.15, 1.0, 2.0
 #: Byte classes counted one by one: ASCII punctuation, and groups.
 _PUNCTUATION = [c for c in range(33, 127) if not chr(c).isalnum()]
 _GROUPS = {"upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "space": [32], "newline": [10, 13],
