@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks_by_bytes, durable
+from .common import chunks_by_bytes, durable, fresh_name
 from .components import components
 from .words import Words, mix
 
@@ -115,47 +115,52 @@ def _branch(choices: int):
     return run
 
 
-def _similar(sig: np.ndarray, other: np.ndarray, least: float) -> np.ndarray:
-    """Indices (i, j) of rows of two signature blocks with at least ``least`` equal positions."""
+def _similar(sig: np.ndarray, other: np.ndarray, least: float, same: bool) -> np.ndarray:
+    """Rows (i, j, equal positions) of two signature blocks with at least ``least`` equal positions; of a
+    block with itself, those with i < j."""
     found, step = [], max(1, (1 << 21) // max(1, other.size))
     for i in range(0, len(sig), step):
         equal = (sig[i:i + step, None, :] == other[None, :, :]).sum(2, dtype=np.uint16)
-        a, b = np.nonzero(equal >= least)
-        found.append(np.stack([a + i, b, equal[a, b]], 1))
-    return np.concatenate(found) if found else np.empty((0, 3), np.int64)
+        good = equal >= least
+        if same:
+            good &= np.arange(i, i + len(equal))[:, None] < np.arange(len(other))[None, :]
+        x, y = np.nonzero(good)
+        found.append(np.stack([x + i, y, equal[x, y]], 1).astype(np.int32))
+    return np.concatenate(found) if found else np.empty((0, 3), np.int32)
 
 
-def _comparisons(batches: Iterator[pa.RecordBatch], rows: int = 8192) -> Iterator[tuple[pa.Table, np.ndarray]]:
+def _comparisons(batches: Iterator[pa.RecordBatch], rows: int = 8192, most: int = 24 << 20) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Whole comparisons from batches ordered by (node, i, j): a table of many and their bounds."""
     held: list[pa.RecordBatch] = []
-    count = 0
+    count = size = 0
 
     def cut(t: pa.Table, last: bool):
         key = np.stack([t.column(c).to_numpy() for c in ("node", "i", "j")])
         starts = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(0)))
         return (t, np.append(starts, t.num_rows), None) if last else (t.slice(0, starts[-1]), starts, t.slice(starts[-1]))
 
-    for b in batches:
-        if b.num_rows:
+    for whole_batch in batches:
+        for start in range(0, whole_batch.num_rows, 1024):
+            b = whole_batch.slice(start, 1024)
             held.append(b)
-            count += b.num_rows
-        if count >= rows:
-            whole, bounds, rest = cut(pa.Table.from_batches(held), False)
-            held, count = rest.to_batches(), max(0, rest.num_rows)
-            if whole.num_rows:
-                yield whole, bounds
-            rows = max(rows, 2 * count)
+            count, size = count + b.num_rows, size + b.nbytes
+            if count >= rows or size >= most:
+                whole, bounds, rest = cut(pa.Table.from_batches(held), False)
+                held, count, size = rest.to_batches(), rest.num_rows, rest.nbytes
+                if whole.num_rows:
+                    yield whole, bounds
     if held:
         yield cut(pa.Table.from_batches(held), True)[:2]
 
 
-def _pairs(t: pa.Table, bounds: np.ndarray, least: float) -> np.ndarray:
-    """Candidate pairs (row, row, equal positions) inside each comparison of the table."""
+def _pairs(t: pa.Table, bounds: np.ndarray, least: float) -> Iterator[np.ndarray]:
+    """Candidate pairs (row, row, equal positions) inside each comparison of the table: those of all the
+    small comparisons at once, then those of one large comparison after another."""
     sig = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(t.num_rows, SIGNATURE)
     side = t.column("side").to_numpy()
     starts, sizes = bounds[:-1], np.diff(bounds)
     one_side = np.maximum.reduceat(side, starts) == 0
-    found = []
+    found = [np.empty((0, 3), np.int32)]
     for n in np.unique(sizes[one_side & (sizes <= 16)]):
         a, b = np.triu_indices(n, 1)
         at = starts[one_side & (sizes == n)][:, None]
@@ -164,23 +169,26 @@ def _pairs(t: pa.Table, bounds: np.ndarray, least: float) -> np.ndarray:
             x, y = left[k:k + (1 << 14)], right[k:k + (1 << 14)]
             equal = (sig[x] == sig[y]).sum(1)
             good = equal >= least
-            found.append(np.stack([x[good], y[good], equal[good]], 1))
+            found.append(np.stack([x[good], y[good], equal[good]], 1).astype(np.int32))
+    yield np.concatenate(found)
     for g in np.flatnonzero(~one_side | (sizes > 16)):
         at = starts[g]
         mine = side[at:bounds[g + 1]]
         left, right = at + np.flatnonzero(mine == 0), at + np.flatnonzero(mine == 1)
-        got = _similar(sig[left], sig[right if len(right) else left], least)
-        got = np.stack([left[got[:, 0]], (right if len(right) else left)[got[:, 1]], got[:, 2]], 1)
-        found.append(got if len(right) else got[got[:, 0] < got[:, 1]])
-    return np.concatenate(found) if found else np.empty((0, 3), np.int64)
+        same = not len(right)
+        got = _similar(sig[left], sig[left if same else right], least, same)
+        got[:, 0], got[:, 1] = left[got[:, 0]], (left if same else right)[got[:, 1]]
+        yield got
 
 
 def _active(least: float):
     """The members of each comparison that have a possible partner in it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, bounds in _comparisons(batches):
-            pairs = _pairs(t, bounds, least)
-            yield from t.take(pa.array(np.unique(pairs[:, :2]), pa.int64())).combine_chunks().to_batches()
+            hit = np.zeros(t.num_rows, bool)
+            for pairs in _pairs(t, bounds, least):
+                hit[pairs[:, :2]] = True
+            yield from t.filter(pa.array(hit)).combine_chunks().to_batches()
     return run
 
 
@@ -191,31 +199,28 @@ def _overlap(x: np.ndarray, y: np.ndarray) -> int:
     return int((large[at] == small).sum())
 
 
-def _confirm(least: float, percent: int):
+def _confirm(least: float, percent: int, chunk: int = 4096):
     """Links of each comparison, confirmed on whole sets; those that connect nothing new are left out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, bounds in _comparisons(batches):
             ids = t.column("id").to_numpy()
             sets = [np.frombuffer(x, _U) for x in t.column("shingles").to_pylist()]
-            pairs = _pairs(t, bounds, least)
-            pairs = pairs[np.argsort(-pairs[:, 2], kind="stable")]
-            parent = list(range(len(ids)))
-
-            def root(x: int) -> int:
-                while parent[x] != x:
-                    parent[x] = parent[parent[x]]
-                    x = parent[x]
-                return x
-
+            sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+            group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            part = np.arange(len(ids))                      # the connected part each row is in
             links = []
-            for a, b, _ in pairs.tolist():
-                ra, rb = root(a), root(b)
-                n, m = len(sets[a]), len(sets[b])
-                if ra != rb and 100 * min(n, m) >= percent * max(n, m):
-                    both = _overlap(sets[a], sets[b])
-                    if 100 * both >= percent * (n + m - both):
-                        parent[ra] = rb
-                        links.append((a, b))
+            for pairs in _pairs(t, bounds, least):
+                pairs = pairs[np.argsort(-pairs[:, 2], kind="stable"), :2]
+                for k in range(0, len(pairs), chunk):
+                    a, b = pairs[k:k + chunk].T
+                    new = (part[a] != part[b]) & (100 * np.minimum(sizes[a], sizes[b]) >= percent * np.maximum(sizes[a], sizes[b]))
+                    for x, y in zip(a[new].tolist(), b[new].tolist()):
+                        if part[x] != part[y]:
+                            both = _overlap(sets[x], sets[y])
+                            if 100 * both >= percent * (int(sizes[x] + sizes[y]) - both):
+                                mine = slice(bounds[group[x]], bounds[group[x] + 1])
+                                part[mine][part[mine] == part[x]] = part[y]
+                                links.append((x, y))
             out = np.array(links, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(ids[out[:, 0]], pa.int64()), pa.array(ids[out[:, 1]], pa.int64())], ["a", "b"])
     return run
@@ -312,6 +317,6 @@ def _with_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def drop_near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df``, unchanged, of one document (the smallest id) per group of near duplicates."""
-    dropped = near_duplicates(df, width, percent, id_col=id_col, text_col=text_col).where(~F.col("kept")).select(
-        F.col(id_col).alias("_dropped_id")).distinct()
-    return df.join(dropped, F.col(id_col) == F.col("_dropped_id"), "left_anti")
+    name = fresh_name(df, "dropped_id")
+    dropped = near_duplicates(df, width, percent, id_col=id_col, text_col=text_col).where(~F.col("kept")).select(F.col(id_col).alias(name)).distinct()
+    return df.join(dropped, F.col(id_col) == F.col(name), "left_anti")
