@@ -26,7 +26,7 @@ from .common import WORD_RE, durable, fresh_name
 
 MOST_SOURCES = 100_000
 #: Words in a block, blocks in a shard, and passes over a source at most.
-BLOCK_WORDS, SHARD_BLOCKS, MOST_PASSES = 1 << 18, 64, 3
+BLOCK_WORDS, SHARD_BLOCKS, MOST_PASSES = 1 << 17, 32, 3
 WEIGHTS = (5, 2, 1)
 #: Further looks through an opened block for documents that still fit.
 REFINE = 3

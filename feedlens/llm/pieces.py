@@ -23,9 +23,9 @@ from .common import chunks_by_bytes
 MARK = "▁"
 _CHUNKS = re.compile(f"{MARK}+[^{MARK}]*")
 #: Distinct chunks one task remembers; beyond that it starts afresh.
-CACHE_CHUNKS = 1 << 18
+CACHE_CHUNKS = 1 << 16
 #: Segments longer than this are not remembered beyond their slice.
-CACHE_BYTES = 1 << 25
+CACHE_BYTES = 1 << 23
 
 
 class CharMap:
@@ -278,7 +278,7 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
-        for b in chunks_by_bytes(batches, "text"):
+        for b in chunks_by_bytes(batches, "text", 1 << 20):
             codec = codec or Codec(model)
             texts = [t or "" for t in b.column("text").to_pylist()]
             offsets, ids, ends = codec.encode(texts)
