@@ -1,6 +1,7 @@
 """The public surface under the names used by the survey's target API.
 
-Everything here re-exports or dispatches to the operators; all functions are lazy.
+Everything here re-exports or dispatches to the operators.  All functions that return frames are lazy;
+``write_results`` and a started ``stream_reviews`` run jobs.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ def normalize(df: DataFrame, as_of) -> DataFrame:
 
 
 def score(df: DataFrame, scorer: str | Callable = "lexicon", **kw) -> DataFrame:
-    """``"rating"``, ``"lexicon"`` (native) or any pandas batch scorer (mapInPandas)."""
+    """``"rating"``, ``"lexicon"`` (native) or any pandas batch scorer (pandas UDF)."""
     if scorer == "rating":
         return _scoring.rating_scorer(df, **kw)
     if scorer == "lexicon":
@@ -68,7 +69,7 @@ overall_metrics = _metrics.overall_metrics
 class_distribution = _metrics.class_distribution
 confidence_by_class = _metrics.confidence_by_class
 metadata_keys = _profile.metadata_key_census
-stream_scored = _streams.stream_scored
+stream_reviews = _streams.stream_reviews
 stream_timeseries = _streams.stream_timeseries
 stream_spikes = _streams.stream_spikes
 

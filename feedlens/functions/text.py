@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from .labels import sql_list
@@ -26,24 +28,18 @@ MIN_JOINED_CHARS = 50
 
 # Word characters as Python's Unicode ``\w``: letters, numbers, underscore.  Splitting on runs of
 # anything else and keeping whole tokens that match KEYWORD_PATTERN equals ``\b[a-z]{3,}\b``.
-NON_WORD_SPLIT = "[^\\p{L}\\p{N}_]+"
 UNIQUE_STOP_WORDS = sorted(set(STOP_WORDS))
 # The same whole-token rule as one scan: a run of [a-z]{3,} not touching another word character.
 _WORD_CHAR = "[\\p{L}\\p{N}_]"
 KEYWORD_TOKEN_REGEX = f"(?<!{_WORD_CHAR})[a-z]{{3,}}(?!{_WORD_CHAR})"
 
 
-def whole_word_regex(words_: list[str]) -> str:
-    """Regex matching any of ``words_`` as a whole token (for counting lexicon hits in one scan)."""
-    import re
-    alt = "|".join(re.escape(w) for w in sorted(set(words_), key=lambda w: (-len(w), w)))
-    return f"(?<!{_WORD_CHAR})(?:{alt})(?!{_WORD_CHAR})"
-
-
-def words(text: Column | str) -> Column:
-    """All word tokens of the lower-cased text (empty strings possible at the ends)."""
-    c = F.col(text) if isinstance(text, str) else text
-    return F.split(F.lower(c), NON_WORD_SPLIT)
+def whole_words_regex(words_: list[str]) -> str:
+    """Regex matching any of ``words_`` as a whole token.  The look-ahead for a first letter fails fast
+    at most positions of a text."""
+    alt = sorted(set(words_), key=lambda w: (-len(w), w))
+    first = "".join(sorted({w[0] for w in alt}))
+    return f"(?<!{_WORD_CHAR})(?=[{first}])(?:{'|'.join(map(re.escape, alt))})(?!{_WORD_CHAR})"
 
 
 def candidate_keywords(text: Column | str) -> Column:
@@ -53,15 +49,6 @@ def candidate_keywords(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(KEYWORD_TOKEN_REGEX), 0)
 
 
-def keyword_tokens(text: Column | str, stop_words: list[str] | None = None) -> Column:
-    """Array of keyword tokens (stop words removed) — the per-row form of W2's tokenizer.
-
-    Operators that explode the tokens apply the stop-word test after ``explode`` instead, where it
-    is a codegen'd hash-set filter rather than an interpreted lambda."""
-    stops = UNIQUE_STOP_WORDS if stop_words is None else sorted(set(stop_words))
-    return F.filter(candidate_keywords(text), lambda w: ~w.isin(stops))
-
-
 def keyword_tokens_sql(text: str, stop_words: list[str] | None = None) -> str:
     """DuckDB form: list of keyword tokens of ``text``."""
     stops = UNIQUE_STOP_WORDS if stop_words is None else sorted(set(stop_words))

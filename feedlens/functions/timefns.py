@@ -15,6 +15,8 @@ from pyspark.sql import Column, functions as F
 
 def _epoch() -> Column:
     return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
 GROUP_BY_UNITS = ("hour", "day", "week")
 
 
@@ -59,7 +61,10 @@ def ntz_to_instant(ts: Column | str) -> Column:
 
 
 def epoch_seconds_to_ntz(secs: Column) -> Column:
-    return F.timestamp_add("MICROSECOND", (secs * F.lit(1_000_000)).cast("long"), _epoch())
+    """Wall clock of epoch seconds; NULL outside the years 1 to 9999."""
+    in_range = (secs >= F.lit(-62_135_596_800.0)) & (secs < F.lit(253_402_300_800.0))
+    micros = F.when(in_range, secs * F.lit(1_000_000)).try_cast("long")
+    return F.timestamp_add("MICROSECOND", micros, _epoch())
 
 
 def parse_event_time(raw: Column | str, fallback=None) -> Column:
@@ -74,8 +79,8 @@ def parse_event_time(raw: Column | str, fallback=None) -> Column:
     epoch = epoch_seconds_to_ntz(t.try_cast("double"))
     zoned = instant_to_ntz(F.try_to_timestamp(F.regexp_replace(t, "[zZ]$", "+00:00")))
     plain = t.try_cast("timestamp_ntz")
-    parsed = F.when(t.rlike("^[+-]?[0-9]+(\\.[0-9]*)?$"), epoch) \
-        .when(has_zone, zoned).otherwise(plain)
+    number = t.rlike("^[+-]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)([eE][+-]?[0-9]+)?$")
+    parsed = F.when(number, epoch).when(has_zone, zoned).otherwise(plain)
     if fallback is None:
         return parsed
     return F.coalesce(parsed, ntz(fallback))
@@ -91,12 +96,16 @@ def bucket(ts: Column | str, unit: str) -> Column:
         return day.cast("timestamp_ntz")
     if unit == "week":
         return F.trunc(day, "week").cast("timestamp_ntz")
-    raise ValueError("group_by must be 'hour', 'day', or 'week'")
+    raise ValueError(_unit_error(unit))
+
+
+def _unit_error(unit) -> str:
+    return f"unknown time unit {unit!r}; use one of {', '.join(GROUP_BY_UNITS)}"
 
 
 def bucket_sql(ts: str, unit: str) -> str:
     if unit not in GROUP_BY_UNITS:
-        raise ValueError("group_by must be 'hour', 'day', or 'week'")
+        raise ValueError(_unit_error(unit))
     return f"CAST(date_trunc('{unit}', {ts}) AS TIMESTAMP)"
 
 

@@ -8,14 +8,27 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.labels import polarity
 from ..functions.timefns import ntz
 
+#: The fact table's partition column: the day of ``event_ts``.
+DATE_COLUMN = "event_date"
+
 
 def time_range(df: DataFrame, start=None, end=None, col: str = "event_ts") -> DataFrame:
-    """inclusive [start, end] on the event timestamp (either bound optional)."""
+    """inclusive [start, end] on the event timestamp (either bound optional).
+
+    On a fact table the same bounds go to its partition column, so other days are not opened."""
     c = F.col(col)
     if start is not None:
-        df = df.where(c >= ntz(start))
+        df = _from_day(df.where(c >= ntz(start)), ntz(start), col)
     if end is not None:
         df = df.where(c <= ntz(end))
+        if col == "event_ts" and DATE_COLUMN in df.columns:
+            df = df.where(F.col(DATE_COLUMN) <= F.to_date(ntz(end)))
+    return df
+
+
+def _from_day(df: DataFrame, start, col: str) -> DataFrame:
+    if col == "event_ts" and DATE_COLUMN in df.columns:
+        return df.where(F.col(DATE_COLUMN) >= F.to_date(start))
     return df
 
 
@@ -85,7 +98,8 @@ def of_polarity(df: DataFrame, which: str, scheme: str = "m1s") -> DataFrame:
 
 def recent_days(df: DataFrame, as_of, days: int, col: str = "event_ts") -> DataFrame:
     """rows at or after as_of - days."""
-    return df.where(F.col(col) >= ntz(as_of) - F.make_dt_interval(F.lit(days)))
+    start = ntz(as_of) - F.make_dt_interval(F.lit(days))
+    return _from_day(df.where(F.col(col) >= start), start, col)
 
 
 def has_metadata_key(df: DataFrame, key: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Model metrics against star ratings: A15–A19 and the zero-filled class grid J6.
 
-Each fact row is reduced to (actual, predicted, confidence) and aggregated once into at most 9
-confusion cells; every metric is derived from those cells (or one more tiny aggregate), so the
-work is one partial+final aggregation regardless of data size.
+Each fact row is reduced to (actual, predicted, confidence) and aggregated once into a single row of nine
+conditional counts and the totals per predicted class; every metric is arithmetic on that row, expanded with
+``inline``.  The facts are read once, nothing is joined and one row per task is shuffled.
 """
 
 from __future__ import annotations
@@ -41,72 +41,77 @@ def classified(df: DataFrame, max_rows: int | None = None) -> DataFrame:
         F.coalesce(F.col("confidence_score"), F.lit(0.0)).alias("confidence"))
 
 
-def _grid(spark) -> DataFrame:
-    """The 3×3 (actual, predicted) grid — a constant nine-row dimension."""
-    return spark.createDataFrame([(a, p) for a in CLASSES for p in CLASSES], "actual string, predicted string")
+def _cell(actual: str, predicted: str) -> Column:
+    return F.count_if((F.col("actual") == actual) & (F.col("predicted") == predicted))
+
+
+def metric_row(df: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """One row with everything A15–A19 need: the nine confusion cells (``n_<actual>_<predicted>``, J6:
+    zero when empty), rows per predicted class and the sum of their confidences.  Always one row."""
+    c = classified(df, max_rows)
+    cells = [_cell(a, p).alias(f"n_{a}_{p}") for a in CLASSES for p in CLASSES]
+    cells += [F.count_if(F.col("predicted") == p).alias(f"rows_{p}") for p in CLASSES]
+    cells += [F.avg(F.when(F.col("predicted") == p, F.col("confidence"))).alias(f"conf_{p}") for p in CLASSES]
+    return c.agg(*cells)
+
+
+def _n(actual: str, predicted: str) -> Column:
+    return F.col(f"n_{actual}_{predicted}")
+
+
+def _total(cols: list[Column]) -> Column:
+    out = cols[0]
+    for c in cols[1:]:
+        out = out + c
+    return out
+
+
+def _share(part: Column, whole: Column) -> Column:
+    return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
+
+
+def _per_class(cls: str) -> dict[str, Column]:
+    """Rounded precision, recall and F1 (x100, 1 dp, half-even) and the support of one class."""
+    tp, support = _n(cls, cls), _total([_n(cls, p) for p in CLASSES])
+    precision, recall = _share(tp, _total([_n(a, cls) for a in CLASSES])), _share(tp, support)
+    f1 = F.when(precision + recall > 0, F.lit(2.0) * precision * recall / (precision + recall)).otherwise(F.lit(0.0))
+    return {"precision": py_round(precision * 100, 1), "recall": py_round(recall * 100, 1), "f1_score": py_round(f1 * 100, 1), "support": support}
+
+
+def _rows(row: DataFrame, structs: list[Column]) -> DataFrame:
+    return row.select(F.inline(F.array(*structs)))
 
 
 def confusion_matrix(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """A15 (+J6): counts per (actual, predicted), zero-filled over the 3×3 grid."""
-    c = classified(df, max_rows).where(F.col("actual").isNotNull()) \
-        .groupBy("actual", "predicted").agg(F.count(F.lit(1)).alias("count"))
-    grid = _grid(df.sparkSession)
-    return (F.broadcast(grid).join(c, ["actual", "predicted"], "left")
-            .select("actual", "predicted", F.coalesce("count", F.lit(0)).cast("long").alias("count")))
+    return _rows(metric_row(df, max_rows), [F.struct(F.lit(a).alias("actual"), F.lit(p).alias("predicted"), _n(a, p).alias("count"))
+                                            for a in CLASSES for p in CLASSES])
 
 
 def class_metrics(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Per class precision / recall / F1 (×100, 1 dp, half-even) and support."""
-    cm = confusion_matrix(df, max_rows)
-    rows = cm.groupBy(F.col("actual").alias("class")).agg(
-        F.sum("count").alias("support"),
-        F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("count")).otherwise(0)).alias("tp"))
-    cols = cm.groupBy(F.col("predicted").alias("class")).agg(F.sum("count").alias("predicted_total"))
-    j = rows.join(cols, "class")
-    tp, sup, pt = F.col("tp"), F.col("support"), F.col("predicted_total")
-    precision = F.when(pt > 0, tp / pt).otherwise(F.lit(0.0))
-    recall = F.when(sup > 0, tp / sup).otherwise(F.lit(0.0))
-    j = j.withColumns({"_p": precision, "_r": recall})
-    f1 = F.when(F.col("_p") + F.col("_r") > 0,
-                F.lit(2.0) * F.col("_p") * F.col("_r") / (F.col("_p") + F.col("_r"))).otherwise(F.lit(0.0))
-    return j.select("class",
-                    py_round(F.col("_p") * 100, 1).alias("precision"),
-                    py_round(F.col("_r") * 100, 1).alias("recall"),
-                    py_round(f1 * 100, 1).alias("f1_score"),
-                    F.col("support").cast("long").alias("support"))
+    return _rows(metric_row(df, max_rows), [F.struct(F.lit(c).alias("class"), *[v.alias(k) for k, v in _per_class(c).items()]) for c in CLASSES])
 
 
 def overall_metrics(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Accuracy and support-weighted precision / recall / F1 over the rounded class values."""
-    pc = class_metrics(df, max_rows)
-    cm = confusion_matrix(df, max_rows)
-    acc = cm.agg((F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("count")).otherwise(0))
-                  .cast("double") / F.sum("count")).alias("a"))
-    ts = F.sum("support")
+    per = {c: _per_class(c) for c in CLASSES}
+    rows = _total([per[c]["support"] for c in CLASSES])
 
-    def weighted(c):
-        return F.when(ts > 0, F.sum(F.col(c) * F.col("support")) / ts).otherwise(F.lit(0.0))
-    w = pc.agg(py_round(weighted("precision"), 1).alias("weighted_precision"),
-               py_round(weighted("recall"), 1).alias("weighted_recall"),
-               py_round(weighted("f1_score"), 1).alias("weighted_f1"))
-    return w.withColumn("accuracy", py_round(F.coalesce(acc.scalar(), F.lit(0.0)) * 100, 1))
+    def weighted(what):
+        return py_round(_share(_total([per[c][what] * per[c]["support"] for c in CLASSES]), rows), 1)
+    return metric_row(df, max_rows).select(
+        weighted("precision").alias("weighted_precision"), weighted("recall").alias("weighted_recall"), weighted("f1_score").alias("weighted_f1"),
+        py_round(_share(_total([_n(c, c) for c in CLASSES]), rows) * 100, 1).alias("accuracy"))
 
 
 def class_distribution(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Per class, labelled rows by actual class and all rows by predicted class."""
-    c = classified(df, max_rows)
-    a = c.groupBy(F.col("actual").alias("class")).agg(F.count(F.lit(1)).alias("actual_count"))
-    p = c.groupBy(F.col("predicted").alias("class")).agg(F.count(F.lit(1)).alias("predicted_count"))
-    classes = df.sparkSession.createDataFrame([(x,) for x in CLASSES], "class string")
-    return (F.broadcast(classes).join(a, "class", "left").join(p, "class", "left")
-            .select("class", F.coalesce("actual_count", F.lit(0)).cast("long").alias("actual_count"),
-                    F.coalesce("predicted_count", F.lit(0)).cast("long").alias("predicted_count")))
+    return _rows(metric_row(df, max_rows), [F.struct(F.lit(c).alias("class"), _total([_n(c, p) for p in CLASSES]).alias("actual_count"),
+                                                     F.col(f"rows_{c}").alias("predicted_count")) for c in CLASSES])
 
 
 def confidence_by_class(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Mean confidence (NULL read as 0) per predicted class, 3 dp; 0 for an empty class."""
-    c = classified(df, max_rows)
-    g = c.groupBy(F.col("predicted").alias("class")).agg(F.avg("confidence").alias("_m"))
-    classes = df.sparkSession.createDataFrame([(x,) for x in CLASSES], "class string")
-    return (F.broadcast(classes).join(g, "class", "left")
-            .select("class", F.coalesce(py_round(F.col("_m"), 3), F.lit(0.0)).alias("avg_confidence")))
+    return _rows(metric_row(df, max_rows), [F.struct(F.lit(c).alias("class"), F.coalesce(py_round(F.col(f"conf_{c}"), 3), F.lit(0.0)).alias("avg_confidence"))
+                                            for c in CLASSES])

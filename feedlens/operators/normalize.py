@@ -71,7 +71,12 @@ def reviews_to_feedback(reviews: DataFrame, as_of) -> DataFrame:
 
 def drop_blank_text(df: DataFrame, text_col: str = "Text") -> DataFrame:
     """Drop rows whose text is missing or only (Unicode) white space."""
-    return df.where(F.col(text_col).rlike("(?U)\\S"))
+    return df.where(has_text(F.col(text_col)))
+
+
+def has_text(text: Column) -> Column:
+    """P8's condition: some character that is not (Unicode) white space."""
+    return text.rlike("(?U)\\S")
 
 
 def fill_review_defaults(df: DataFrame, defaults: dict | None = None) -> DataFrame:

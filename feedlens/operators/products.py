@@ -13,6 +13,10 @@ from ..functions.labels import count_polarity
 from ..functions.numeric import pct
 from . import filters
 
+# ---- fixed values (must equal the reference) -------------------------------------------------
+THEMES_PREFIX, NO_THEMES = "Key themes: ", "No key themes detected."
+# ------------------------------------------------------------------------------------------------
+
 
 def product_rollup(df: DataFrame, min_reviews: int = 1, scheme: str = "m1s") -> DataFrame:
     """A3: per known product (F5) total, pos/neg/neu counts and %, avg confidence, first/last."""
@@ -108,14 +112,6 @@ def emotion_counts_long(df: DataFrame) -> DataFrame:
               .agg(F.count(F.lit(1)).alias("count")))
 
 
-def emotion_counts(df: DataFrame) -> DataFrame:
-    """A10: per product a map emotion -> count (the label set per product is small)."""
-    long = emotion_counts_long(df)
-    return long.groupBy("product").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("emotion", "count"))))
-        .alias("emotion_counts"))
-
-
 def modal_value(df: DataFrame, key: str, value: str, out: str | None = None) -> DataFrame:
     """Most frequent non-null value per key; ties go to the smallest value.
 
@@ -149,11 +145,11 @@ def key_themes(pos_keywords: Column, neg_keywords: Column, n: int = 5) -> Column
 
 
 def product_description(csv_description: Column, themes: Column) -> Column:
-    """Modal CSV description, else 'Key themes: ...', else 'No key themes detected.'"""
+    """Modal CSV description, else the key themes, else a fixed sentence."""
     return F.coalesce(
         csv_description,
-        F.when(F.size(themes) > 0, F.concat(F.lit("Key themes: "), F.array_join(themes, ", "))),
-        F.lit("No key themes detected."))
+        F.when(F.size(themes) > 0, F.concat(F.lit(THEMES_PREFIX), F.array_join(themes, ", "))),
+        F.lit(NO_THEMES))
 
 
 def product_summary(df: DataFrame, top_n: int = 10, as_of=None) -> DataFrame:

@@ -17,7 +17,7 @@ from ..functions.labels import count_polarity, polarity
 from ..functions.numeric import pct, py_fixed_text, py_percent_text, py_round, ratio
 from ..functions.timefns import ntz
 from . import filters
-from .products import products_page
+from .products import product_rollup, products_page
 from .profile import statistics
 from .timeseries import sentiment_timeseries
 
@@ -83,6 +83,8 @@ ESCALATION_DEFAULT = "Low"
 INSIGHT_MIN, INSIGHT_POS, INSIGHT_NEG = 3, 0.7, 0.3
 # ------------------------------------------------------------------------------------------------
 
+DEFAULT_ORDER = 6       # the default suggestion comes last
+
 _FIELD = re.compile(r"\{(\w+)\}")
 
 
@@ -145,18 +147,22 @@ def by_team_m2(df: DataFrame) -> DataFrame:
 
 
 def suggestion_groups(df: DataFrame) -> DataFrame:
-    """A12–A14 in one pass: M2 counts for all rows, per product and per customer type as grouping
-    sets of a single aggregate (``level`` = overall / product / team)."""
-    # polarity is projected once and counted with count(when(...)) rather than count_if, whose
-    # common-expression rewrite gives each use of this aggregate its own alias names
-    d = df.withColumn("_m2", polarity("sentiment_label", "m2"))
-    g = d.groupingSets([[], ["product"], ["team"]], "product", "team").agg(
+    """A12–A14 in one pass: M2 counts for all rows, per product and per customer type in a single
+    aggregate (``level`` = overall / product / team).  The three keys of a row are an inline array
+    rather than grouping sets, whose shuffle Spark does not recognise as the same in a second use.
+
+    One extra row that no count includes makes sure of an overall row for empty input."""
+    extra = df.sparkSession.range(1).select(*[F.lit(None).cast("string").alias(c) for c in ("product", "team", "_m2")], F.lit(None).cast("int").alias("_real"))
+    d = df.select("product", "team", polarity("sentiment_label", "m2").alias("_m2"), F.lit(1).alias("_real")).unionByName(extra)
+    keys = F.array(*[F.struct(F.lit(level).alias("level"), key.alias("key")) for level, key in
+                     (("overall", F.lit(None).cast("string")), ("product", F.col("product")), ("team", F.col("team")))])
+    g = d.select("_m2", "_real", F.inline(keys)).groupBy("level", "key").agg(
         F.count(F.when(F.col("_m2") == "positive", 1)).alias("positive"),
         F.count(F.when(F.col("_m2") == "negative", 1)).alias("negative"),
         F.count(F.when(F.col("_m2") == "neutral", 1)).alias("neutral"),
-        F.count(F.lit(1)).alias("total"), F.grouping_id().alias("_gid"))
-    level = F.when(F.col("_gid") == 3, "overall").when(F.col("_gid") == 1, "product").otherwise("team")
-    return g.withColumn("level", level).drop("_gid")
+        F.count("_real").alias("total"))
+    return g.where((F.col("level") == "overall") | (F.col("total") > 0)).withColumns(
+        {c: F.when(F.col("level") == c, F.col("key")) for c in ("product", "team")}).drop("key")
 
 
 def _candidate(fire: Column, rule, subject: Column | None, ratio_col: Column, points: Column,
@@ -174,15 +180,14 @@ def _candidate(fire: Column, rule, subject: Column | None, ratio_col: Column, po
 
 
 def suggestions(df: DataFrame, sentiment: str | None = None, customer_type: str | None = None,
-                product: str | None = None, max_rows: int | None = 1000) -> DataFrame:
-    """R2 (+U4, W6): rule-based suggestions over the filtered (F8), newest ``max_rows`` rows (W4),
-    all rule outputs in one list (U4), ordered by priority (W6).
-
-    One grouping-sets aggregate yields the overall, per-product and per-customer-type rows; every
-    rule is a candidate struct on its row and the fired ones are emitted with ``inline`` (U4 without
-    re-scanning).  The default "Continue Monitoring" row appears only when no rule fired, decided by
-    a global aggregate over the same grouped rows (no subquery, no collect).  Ordered by priority,
-    then rule, then subject.
+                product: str | None = None, max_rows: int | None = None) -> DataFrame:
+    """R2 (+U4, W6): rule-based suggestions over the filtered rows (F8), all rule outputs in one list
+    (U4), ordered by priority (W6).  ``max_rows`` restricts them to the newest rows (W4) on request.
+
+    One aggregate yields the overall, per-product and per-customer-type rows; every
+    rule is a candidate struct on its row and the fired ones are emitted with ``inline``.  The default
+    "Continue Monitoring" row is a candidate of the overall row (there is one for empty input too) and
+    goes again if any other rule fired.  The facts are read once.
     """
     d = newest(filters.with_all_sentinel(df, sentiment, customer_type, product), max_rows)
     g = suggestion_groups(d)
@@ -197,16 +202,13 @@ def suggestions(df: DataFrame, sentiment: str | None = None, customer_type: str
         _candidate(is_prod & (nr > PRODUCT_NEG), SUGGEST_PRODUCT_FIX, prod_subj, nr, F.col("negative"), 3),
         _candidate(is_prod & ~(nr > PRODUCT_NEG) & (pr > PRODUCT_POS), SUGGEST_PRODUCT_PROMOTE, prod_subj,
                    pr, F.col("positive"), 4),
-        _candidate(is_team & (nr > TEAM_NEG), SUGGEST_RETENTION, F.col("team"), nr, F.col("negative"), 5))
+        _candidate(is_team & (nr > TEAM_NEG), SUGGEST_RETENTION, F.col("team"), nr, F.col("negative"), 5),
+        _candidate(lvl == "overall", SUGGEST_DEFAULT, None, F.lit(0.0), tot, DEFAULT_ORDER))
     fired = g.select(F.inline(F.filter(cands, lambda c: c["fire"]))).drop("fire")
-    # Default row: one global aggregate over the same grouped rows (always exactly one row, also for
-    # empty input; partial per task) says whether any rule fired and carries the overall total.
-    state = g.agg(F.max(F.exists(cands, lambda c: c["fire"])).alias("any_fired"),
-                  F.max(F.when(lvl == "overall", tot)).alias("overall_total"))
-    default = state.where(~F.coalesce(F.col("any_fired"), F.lit(False))).select(F.inline(F.array(
-        _candidate(F.lit(True), SUGGEST_DEFAULT, None, F.lit(0.0),
-                   F.coalesce(F.col("overall_total"), F.lit(0)), 6)))).drop("fire")
-    return fired.unionByName(default).orderBy(F.col("priority_rank").desc(), "rule_order", "subject")
+    # Whether anything else fired is a scalar over the same grouped rows, whose shuffle is reused.
+    any_rule = g.agg(F.max(F.exists(F.slice(cands, 1, DEFAULT_ORDER - 1), lambda c: c["fire"]))).scalar()
+    out = fired.where((F.col("rule_order") < DEFAULT_ORDER) | ~F.coalesce(any_rule, F.lit(False)))
+    return out.orderBy(F.col("priority_rank").desc(), "rule_order", "subject")
 
 
 # ---- A20–A21, J4, R3: alerts -------------------------------------------------------------------
@@ -281,7 +283,7 @@ def business_top(df: DataFrame, n: int = 20) -> DataFrame:
 
 def escalations(df: DataFrame, n: int = 6) -> DataFrame:
     """Severity of the n largest products by negative share."""
-    t = business_top(df).where(F.col("rank") <= n)
+    t = business_top(df, n)
     neg_pct = pct(F.col("negative_count"), F.col("total"))
     sev = F.lit(ESCALATION_DEFAULT)
     for bound, name in reversed(ESCALATION_LEVELS):
@@ -292,7 +294,7 @@ def escalations(df: DataFrame, n: int = 6) -> DataFrame:
 
 def volume_leaders(df: DataFrame, n: int = 5) -> DataFrame:
     """Positives, negatives and rounded positive share of the n largest products."""
-    t = business_top(df).where(F.col("rank") <= n)
+    t = business_top(df, n)
     share = F.when(F.col("total") > 0, F.col("positive_count") / F.col("total") * 100).otherwise(F.lit(50.0))
     return t.select("rank", "product", F.col("positive_count").alias("positive"),
                     F.col("negative_count").alias("negative"),
@@ -300,28 +302,33 @@ def volume_leaders(df: DataFrame, n: int = 5) -> DataFrame:
 
 
 # ---- R1: insights ------------------------------------------------------------------------------
-def insights(df: DataFrame, limit: int = 100) -> DataFrame:
-    """R1 (+W5): among the ``limit`` largest known products, top (pos >= 0.7) and attention (neg >= 0.3)
-    lists, five each, by score (ties keep volume order)."""
-    page = products_page(df, limit=limit)
-    vol = Window.orderBy(F.col("total_reviews").desc(), F.col("product_id"))
-    page = page.withColumn("volume_rank", F.row_number().over(vol))   # at most ``limit`` rows
-    q = page.where(F.col("total_reviews") >= INSIGHT_MIN).withColumns({
-        "pos_ratio": F.col("positive_percentage") / 100, "neg_ratio": F.col("negative_percentage") / 100})
-
-    def listing(name, r, bound):
-        c = q.where(F.col(r) >= bound).withColumn("score", F.col(r) * 100)
-        w = Window.orderBy(F.col("score").desc(), "volume_rank")
-        return (c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 5)
-                 .select(F.lit(name).alias("list"), "rank", "product_id", F.col(r).alias("ratio"),
-                         "total_reviews", "score"))
-    return listing("top_products", "pos_ratio", INSIGHT_POS).unionByName(
-        listing("attention_products", "neg_ratio", INSIGHT_NEG))
-
-
-def insight_counters(df: DataFrame, limit: int = 100) -> DataFrame:
-    """R1 counters: products analysed, high performing, needing attention."""
-    page = products_page(df, limit=limit)
+def _insight_base(df: DataFrame, limit: int | None) -> DataFrame:
+    return product_rollup(df) if limit is None else products_page(df, limit=limit)
+
+
+def insights(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """R1 (+W5): among all known products (or the ``limit`` largest), top (pos >= 0.7) and attention
+    (neg >= 0.3) lists, five each, by score; ties go to the larger product, then by name.
+
+    A product is a candidate of either list from its one rollup row; ranks are a window per list, which
+    Spark limits to five rows per task before the shuffle.
+    """
+    q = _insight_base(df, limit).where(F.col("total_reviews") >= INSIGHT_MIN)
+
+    def candidate(name, pct_col, bound):
+        r = F.col(pct_col) / 100
+        return F.struct((r >= bound).alias("fire"), F.lit(name).alias("list"), r.alias("ratio"), (r * 100).alias("score"))
+    cands = F.array(candidate("top_products", "positive_percentage", INSIGHT_POS),
+                    candidate("attention_products", "negative_percentage", INSIGHT_NEG))
+    rows = q.select("product_id", "total_reviews", F.inline(F.filter(cands, lambda c: c["fire"]))).drop("fire")
+    w = Window.partitionBy("list").orderBy(F.col("score").desc(), F.col("total_reviews").desc(), F.col("product_id"))
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 5).select(
+        "list", "rank", "product_id", "ratio", "total_reviews", "score")
+
+
+def insight_counters(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """R1 counters: products analysed (all, or the ``limit`` largest), high performing, needing attention."""
+    page = _insight_base(df, limit)
     ok = F.col("total_reviews") >= INSIGHT_MIN
     return page.agg(
         F.count(F.lit(1)).alias("total_products_analyzed"),

@@ -1,10 +1,10 @@
 """Scoring C1–C5: turn feedback text into (sentiment_label, confidence_score, all_scores).
 
 * C4 ``rating_scorer`` — star rating -> label/confidence, pure column expressions.
-* C5 ``lexicon_scorer`` — native stand-in for the unavailable emotion model: word hits per emotion
-  counted with array higher-order functions inside whole-stage codegen (no explode, no shuffle).
-* C2 ``score_with`` — any pandas batch scorer through ``mapInPandas`` (Arrow batches); the scorer
-  object is built once per Python worker.  ``PandasLexiconScorer`` is the pandas twin of C5.
+* C5 ``lexicon_scorer`` — native stand-in for the unavailable emotion model: one regex scan pulls the
+  lexicon words of a text, and the few hits are counted per emotion (no explode, no shuffle, no Python).
+* C2 ``score_with`` — any pandas batch scorer as an iterator pandas UDF over the text column alone; the
+  scorer object lives as long as a task.  ``PandasLexiconScorer`` is the pandas twin of C5.
 * C3 argmax over the score map: highest score, ties to the first label in model order.
 * C1 (one text) is C2/C5 on a one-row frame; T1 streams the same expressions.
 """
@@ -13,12 +13,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.labels import EMOTIONS
-from ..functions.text import NON_WORD_SPLIT, words
-from ..session import spread_small
+from ..functions.text import whole_words_regex
 
 # ---- fixed values of this library's lexicon scorer (own stand-in; not from the reference) -----
 LEXICON = {
@@ -68,13 +68,12 @@ def _member_of(ws: list[str]):
     return lambda w: w.isin(ws)
 
 
-def lexicon_hits(text: Column, max_chars: int | None = None) -> Column:
-    """Tokens of the lower-cased text (whole unless capped) that are lexicon words, in order."""
-    t = F.coalesce(text, F.lit(""))
-    if max_chars:
-        t = F.substring(t, 1, max_chars)
-    all_words = sorted({w for ws in LEXICON.values() for w in ws})
-    return F.filter(words(t), _member_of(all_words))
+LEXICON_REGEX = whole_words_regex([w for ws in LEXICON.values() for w in ws])
+
+
+def lexicon_hits(text: Column) -> Column:
+    """The lexicon words of the whole lower-cased text, in order; one scan of the text."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(LEXICON_REGEX), 0)
 
 
 def lexicon_scores(hits: Column) -> Column:
@@ -87,15 +86,11 @@ def lexicon_scores(hits: Column) -> Column:
         F.array(*[(per_label[lab] + F.lit(PRIOR[lab])) / total for lab in EMOTIONS]))
 
 
-def lexicon_scorer(df: DataFrame, text_col: str = "text", max_chars: int | None = None,
-                   keep_scores: bool = False) -> DataFrame:
+def lexicon_scorer(df: DataFrame, text_col: str = "text", keep_scores: bool = False) -> DataFrame:
     """Native lexicon scoring; adds sentiment_label, confidence_score (and all_scores).
 
-    The text is split once and pruned to lexicon words in one pass (its own projection, so the
-    split is never repeated); per-label counts then run over that short hit list.  Small inputs
-    are spread over all cores first (see ``spread_small``).
-    """
-    out = spread_small(df).withColumn("_hits", lexicon_hits(F.col(text_col), max_chars))
+    The hits are a projection of their own, so the scan of the text is not repeated per label."""
+    out = df.withColumn("_hits", lexicon_hits(F.col(text_col)))
     out = out.withColumn("all_scores", lexicon_scores(F.col("_hits"))).drop("_hits")
     out = out.withColumns({
         "sentiment_label": argmax_label(F.col("all_scores")),
@@ -104,12 +99,10 @@ def lexicon_scorer(df: DataFrame, text_col: str = "text", max_chars: int | None
     return out if keep_scores else out.drop("all_scores")
 
 
-def lexicon_scorer_sql(text: str, max_chars: int | None = None) -> tuple[str, str]:
+def lexicon_scorer_sql(text: str) -> tuple[str, str]:
     """DuckDB (label, confidence) expressions equal to ``lexicon_scorer``."""
     from ..functions.labels import sql_list
     t = f"coalesce({text}, '')"
-    if max_chars:
-        t = f"substr({t}, 1, {max_chars})"
     toks = f"regexp_split_to_array(lower({t}), '[^\\p{{L}}\\p{{N}}_]+')"
     hits = {lab: (f"len(list_filter({toks}, lambda w: w IN ({sql_list(ws)})))" if ws else "0")
             for lab, ws in LEXICON.items()}
@@ -126,83 +119,53 @@ Scorer = Callable[[pd.Series], pd.DataFrame]
 
 
 class PandasLexiconScorer:
-    """pandas twin of C5 (same tokenizer pattern, lexicon and prior)."""
+    """pandas twin of C5 (same words, lexicon and prior), one vectorised pass over a batch."""
 
     labels = EMOTIONS
 
-    def __init__(self, max_chars: int | None = None):
-        import regex
-        self._split = regex.compile(NON_WORD_SPLIT)
+    def __init__(self):
         self._label_of = {w: EMOTIONS.index(lab) for lab, ws in LEXICON.items() for w in ws}
-        self.max_chars = max_chars
+        self._words = r"(?<!\w)(?:" + "|".join(sorted(self._label_of)) + r")(?!\w)"
 
     def __call__(self, texts: pd.Series) -> pd.DataFrame:
-        import numpy as np
         hits = np.zeros((len(texts), len(EMOTIONS)))
-        label_of = self._label_of
-        for r, t in enumerate(texts.fillna("").astype(str)):
-            if self.max_chars:
-                t = t[: self.max_chars]
-            for w in self._split.split(t.lower()):          # one pass, one dict lookup per token
-                k = label_of.get(w)
-                if k is not None:
-                    hits[r, k] += 1
+        lowered = texts.fillna("").astype(str).str.lower().reset_index(drop=True)
+        found = lowered.str.findall(self._words).explode().dropna().map(self._label_of)
+        np.add.at(hits, (found.index.to_numpy(np.int64), found.to_numpy(np.int64)), 1)
         prior = np.array([PRIOR[lab] for lab in EMOTIONS])
         probs = (hits + prior) / (hits.sum(axis=1, keepdims=True) + PRIOR_TOTAL)
         return pd.DataFrame(probs, columns=EMOTIONS, index=texts.index)
 
 
-_WORKER_SCORERS: dict = {}
-
-
-def _worker_scorer(factory):
-    """One scorer per Python worker process (workers are reused across tasks, so e.g. a model is
-    loaded once per worker, not once per task)."""
-    key = f"{factory.__module__}.{factory.__qualname__}"
-    if key not in _WORKER_SCORERS:
-        _WORKER_SCORERS[key] = factory()
-    return _WORKER_SCORERS[key]
-
-
-def score_with(df: DataFrame, scorer: Scorer | Callable[[], Scorer] | None = None,
-               text_col: str = "text", batch_size: int = 128, max_chars: int | None = None,
-               keep_scores: bool = False) -> DataFrame:
-    """Score every row with a pandas scorer through ``mapInPandas``; row order is kept.
+def score_with(df: DataFrame, scorer: Scorer | None = None, *, factory: Callable[[], Scorer] | None = None,
+               text_col: str = "text", batch_size: int = 128, keep_scores: bool = False) -> DataFrame:
+    """Score every row with a pandas scorer; only the text column goes to Python.
 
-    ``scorer`` may be a scorer or a zero-argument factory (called once per Python worker, e.g. to
-    load a model).  Text is optionally truncated to ``max_chars`` for scoring only (P7).
+    ``scorer`` is a callable on a Series of texts.  ``factory`` is a function or class without
+    arguments that makes one; it is called once per task, e.g. to load a model on the executor.
     """
-    factory = scorer if (scorer is not None and isinstance(scorer, type)) else None
-    fixed = None if factory else (scorer or PandasLexiconScorer())
-    scored = ("sentiment_label", "confidence_score", "all_scores")
-    out_schema = T.StructType([f for f in df.schema.fields if f.name not in scored] + [
-        T.StructField("sentiment_label", T.StringType()),
-        T.StructField("confidence_score", T.DoubleType()),
-        T.StructField("all_scores", T.MapType(T.StringType(), T.DoubleType())),
-    ])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s = _worker_scorer(factory) if factory else fixed
-        for pdf in batches:
-            for start in range(0, len(pdf), batch_size):
-                chunk = pdf.iloc[start:start + batch_size].copy()
-                texts = chunk[text_col]
-                if max_chars:
-                    texts = texts.fillna("").astype(str).str.slice(0, max_chars)
-                probs = s(texts)
-                cols = list(probs.columns)
-                vals = probs.to_numpy()
-                best = vals.argmax(axis=1)          # first maximum wins, as in the reference
-                chunk["sentiment_label"] = [cols[i] for i in best]
-                chunk["confidence_score"] = vals.max(axis=1)
-                chunk["all_scores"] = [dict(zip(cols, map(float, r))) for r in vals]
-                yield chunk[[f.name for f in out_schema.fields]]
-
-    out = df.drop(*[c for c in scored if c in df.columns])
-    res = out.mapInPandas(run, out_schema)
-    return res if keep_scores else res.drop("all_scores")
-
-
-def truncate_for_scoring(text: Column, max_length: int = 512) -> Column:
-    """The model sees at most ``3 * max_length`` characters; the stored text stays whole."""
-    return F.substring(text, 1, 3 * max_length)
+    if scorer is not None and factory is not None:
+        raise ValueError("give a scorer or a factory, not both")
+    make = factory or (PandasLexiconScorer if scorer is None else lambda: scorer)
+    kind = "sentiment_label string, confidence_score double" + (", scores array<struct<label string, p double>>" if keep_scores else "")
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        score = make()
+        for texts in batches:
+            parts = []
+            for start in range(0, len(texts), batch_size):
+                probs = score(texts.iloc[start:start + batch_size])
+                values = probs.to_numpy(dtype=float)
+                best = values.argmax(axis=1)            # first maximum wins, as in the reference
+                part = {"sentiment_label": np.asarray(probs.columns, object)[best], "confidence_score": values.max(axis=1)}
+                if keep_scores:
+                    part["scores"] = [[{"label": c, "p": p} for c, p in zip(probs.columns, row)] for row in values.tolist()]
+                parts.append(pd.DataFrame(part))
+            yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({c.split()[0]: [] for c in kind.split(", ")[:2]})
+
+    udf = F.pandas_udf(run, kind)
+    out = df.drop("sentiment_label", "confidence_score", "all_scores").withColumn("_scored", udf(F.col(text_col)))
+    cols = {"sentiment_label": F.col("_scored.sentiment_label"), "confidence_score": F.col("_scored.confidence_score")}
+    if keep_scores:
+        cols["all_scores"] = F.map_from_entries("_scored.scores")
+    return out.withColumns(cols).drop("_scored")

@@ -1,22 +1,22 @@
 """Top comments (W1), keywords (W2) and their per-product list forms (inputs of J5/U3/R6/J3).
 
 Scale notes
-* W1 ranks with ``row_number() <= N`` over (product, polarity): Spark plans a partial
-  WindowGroupLimit before the shuffle, so even a product holding a third of all rows ships at most
-  N rows per map task to its reducer.
-* W2 prunes short and stop-word tokens inside the token array before ``explode`` and counts
-  (product, polarity, word) with map-side partial aggregation; the 50-character rule is a separate
-  per-(product, polarity) aggregate joined to the (much smaller) word counts.
+* W1 ranks narrow rows (product, polarity, score, id) with ``row_number() <= N``: Spark plans a partial
+  WindowGroupLimit before the shuffle, so even a product holding a third of all rows ships at most N
+  narrow rows per map task.  The N-th best key of a group is a threshold; only rows at or above it
+  bring their text along, so the corpus is never sorted.
+* W2 reads the texts once.  Every text contributes its keywords and one marker that carries its
+  length; both are counted by (product, polarity, word) with map-side partial aggregation, and the
+  marker's row answers the 50-character rule.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.labels import POLARITIES, polarity
 from ..functions.text import MIN_JOINED_CHARS, UNIQUE_STOP_WORDS, candidate_keywords
 from ..functions.timefns import ntz, whole_days_between
-from ..session import spread_small
 
 # ---- fixed values (must equal the reference) -------------------------------------------------
 # Ranking weights of a comment: confidence, helpfulness, recency, text length.
@@ -24,6 +24,8 @@ W_CONFIDENCE, W_HELPFUL, W_RECENCY, W_TEXT = 0.4, 0.3, 0.2, 0.1
 RECENCY_DAYS, TEXT_CHARS = 365.0, 1000.0
 # ------------------------------------------------------------------------------------------------
 
+BLANK_START = "(?U)^[\\s\\x1C-\\x1F]*"
+
 
 def _polarity_is(p: str):
     return lambda x: x["polarity"] == p
@@ -37,6 +39,11 @@ def _helpfulness(df: DataFrame):
     return F.coalesce(num, F.lit(0)), F.coalesce(den, F.lit(0))
 
 
+def _text_length(df: DataFrame) -> Column:
+    """Characters of the text; a fact table has them stored, which saves reading the text."""
+    return F.coalesce(F.col("text_length") if "text_length" in df.columns else F.length("text"), F.lit(0))
+
+
 def comment_scores(df: DataFrame, as_of, scheme: str = "m1s") -> DataFrame:
     """W1 scoring: polarity plus the four weighted parts and their sum (``ranking_score``)."""
     num, den = _helpfulness(df)
@@ -48,8 +55,7 @@ def comment_scores(df: DataFrame, as_of, scheme: str = "m1s") -> DataFrame:
                              .otherwise(F.lit(0.0)),
         "recency_part": F.greatest(F.lit(0.0), F.lit(1.0) - days / F.lit(RECENCY_DAYS))
                          * F.lit(W_RECENCY),
-        "text_part": F.least(F.lit(1.0), F.length(F.coalesce(F.col("text"), F.lit(""))) / F.lit(TEXT_CHARS))
-                      * F.lit(W_TEXT),
+        "text_part": F.least(F.lit(1.0), _text_length(df) / F.lit(TEXT_CHARS)) * F.lit(W_TEXT),
     }
     out = df.withColumn("polarity", polarity("sentiment_label", scheme)).where(F.col("polarity").isNotNull())
     out = out.withColumns(parts)
@@ -63,7 +69,11 @@ def top_comments(df: DataFrame, top_n: int = 10, as_of=None, scheme: str = "m1s"
         return comment_scores(df, as_of, scheme).limit(0).withColumn("rank", F.lit(0))
     s = comment_scores(df, as_of, scheme)
     w = Window.partitionBy("product", "polarity").orderBy(F.col("ranking_score").desc(), F.col("id").asc())
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
+    key = F.struct((-F.col("ranking_score")).alias("k"), F.col("id").alias("id"))       # ascending: best first
+    best = s.select("product", "polarity", "ranking_score", "id").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
+    last = best.groupBy(F.col("product").alias("_product"), F.col("polarity").alias("_polarity")).agg(F.max(key).alias("_last"))
+    near = s.join(last, s.product.eqNullSafe(F.col("_product")) & (s.polarity == F.col("_polarity")) & (key <= F.col("_last")))
+    return near.drop("_product", "_polarity", "_last").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
 
 
 def top_comment_lists(df: DataFrame, top_n: int = 10, as_of=None) -> DataFrame:
@@ -79,45 +89,39 @@ def top_comment_lists(df: DataFrame, top_n: int = 10, as_of=None) -> DataFrame:
     return g.withColumns(cols).drop("_all")
 
 
-def _keyword_base(df: DataFrame, scheme: str) -> DataFrame:
-    return (spread_small(df).select("product", polarity("sentiment_label", scheme).alias("polarity"),
-                                    F.coalesce(F.col("text"), F.lit("")).alias("text"))
-              .where(F.col("polarity").isNotNull()))
-
-
-def _eligible_groups(base: DataFrame) -> DataFrame:
-    """(product, polarity) groups whose joined texts reach the 50-character rule (one row each)."""
-    return (base.groupBy("product", "polarity")
-                .agg((F.sum(F.length("text")) + F.count(F.lit(1)) - 1).alias("joined_chars"))
-                .where(F.col("joined_chars") >= MIN_JOINED_CHARS)
-                .select("product", "polarity"))
-
-
-def _word_counts(base: DataFrame) -> DataFrame:
-    return (base.select("product", "polarity", F.explode(candidate_keywords(F.col("text"))).alias("word"))
-                .where(~F.col("word").isin(UNIQUE_STOP_WORDS))
-                .groupBy("product", "polarity", "word").agg(F.count(F.lit(1)).alias("count")))
-
+def _blanks_at(text: Column) -> Column:
+    """Number of blank characters at the start, as Python's ``strip`` sees them."""
+    return F.length(F.regexp_extract(text, BLANK_START, 0))
 
-def keyword_counts(df: DataFrame, scheme: str = "m1s") -> DataFrame:
-    """W2 step 1: (product, polarity, word, count) for groups passing the 50-character rule.
 
-    The rule is applied with an *inner* join on the aggregated counts (one eligibility row per
-    group): unlike a semi join, Catalyst cannot push it below the aggregate onto raw tokens, where a
-    non-broadcast join would shuffle every token."""
-    base = _keyword_base(df, scheme)
-    return _word_counts(base).join(_eligible_groups(base), ["product", "polarity"], "inner")
+def _word_counts(df: DataFrame, scheme: str) -> DataFrame:
+    """(product, polarity, word, count, joined): counts of keywords, and per group one row with the word ''
+    whose ``joined`` is the length of its texts joined by spaces, outer blanks apart."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    base = df.select("product", polarity("sentiment_label", scheme).alias("polarity"), text.alias("text"),
+                     (F.col("id") if "id" in df.columns else F.lit(0)).alias("id")).where(F.col("polarity").isNotNull())
+    words = base.select(
+        "product", "polarity", "id", F.length("text").alias("len"), _blanks_at(F.col("text")).alias("lead"),
+        _blanks_at(F.reverse("text")).alias("trail"), F.explode(F.array_append(candidate_keywords(F.col("text")), "")).alias("word"))
+    marker = F.col("word") == ""
+    owner = F.when(marker, F.col("id"))
+    g = words.where(~F.col("word").isin(UNIQUE_STOP_WORDS)).groupBy("product", "polarity", "word").agg(
+        F.count(F.lit(1)).alias("count"), F.sum(F.when(marker, F.col("len") + 1)).alias("chars"),
+        F.min_by("lead", owner).alias("lead"), F.max_by("trail", owner).alias("trail"))
+    joined = F.col("chars") - 1 - F.coalesce("lead", F.lit(0)) - F.coalesce("trail", F.lit(0))
+    return g.select("product", "polarity", "word", "count", joined.alias("joined"))
 
 
 def keywords(df: DataFrame, top_n: int = 10, scheme: str = "m1s") -> DataFrame:
-    """The ``top_n`` most frequent keywords per product × polarity (ties by word).
-
-    Top-N first (partial WindowGroupLimit before the shuffle), then the 50-character rule as an
-    inner join of at most ``top_n`` rows per group with one eligibility row per group."""
-    base = _keyword_base(df, scheme)
-    w = Window.partitionBy("product", "polarity").orderBy(F.col("count").desc(), F.col("word").asc())
-    top = _word_counts(base).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
-    return top.join(_eligible_groups(base), ["product", "polarity"], "inner")
+    """The ``top_n`` most frequent keywords per product × polarity (ties by word), for groups whose
+    joined texts have 50 characters without their outer blanks."""
+    group = Window.partitionBy("product", "polarity")
+    first = group.orderBy((F.col("word") == "").desc(), F.col("count").desc(), F.col("word").asc())
+    # The marker is row 1, so keywords are rows 2 to top_n + 1; the plain comparison lets Spark limit groups early.
+    top = _word_counts(df, scheme).withColumn("_row", F.row_number().over(first)).where(F.col("_row") <= top_n + 1)
+    return (top.withColumn("_joined", F.max("joined").over(group))
+               .where((F.col("word") != "") & (F.col("_joined") >= MIN_JOINED_CHARS))
+               .select("product", "polarity", "word", "count", (F.col("_row") - 1).alias("rank")))
 
 
 def keyword_lists(df: DataFrame, top_n: int = 10) -> DataFrame:

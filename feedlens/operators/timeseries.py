@@ -82,8 +82,8 @@ def products_timeseries(df: DataFrame, product_ids: list[str] | str | None = Non
                         start=None, end=None, group_by: str = "day") -> DataFrame:
     """A6 series for the given products, or for the ``limit`` most reviewed known products.
 
-    The top-N product list has at most ``limit`` rows, so it is broadcast into a left-semi join:
-    one pass over the facts instead of one query per product.
+    The top-N product list goes into a left-semi join: one pass over the facts instead of one query per
+    product.  Whether that list is broadcast is left to its size at run time.
     """
     from .products import product_rollup
     if product_ids is not None:
@@ -91,7 +91,7 @@ def products_timeseries(df: DataFrame, product_ids: list[str] | str | None = Non
     else:
         top = (product_rollup(df).orderBy(F.col("total_reviews").desc(), F.col("product_id"))
                .limit(limit).select(F.col("product_id").alias("product")))
-        d = df.join(F.broadcast(top), "product", "left_semi")
+        d = df.join(top, "product", "left_semi")
     return sentiment_timeseries(d, start, end, group_by)
 
 

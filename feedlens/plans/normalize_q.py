@@ -15,14 +15,25 @@ from .registry import register
 AS_OF = "2024-06-01 00:00:00"
 _RV = ("rv", REVIEW_ROWS_SQL)
 
-_P1_SQL = with_views(f"""
-SELECT TRY_CAST(Id AS BIGINT) AS id, CAST(length(Text) AS INTEGER) AS text_length,
-  coalesce(
-    CASE WHEN regexp_full_match(trim(Time), '[+-]?[0-9]+(\\.[0-9]*)?')
-           THEN make_timestamp(CAST(CAST(trim(Time) AS DOUBLE) * 1000000 AS BIGINT))
+_NUMBER = "[+-]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)([eE][+-]?[0-9]+)?"
+_TIME_SQL = f"""coalesce(
+    CASE WHEN regexp_full_match(trim(Time), '{_NUMBER}')
+           THEN CASE WHEN CAST(trim(Time) AS DOUBLE) >= -62135596800 AND CAST(trim(Time) AS DOUBLE) < 253402300800
+                     THEN make_timestamp(CAST(CAST(trim(Time) AS DOUBLE) * 1000000 AS BIGINT)) END
          WHEN regexp_matches(trim(Time), '[zZ]$') THEN TRY_CAST(regexp_replace(trim(Time), '[zZ]$', '') AS TIMESTAMP)
          ELSE TRY_CAST(trim(Time) AS TIMESTAMP) END,
-    TIMESTAMP '{AS_OF}') AS event_ts,
+    TIMESTAMP '{AS_OF}')"""
+_WS = "\\t\\n\\x0B\\f\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
+#: Normalised rows of the non-blank reviews ``rv`` (P1–P8), metadata fields as columns.
+FEEDBACK_SQL = f"""SELECT TRY_CAST(Id AS BIGINT) AS id, Text AS text, {_TIME_SQL} AS event_ts,
+  nullif(Customer_Type, '') AS team, coalesce(nullif(ProductId, ''), 'unknown') AS product, Score AS rating,
+  HelpfulnessNumerator AS helpfulness_numerator, HelpfulnessDenominator AS helpfulness_denominator,
+  nullif(ProductName, '') AS product_name, nullif(ProductDescription, '') AS product_description
+FROM rv WHERE regexp_matches(Text, '[^{_WS}]')"""
+
+_P1_SQL = with_views(f"""
+SELECT TRY_CAST(Id AS BIGINT) AS id, CAST(length(Text) AS INTEGER) AS text_length,
+  {_TIME_SQL} AS event_ts,
   nullif(Customer_Type, '') AS team, coalesce(nullif(ProductId, ''), 'unknown') AS product,
   Score AS rating,
   CASE WHEN Score >= 4 THEN 'positive' WHEN Score <= 2 THEN 'negative' WHEN Score IS NOT NULL THEN 'neutral' END
@@ -32,7 +43,9 @@ SELECT TRY_CAST(Id AS BIGINT) AS id, CAST(length(Text) AS INTEGER) AS text_lengt
   CAST((Score IS NOT NULL)::INT * 2 + (nullif(Id, '') IS NOT NULL)::INT + (nullif(UserId, '') IS NOT NULL)::INT
      + (nullif(ProfileName, '') IS NOT NULL)::INT + (nullif(Summary, '') IS NOT NULL)::INT
      + (HelpfulnessNumerator IS NOT NULL)::INT + (HelpfulnessDenominator IS NOT NULL)::INT
-     + (nullif(Suggestions, '') IS NOT NULL)::INT AS INTEGER) AS n_metadata_keys
+     + (nullif(Suggestions, '') IS NOT NULL)::INT + (nullif(ProductName, '') IS NOT NULL)::INT
+     + (nullif(ProductDescription, '') IS NOT NULL)::INT AS INTEGER) AS n_metadata_keys,
+  nullif(ProductName, '') AS product_name, nullif(ProductDescription, '') AS product_description
 FROM rv""", _RV)
 
 
@@ -48,10 +61,9 @@ def p1(spark, sf):
         F.get_json_object(m, "$.user_id").alias("user_id"),
         F.get_json_object(m, "$.profile_name").alias("profile_name"),
         F.get_json_object(m, "$.helpfulness_numerator").cast("int").alias("helpfulness_numerator"),
-        F.size(F.json_object_keys(m)).alias("n_metadata_keys"))
-
-
-_WS = "\\t\\n\\x0B\\f\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
+        F.size(F.json_object_keys(m)).alias("n_metadata_keys"),
+        F.get_json_object(m, "$.product_name").alias("product_name"),
+        F.get_json_object(m, "$.product_description").alias("product_description"))
 
 
 @register("P8_nonblank_reviews", with_views(

@@ -1,5 +1,6 @@
 """Query registry.  Each plan module registers ``(name, build, sql)``; ``build(spark, sf_dir)``
-returns a lazy DataFrame; ``sql`` is the DuckDB oracle (None when not SQL-expressible)."""
+returns a DataFrame.  Most are lazy; the round trips (S), the streams (T) and the bulk import write a
+scratch table first, so building them runs jobs.  ``sql`` is the DuckDB oracle (None when not SQL-expressible)."""
 
 from __future__ import annotations
 
@@ -41,11 +42,7 @@ def register(name: str, sql: str | None = None, stable: tuple[str, ...] = ()):
 
 def _load() -> None:
     for m in _MODULES:
-        try:
-            import_module(f"{__package__}.{m}")
-        except ModuleNotFoundError as e:  # plan module not written yet
-            if e.name != f"{__package__}.{m}":
-                raise
+        import_module(f"{__package__}.{m}")
 
 
 def all_queries() -> dict[str, Build]:

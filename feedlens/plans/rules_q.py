@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.labels import polarity_sql
 from ..functions.numeric import pct_sql, py_fixed_text_sql, py_percent_text_sql
 from ..operators import rules as R
-from ..sources.fixtures import feedback_docs, feedback_events
+from ..operators.scoring import rating_scorer
+from ..sources.fixtures import feedback_docs, feedback_events, feedback_orders
 from .oracle import with_views
 from .products_q import _rollup_select, _rollup_sql
 from .registry import register
@@ -157,68 +158,123 @@ def r3s(spark, sf):
     return R.alert_summary(R.alerts(feedback_docs(spark, sf, with_rating=False), as_of=DOC_AS_OF))
 
 
-_A22 = ("a22", f"""SELECT product, total, positive_count, negative_count,
+def _a22(n: int):
+    return ("a22", f"""SELECT product, total, positive_count, negative_count,
   CAST(row_number() OVER (ORDER BY total DESC, product) AS INTEGER) AS rank FROM (
   SELECT product, CAST(count(*) AS BIGINT) AS total,
          CAST(count_if({M1} = 'positive') AS BIGINT) AS positive_count,
          CAST(count_if({M1} = 'negative') AS BIGINT) AS negative_count
   FROM feedback_events WHERE product IS NOT NULL AND product <> '' GROUP BY product
-  HAVING count(*) >= 3 ORDER BY total DESC, product LIMIT 20) t""")
+  HAVING count(*) >= 3 ORDER BY total DESC, product LIMIT {n}) t""")
 
 
-@register("A22_business_top", with_views("SELECT * FROM a22", _A22))
+@register("A22_business_top", with_views("SELECT * FROM a22", _a22(20)))
 def a22(spark, sf):
     return R.business_top(feedback_events(spark, sf))
 
 
-@register("R4_escalations", with_views(f"""
+def _r4_sql(n: int) -> str:
+    return with_views(f"""
 SELECT rank, product, total, negative_count, {pct_sql('negative_count', 'total')} AS negative_percentage,
   CASE WHEN {pct_sql('negative_count', 'total')} >= 60.0 THEN 'Critical'
        WHEN {pct_sql('negative_count', 'total')} >= 40.0 THEN 'High'
        WHEN {pct_sql('negative_count', 'total')} >= 20.0 THEN 'Medium' ELSE 'Low' END AS severity
-FROM a22 WHERE rank <= 6""", _A22))
-def r4(spark, sf):
-    return R.escalations(feedback_events(spark, sf))
+FROM a22""", _a22(n))
 
 
-@register("R5_volume_leaders", with_views("""
+def _r5_sql(n: int) -> str:
+    return with_views("""
 SELECT rank, product, positive_count AS positive, negative_count AS negative,
   CAST(round_even(CASE WHEN total > 0 THEN CAST(positive_count AS DOUBLE) / total * 100 ELSE 50.0e0 END, 0)
        AS BIGINT) AS sentiment
-FROM a22 WHERE rank <= 5""", _A22))
+FROM a22""", _a22(n))
+
+
+@register("R4_escalations", _r4_sql(6))
+def r4(spark, sf):
+    return R.escalations(feedback_events(spark, sf))
+
+
+@register("R4_escalations_30", _r4_sql(30))
+def r4_30(spark, sf):
+    return R.escalations(feedback_events(spark, sf), 30)
+
+
+@register("R5_volume_leaders", _r5_sql(5))
 def r5(spark, sf):
     return R.volume_leaders(feedback_events(spark, sf))
 
 
-_PAGE = ("page", _rollup_select(_rollup_sql("feedback_docs", 1))
-         + " ORDER BY total_reviews DESC, product_id LIMIT 100")
-_Q = ("q", """SELECT *, positive_percentage / 100 AS pos_ratio, negative_percentage / 100 AS neg_ratio
-FROM (SELECT *, row_number() OVER (ORDER BY total_reviews DESC, product_id) AS volume_rank FROM page) v
-WHERE total_reviews >= 3""")
+@register("R5_volume_leaders_30", _r5_sql(30))
+def r5_30(spark, sf):
+    return R.volume_leaders(feedback_events(spark, sf), 30)
 
 
-def _listing(name, r, bound):
-    return (f"SELECT * FROM (SELECT '{name}' AS list, CAST(row_number() OVER (ORDER BY {r} * 100 DESC, "
-            f"volume_rank) AS INTEGER) AS rank, product_id, {r} AS ratio, total_reviews, {r} * 100 AS score "
-            f"FROM q WHERE {r} >= {bound}e0) z WHERE rank <= 5")
+#: Line items scored by rating: some 200 products.
+_ORDERS = ("orders_scored", """SELECT *, CASE WHEN score >= 4 THEN 'positive' WHEN score <= 2 THEN 'negative' ELSE 'neutral' END
+  AS sentiment_label, 0.75e0 AS confidence_score FROM feedback_orders""")
 
 
-@register("R1_insights", with_views(_listing("top_products", "pos_ratio", R.INSIGHT_POS) + " UNION ALL "
-                                    + _listing("attention_products", "neg_ratio", R.INSIGHT_NEG), _PAGE, _Q))
-def r1(spark, sf):
-    return R.insights(feedback_docs(spark, sf, with_rating=False))
+def _scored_orders(spark, sf):
+    return rating_scorer(feedback_orders(spark, sf))
+
+
+def _insight_views(src: str):
+    return (("page", _rollup_select(_rollup_sql(src, 1))),
+            ("q", "SELECT *, positive_percentage / 100 AS pos_ratio, negative_percentage / 100 AS neg_ratio FROM page WHERE total_reviews >= 3"))
+
+
+def _listing(name, r, bound):
+    return (f"SELECT * FROM (SELECT '{name}' AS list, CAST(row_number() OVER (ORDER BY {r} * 100 DESC, total_reviews DESC, product_id) "
+            f"AS INTEGER) AS rank, product_id, {r} AS ratio, total_reviews, {r} * 100 AS score FROM q WHERE {r} >= {bound}e0) z WHERE rank <= 5")
 
 
-@register("R1_insight_counters", with_views(f"""
+_R1 = _listing("top_products", "pos_ratio", R.INSIGHT_POS) + " UNION ALL " + _listing("attention_products", "neg_ratio", R.INSIGHT_NEG)
+_R1_COUNTERS = f"""
 SELECT CAST(count(*) AS BIGINT) AS total_products_analyzed,
   CAST(count_if(total_reviews >= 3 AND positive_percentage / 100 >= {R.INSIGHT_POS}e0) AS BIGINT)
     AS high_performing_products,
   CAST(count_if(total_reviews >= 3 AND negative_percentage / 100 >= {R.INSIGHT_NEG}e0) AS BIGINT)
-    AS products_needing_attention FROM page""", _PAGE))
+    AS products_needing_attention FROM page"""
+
+
+@register("R1_insights", with_views(_R1, *_insight_views("feedback_docs")))
+def r1(spark, sf):
+    return R.insights(feedback_docs(spark, sf, with_rating=False))
+
+
+@register("R1_insights_orders", with_views(_R1, _ORDERS, *_insight_views("orders_scored")))
+def r1_orders(spark, sf):
+    return R.insights(_scored_orders(spark, sf))
+
+
+@register("R1_insight_counters", with_views(_R1_COUNTERS, *_insight_views("feedback_docs")))
 def r1c(spark, sf):
     return R.insight_counters(feedback_docs(spark, sf, with_rating=False))
 
 
+@register("R1_insight_counters_orders", with_views(_R1_COUNTERS, _ORDERS, *_insight_views("orders_scored")))
+def r1c_orders(spark, sf):
+    return R.insight_counters(_scored_orders(spark, sf))
+
+
+@register("R7_dashboard_statistics", with_views("""
+SELECT CAST(count(*) AS BIGINT) AS total_analyses, CAST(count(DISTINCT CAST(event_ts AS DATE)) AS BIGINT) AS days_analyzed,
+  avg(confidence_score) AS average_confidence, min(event_ts) AS first_analysis, max(event_ts) AS last_analysis
+FROM feedback_events"""), stable=("average_confidence",))
+def r7_statistics(spark, sf):
+    return R.dashboard(feedback_events(spark, sf), EV_AS_OF)["statistics"]
+
+
+@register("R7_dashboard_products", with_views(f"""
+SELECT p.*, t.total, 20 < t.total AS has_more
+FROM ({_rollup_select(_rollup_sql('feedback_events', 1))} ORDER BY total_reviews DESC, product_id LIMIT 20) p,
+     (SELECT CAST(count(DISTINCT product) AS BIGINT) AS total FROM feedback_events WHERE product IS NOT NULL AND product <> 'unknown') t"""),
+    stable=("avg_confidence",))
+def r7_products(spark, sf):
+    return R.dashboard(feedback_events(spark, sf), EV_AS_OF)["top_products"]
+
+
 @register("R7_dashboard_trend", with_views(f"""
 SELECT CAST(date_trunc('day', event_ts) AS TIMESTAMP) AS time, team, product,
   CAST(count_if({M1} = 'positive') AS BIGINT) AS positive, CAST(count_if({M1} = 'neutral') AS BIGINT) AS neutral,

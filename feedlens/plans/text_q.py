@@ -45,13 +45,18 @@ def w1(spark, sf):
     return TX.top_comments(feedback_docs(spark, sf, with_rating=False), 10, AS_OF).select(*_W1_COLS)
 
 
+_BLANKS = "\\t\\n\\x0B\\f\\r \\x1C-\\x1F\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
+
+
 def _kw_ctes(where: str = "TRUE", src: str = "feedback_docs"):
-    base = (f"SELECT product, {POL} AS polarity, coalesce(text, '') AS text FROM {src} "
+    base = (f"SELECT id, product, {POL} AS polarity, coalesce(text, '') AS text FROM {src} "
             f"WHERE {POL} IS NOT NULL AND {where}")
     return [
         ("kb", base),
         ("ke", "SELECT product, polarity FROM kb GROUP BY 1, 2 "
-               "HAVING sum(length(text)) + count(*) - 1 >= 50"),
+               "HAVING sum(length(text)) + count(*) - 1"
+               f" - arg_min(length(regexp_extract(text, '^[{_BLANKS}]*')), id)"
+               f" - arg_max(length(regexp_extract(text, '[{_BLANKS}]*$')), id) >= 50"),
         ("kw", f"SELECT product, polarity, unnest({keyword_tokens_sql('text')}) AS word FROM kb"),
         ("kc", "SELECT product, polarity, word, CAST(count(*) AS BIGINT) AS count FROM kw GROUP BY 1, 2, 3"),
         ("kr", "SELECT kc.*, CAST(row_number() OVER (PARTITION BY product, polarity "

@@ -7,7 +7,6 @@ a bare local session) do we pick a fresh temporary folder and register it on the
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -44,56 +43,33 @@ def get_spark(master: str | None = None, app: str = "feedlens",
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared checkpoint folder of this session.
 
-    Read from ``spark.checkpoint.dir`` (or the context's checkpoint dir); only when neither is
-    configured (unit tests, a bare local session) a fresh temporary folder is registered on the
-    context — ``spark.checkpoint.dir`` itself cannot be changed at runtime.
+    Read from ``spark.checkpoint.dir`` (or the context's checkpoint dir).  When neither is configured, a
+    purely local session (one machine, one JVM) registers a fresh temporary folder; on a cluster such
+    a folder would exist on the driver only, so there the missing setting is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="feedlens-ckpt-"))
-        root = spark.sparkContext.getCheckpointDir()
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="feedlens-ckpt-"))
+        root = sc.getCheckpointDir()
     return root.rstrip("/")
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unique folder below the checkpoint root for one run of one job."""
-    return f"{checkpoint_root(spark)}/feedlens/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def local_path(path: str) -> str | None:
-    """Strip a ``file:`` scheme; None when the path is not on the local file system."""
-    if path.startswith("file:"):
-        return path[len("file:"):]
-    if "://" in path:
-        return None
-    return path if os.path.isabs(path) else None
-
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{checkpoint_root(spark)}/feedlens/{spark.sparkContext.applicationId}"
 
-SPREAD_MAX_BYTES = 1 << 30
-SPREAD_TARGET_BYTES = 2 << 20
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new, unique folder below the checkpoint root for one run of one job.
 
-def estimated_bytes(df) -> int | None:
-    """Catalyst's size estimate of a plan (file sizes after pruning); no job is run."""
-    try:
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        return int(size) if isinstance(size, int) else int(size.toString())
-    except Exception:  # noqa: BLE001 - e.g. Spark Connect: no estimate available
-        return None
-
+    The frame that reads it is lazy, so whoever asked for the frame ends its life: ``clear_scratch``
+    removes what this application has written so far."""
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
-def spread_small(df, max_bytes: int = SPREAD_MAX_BYTES):
-    """Round-robin a *small* input over all cores before CPU-heavy per-row work.
 
-    A file with one row group is read by one task, so tokenizing it would run on one core.  For
-    inputs under ``max_bytes`` (estimated from the plan) one cheap shuffle buys full parallelism;
-    large inputs already arrive in many splits and are returned unchanged (no extra shuffle).
-    """
-    if df.isStreaming:
-        return df
-    size = estimated_bytes(df)
-    if size is None or size > max_bytes:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    n = max(1, min(cores, -(-size // SPREAD_TARGET_BYTES)))     # ~2 MB per task, at most one per core
-    return df.repartition(n) if n > 1 else df
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's scratch folders; call it when their results have been read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

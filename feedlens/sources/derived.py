@@ -13,10 +13,14 @@ from .fixtures import table
 
 T0_EPOCH = 1704067200          # 2024-01-01 00:00:00 UTC; review k is stamped k hours later
 _TIME_KINDS = 4
+#: Products with a description; names come in two spellings, which often tie.
+DESCRIBED = ("src1", "src2", "src3", "src4", "src5", "src6", "src7")
 
 
-def review_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source").alias("d")
+def review_rows(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None) -> DataFrame:
+    """One review per document; ``documents`` may be a stream of that table."""
+    d = documents if documents is not None else table(spark, sf_dir, "documents")
+    d = d.select("doc_id", "text", "lang", "source").alias("d")
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic").alias("l")
     j = d.join(lab, F.col("d.doc_id") == F.col("l.doc_id"), "left")
     k = F.col("d.doc_id")
@@ -43,7 +47,9 @@ def review_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("d.lang").alias("Summary"),
         F.col("d.text").alias("Text"),
         F.when(k % 3 == 0, "Premium").when(k % 3 == 1, "Normal").otherwise("Trial").alias("Customer_Type"),
-        F.when(k % 2 == 0, F.concat(F.lit("Suggestion for "), F.col("d.source"))).alias("Suggestions"))
+        F.when(k % 2 == 0, F.concat(F.lit("Suggestion for "), F.col("d.source"))).alias("Suggestions"),
+        F.when(k % 3 != 1, F.concat(F.lit("Item "), F.col("d.source"), F.lit(" v"), (k % 2).cast("string"))).alias("ProductName"),
+        F.when((k % 4 == 1) & F.col("d.source").isin(*DESCRIBED), F.concat(F.lit("About "), F.col("d.lang"))).alias("ProductDescription"))
 
 
 REVIEW_ROWS_SQL = f"""SELECT CAST(d.doc_id AS VARCHAR) AS Id,
@@ -61,5 +67,8 @@ REVIEW_ROWS_SQL = f"""SELECT CAST(d.doc_id AS VARCHAR) AS Id,
     ELSE 'n/a' END AS Time,
   d.lang AS Summary, d.text AS Text,
   CASE d.doc_id % 3 WHEN 0 THEN 'Premium' WHEN 1 THEN 'Normal' ELSE 'Trial' END AS Customer_Type,
-  CASE WHEN d.doc_id % 2 = 0 THEN concat('Suggestion for ', d.source) END AS Suggestions
+  CASE WHEN d.doc_id % 2 = 0 THEN concat('Suggestion for ', d.source) END AS Suggestions,
+  CASE WHEN d.doc_id % 3 <> 1 THEN concat('Item ', d.source, ' v', CAST(d.doc_id % 2 AS VARCHAR)) END AS ProductName,
+  CASE WHEN d.doc_id % 4 = 1 AND d.source IN ({", ".join(f"'{x}'" for x in DESCRIBED)}) THEN concat('About ', d.lang) END
+    AS ProductDescription
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""

@@ -7,38 +7,52 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from .schemas import (ENRICHED_CSV_SCHEMA, FACT_SCHEMA, FEEDBACK_CSV_SCHEMA, REVIEW_CSV_SCHEMA,
                       REVIEW_ENVELOPE_SCHEMA, REVIEW_SCHEMA)
 
-CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true",
+CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"',
                "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
                "mode": "PERMISSIVE"}
 
 
-def read_reviews_csv(spark: SparkSession, path: str) -> DataFrame:
-    """The 12-column review CSV (header, quoted fields with commas, "" escapes, newlines)."""
-    return spark.read.schema(REVIEW_CSV_SCHEMA).options(**CSV_OPTIONS).csv(path)
+def _csv(spark: SparkSession, path: str, schema, multiline: bool) -> DataFrame:
+    return spark.read.schema(schema).options(**CSV_OPTIONS, multiLine=str(multiline).lower()).csv(path)
 
 
-def read_enriched_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_reviews_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """The 12-column review CSV (header, quoted fields with commas, "" escapes, newlines).
+
+    A quoted field may hold line feeds, so by default a file is one task; with ``multiline=False``,
+    for files without such fields, large files are split."""
+    return _csv(spark, path, REVIEW_CSV_SCHEMA, multiline)
+
+
+def read_enriched_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """Review CSV plus Product_Name / Product_Description (renamed to ProductName/...)."""
-    df = spark.read.schema(ENRICHED_CSV_SCHEMA).options(**CSV_OPTIONS).csv(path)
+    df = _csv(spark, path, ENRICHED_CSV_SCHEMA, multiline)
     return (df.withColumnRenamed("Product_Name", "ProductName")
               .withColumnRenamed("Product_Description", "ProductDescription"))
 
 
 def read_reviews_json(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """S3: JSON envelope(s) ``{"reviews": [...], flags}`` -> one row per review (+ flags)."""
+    """S3: JSON envelope(s) ``{"reviews": [...], flags}`` -> one row per review (+ flags).
+
+    ``multiline=False`` reads one envelope per line, which splits large files."""
     env = spark.read.schema(REVIEW_ENVELOPE_SCHEMA).option("multiLine", multiline).json(path)
     return env.select(F.inline("reviews"), "group_by_product", "include_top_comments",
                       "top_comments_per_category")
 
 
-def read_reviews_json_array(spark: SparkSession, path: str) -> DataFrame:
-    """Files holding a bare top-level JSON array of reviews -> one row per review."""
+def read_reviews_json_array(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """Files holding a bare top-level JSON array of reviews -> one row per review.
+
+    ``multiline=False`` reads one array per line, which splits large files."""
+    if not multiline:
+        lines = spark.read.text(path).where(F.trim("value") != "")
+        return lines.select(F.inline(F.from_json("value", T.ArrayType(REVIEW_SCHEMA))))
     return spark.read.schema(REVIEW_SCHEMA).option("multiLine", True).json(path)
 
 
-def read_feedback_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_feedback_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """Simple feedback CSV ``text,product,timestamp,team``."""
-    return spark.read.schema(FEEDBACK_CSV_SCHEMA).options(**CSV_OPTIONS).csv(path)
+    return _csv(spark, path, FEEDBACK_CSV_SCHEMA, multiline)
 
 
 def read_fact(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:

@@ -63,6 +63,7 @@ FACT_SCHEMA = T.StructType([
     T.StructField("team", T.StringType()),
     T.StructField("product", T.StringType()),
     T.StructField("metadata", T.StringType()),
+    T.StructField("text_length", T.IntegerType()),
 ])
 
 ALL_SCORES_TYPE = T.MapType(T.StringType(), T.DoubleType())

@@ -6,15 +6,22 @@ Writes are one job per batch (not one transaction per row).  The fact table is p
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 FACT_COLUMNS = ["id", "text", "sentiment_label", "confidence_score", "event_ts", "team", "product",
                 "metadata"]
 
 
 def _with_date(df: DataFrame) -> DataFrame:
-    return df.select(*[c for c in FACT_COLUMNS if c in df.columns]) \
-             .withColumn("event_date", F.to_date("event_ts"))
+    """Fact columns plus the text's length, so that ranking by it need not read the text, and the day."""
+    out = df.select(*[c for c in FACT_COLUMNS if c in df.columns])
+    if "text" in out.columns:
+        out = out.withColumn("text_length", F.length("text"))
+    return out.withColumn("event_date", F.to_date("event_ts"))
 
 
 def _rebalanced(df: DataFrame) -> DataFrame:
@@ -23,14 +30,20 @@ def _rebalanced(df: DataFrame) -> DataFrame:
     return _with_date(df).hint("rebalance", "event_date")
 
 
-def write_results(df: DataFrame, path: str, mode: str = "append", dedupe_on: list[str] | None = None) -> None:
+def write_results(df: DataFrame, path: str, mode: str = "append", dedupe_on: list[str] | None = None,
+                  by_date: bool = True) -> None:
     """Append scored rows to the fact table (``mode='overwrite'`` is S7).
 
+    ``by_date=False`` writes plain files without a folder per day, for a table that is read whole.
+
     ``dedupe_on`` (e.g. ``["id"]``) drops re-imported copies within the batch first; batch
     ``dropDuplicates`` aggregates map-side, so even a hot group of copies is combined per task."""
     if dedupe_on:
         df = df.dropDuplicates(dedupe_on)
-    _rebalanced(df).write.mode(mode).partitionBy("event_date").parquet(path)
+    if by_date:
+        _rebalanced(df).write.mode(mode).partitionBy("event_date").parquet(path)
+    else:
+        _with_date(df).write.mode(mode).parquet(path)
 
 
 def overwrite_results(df: DataFrame, path: str, dynamic: bool = False) -> None:
@@ -41,19 +54,18 @@ def overwrite_results(df: DataFrame, path: str, dynamic: bool = False) -> None:
     w.parquet(path)
 
 
-def ingest_report(raw: DataFrame, valid: DataFrame) -> DataFrame:
-    """Received, processed, failed and success rate (%) of one ingest."""
-    received = raw.select(F.count(F.lit(1))).scalar()
-    out = valid.agg(F.count(F.lit(1)).alias("processed"))
-    return out.select(received.alias("received"), "processed",
-                      (received - F.col("processed")).alias("failed"),
-                      F.when(received > 0, F.col("processed") * F.lit(100.0) / received)
-                       .otherwise(F.lit(0.0)).alias("success_rate"))
+def ingest_report(raw: DataFrame, valid: Column) -> DataFrame:
+    """Received, processed, failed and success rate (%) of one ingest; ``valid`` is the condition a
+    row has to meet.  One pass over the rows."""
+    out = raw.agg(F.count(F.lit(1)).alias("received"), F.count_if(valid).alias("processed"))
+    received, processed = F.col("received"), F.col("processed")
+    return out.select(received, processed, (received - processed).alias("failed"),
+                      F.when(received > 0, processed * F.lit(100.0) / received).otherwise(F.lit(0.0)).alias("success_rate"))
 
 
-def rejects(raw: DataFrame, valid_predicate) -> DataFrame:
-    """Rows failing validation, kept as a quarantine DataFrame instead of being printed."""
-    return raw.where(~valid_predicate)
+def rejects(raw: DataFrame, valid: Column) -> DataFrame:
+    """Rows failing validation (a condition that is not true, NULL included), as a quarantine DataFrame."""
+    return raw.where(~F.coalesce(valid, F.lit(False)))
 
 
 # ---- writers for the reference's exchange formats ----------------------------------------------
@@ -67,30 +79,36 @@ def write_reviews_csv(reviews: DataFrame, path: str) -> None:
     reviews.write.mode("overwrite").options(**CSV_WRITE_OPTIONS).csv(path)
 
 
-def _chunk_key(reviews: DataFrame, size: int):
-    """Groups of at most ``size`` consecutive rows of one input partition.
+def _json_lines(reviews: DataFrame, size: int, head: str, tail: str) -> DataFrame:
+    """Lines holding ``size`` reviews each (fewer at the end of a task) between ``head`` and ``tail``.
+
+    Every task packs its own rows as they come: no shuffle, and a task that is rerun replaces its file."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[str] = []
+        for b in batches:
+            held += b.column(0).to_pylist()
+            full = len(held) // size * size
+            if full:
+                yield _lines(held[:full])
+                held = held[full:]
+        if held:
+            yield _lines(held)
+
+    def _lines(items: list[str]) -> pa.RecordBatch:
+        lines = [head + ",".join(items[k:k + size]) + tail for k in range(0, len(items), size)]
+        return pa.RecordBatch.from_pydict({"value": pa.array(lines, pa.string())})
 
-    ``monotonically_increasing_id`` is contiguous within a partition (partition id in the high
-    bits), so a chunk never spans partitions and never exceeds ``size`` rows, however ids repeat.
-    """
-    return F.floor(F.monotonically_increasing_id() / F.lit(size))
+    return reviews.select(F.to_json(F.struct(*reviews.columns)).alias("item")).mapInArrow(pack, "value string")
 
 
 def write_review_envelopes(reviews: DataFrame, path: str, size: int = ENVELOPE_SIZE,
                            include_top_comments: bool = True, top_comments_per_category: int = 10) -> None:
-    """S3 format: JSON lines, each an envelope ``{"reviews": [...], flags}`` of at most ``size``
-    reviews (groups are bounded, so no task ever holds an unbounded list)."""
-    env = (reviews.groupBy(_chunk_key(reviews, size).alias("_chunk"))
-                  .agg(F.collect_list(F.struct(*reviews.columns)).alias("reviews"))
-                  .select("reviews", F.lit(True).alias("group_by_product"),
-                          F.lit(include_top_comments).alias("include_top_comments"),
-                          F.lit(top_comments_per_category).alias("top_comments_per_category")))
-    env.write.mode("overwrite").json(path)
+    """S3 format: JSON lines, each an envelope ``{"reviews": [...], flags}`` of at most ``size`` reviews."""
+    flags = {"group_by_product": True, "include_top_comments": include_top_comments, "top_comments_per_category": top_comments_per_category}
+    _json_lines(reviews, size, '{"reviews":[', "]," + json.dumps(flags)[1:]).write.mode("overwrite").text(path)
 
 
 def write_review_arrays(reviews: DataFrame, path: str, size: int = ENVELOPE_SIZE) -> None:
-    """S4 format: files each holding one bare JSON array of at most ``size`` reviews."""
-    arr = (reviews.groupBy(_chunk_key(reviews, size).alias("chunk"))
-                  .agg(F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(F.struct(*reviews.columns))),
-                                                         ","), F.lit("]")).alias("value")))
-    (arr.repartition("chunk").write.mode("overwrite").partitionBy("chunk").text(path))
+    """S4 format: text files, one per task, whose lines are JSON arrays of at most ``size`` reviews each
+    (read them with ``multiline=False``)."""
+    _json_lines(reviews, size, "[", "]").write.mode("overwrite").text(path)

@@ -1,7 +1,9 @@
 """Streaming re-aims of the reference's per-request paths.
 
-* T1 ``stream_scored``     continuous scoring + append of incoming feedback, de-duplicated by id
-                           within the watermark (re-imports of the same review are dropped).
+* T1 ``stream_reviews``    continuous import: each micro-batch of review rows is normalised (P1–P8),
+                           de-duplicated, scored and appended to the fact table.  A review that is
+                           already in the table on the same day is not appended again; nothing is
+                           dropped for coming late.
 * T2 ``stream_timeseries`` tumbling hour / day / week windows with M1 counts; state is bounded by
                            the watermark and each window is emitted once, when it closes.
 * T3 ``stream_spikes``     sliding per-product windows (default 7 days every day) raising the
@@ -18,8 +20,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.labels import count_polarity, polarity
 from ..functions.numeric import pct
 from ..functions.timefns import instant_to_ntz, ntz_to_instant
-from ..operators import scoring
+from ..operators import normalize, scoring
+from ..operators.filters import DATE_COLUMN
 from ..session import scratch_path
+from ..sources import readers, sinks
+from ..sources.schemas import FACT_SCHEMA
 
 WINDOW_OF = {"hour": ("1 hour", None), "day": ("1 day", None), "week": ("7 days", "4 days")}
 
@@ -28,25 +33,42 @@ def with_event_time(sdf: DataFrame, delay: str, col: str = "event_ts") -> DataFr
     return sdf.withColumn("event_time", ntz_to_instant(F.col(col))).withWatermark("event_time", delay)
 
 
-def drop_local_copies(sdf: DataFrame, key: str = "id") -> DataFrame:
-    """Drop repeated keys inside each Arrow batch before the de-duplication shuffle.
+def new_reviews(facts: DataFrame, path: str) -> DataFrame:
+    """The first of each (id, day) among normalised rows that the fact table at ``path`` does not have.
 
-    Streaming de-duplication has no map-side partial step, so a review copied many times would
-    send every copy to the one task owning its key; this keeps at most one copy per batch."""
-    def run(batches):
-        for pdf in batches:
-            yield pdf.drop_duplicates(subset=[key], keep="first")
-    return sdf.mapInPandas(run, sdf.schema)
+    Copies are thinned map-side (a partial aggregate) before the shuffle.  The table is read for
+    the days of this batch only."""
+    spark = facts.sparkSession
+    keyed = facts.withColumn(DATE_COLUMN, F.to_date("event_ts"))
+    days = [r[0] for r in keyed.select(DATE_COLUMN).distinct().collect()]        # days of one micro-batch
+    row = F.struct(*facts.columns)
+    one = keyed.groupBy("id", DATE_COLUMN).agg(F.min_by(row, F.struct("event_ts", F.xxhash64("text", "product", "team", "metadata"))).alias("r"))
+    known = readers.read_fact(spark, path).where(F.col(DATE_COLUMN).isin(days)).select("id", DATE_COLUMN)
+    return one.join(known, ["id", DATE_COLUMN], "left_anti").select("r.*")
 
 
-def stream_scored(sdf: DataFrame, scorer: str = "lexicon", delay: str = "1 day",
-                  pre_dedup: bool = True) -> DataFrame:
-    """Score each incoming row (C5 lexicon or C4 rating) and drop duplicate ids within the
-    watermark (copies are thinned per batch first, see ``drop_local_copies``)."""
-    scored = scoring.lexicon_scorer(sdf) if scorer == "lexicon" else scoring.rating_scorer(sdf)
-    if pre_dedup:
-        scored = drop_local_copies(scored)
-    return with_event_time(scored, delay).dropDuplicatesWithinWatermark(["id"]).drop("event_time")
+def import_batch(reviews: DataFrame, path: str, as_of, scorer: str = "lexicon") -> None:
+    """One micro-batch of T1 (or one batch import): P8, P1–P7, de-duplication, score, append.
+
+    Running a batch again after a failure appends only what is missing."""
+    facts = normalize.reviews_to_feedback(normalize.drop_blank_text(reviews), as_of)
+    fresh = new_reviews(facts, path)
+    if scorer == "lexicon":
+        scored = scoring.lexicon_scorer(fresh)
+    else:
+        scored = scoring.rating_scorer(fresh.withColumn("score", F.get_json_object("metadata", "$.rating").cast("double")))
+    sinks.write_results(scored, path)
+
+
+def stream_reviews(sdf: DataFrame, path: str, checkpoint: str, as_of, scorer: str = "lexicon"):
+    """A stream of review rows into the fact table at ``path``; returns the ``DataStreamWriter``.
+
+    There is no watermark and no state: de-duplication looks into the table itself."""
+    spark = sdf.sparkSession
+    empty = spark.createDataFrame([], FACT_SCHEMA)
+    sinks.write_results(empty.drop("text_length"), path)                # so that the first batch has a table to read
+    return sdf.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
+        lambda batch, _: import_batch(batch, path, as_of, scorer))
 
 
 def stream_timeseries(sdf: DataFrame, group_by: str = "hour", delay: str = "1 hour") -> DataFrame:

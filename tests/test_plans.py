@@ -1,8 +1,16 @@
 """Physical-plan properties that matter at scale."""
 
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
-import __spark_entry__ as E
+from feedlens import api
+from feedlens.operators import filters as FL, rules as R, scoring as S
+from feedlens.plans import all_queries
+from feedlens.session import scratch_path
+from feedlens.sources import readers as RD, sinks as SK
+from feedlens.sources.fixtures import feedback_docs
 
 from .conftest import SF_SMALL
 
@@ -11,9 +19,33 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def scans(df) -> list[str]:
+    """Descriptions of the file scans that ran, after adaptive execution; reused shuffles count once."""
+    out = []
+
+    def items(seq):
+        return [seq.apply(k) for k in range(seq.size())]
+
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        if kind.startswith("Reused"):
+            return
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(node.plan())
+        if kind == "FileSourceScanExec":
+            out.append(node.simpleString(1000))
+        for child in [*items(node.children()), *items(node.subqueries())]:
+            walk(child)
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return out
+
+
 @pytest.fixture(scope="module")
 def q():
-    return E.queries()
+    return all_queries()
 
 
 def test_top_n_uses_partial_group_limit(spark, q):
@@ -56,21 +88,63 @@ def test_no_python_outside_c2(spark, q):
         assert "PythonUDF" not in p and "MapInPandas" not in p and "BatchEvalPython" not in p, name
 
 
-def test_c2_is_arrow_batched(spark, q):
-    assert "MapInPandas" in plan(q["C2_pandas_batch_scorer"](spark, SF_SMALL))
+def test_c2_sends_only_the_text_to_python(spark, q):
+    p = plan(q["C2_pandas_batch_scorer"](spark, SF_SMALL))
+    assert "ArrowEvalPython" in p and "MapInPandas" not in p
+    call = re.search(r"ArrowEvalPython \[run\(([^)]*)\)", p)
+    assert call and call.group(1).startswith("text#") and "," not in call.group(1)
 
 
-def test_keyword_eligibility_joins_only_top_n(spark, q):
+def test_keywords_read_the_texts_once(spark, q):
     p = plan(q["W2_keywords"](spark, SF_SMALL))
-    join_at = p.find("Join")
-    assert join_at != -1 and join_at < p.find("WindowGroupLimit")    # join above the top-N
-    assert "LeftSemi" not in p                                         # never a semi join on tokens
-
-
-def test_spread_small_only_for_small_inputs(spark):
-    from feedlens.session import spread_small
-    df = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
-    assert "RoundRobinPartitioning" not in plan(spread_small(df, max_bytes=0))
-    assert spread_small(df, max_bytes=0) is df
-    small = spread_small(df.union(df).union(df), max_bytes=1 << 30)
-    assert small is not None
+    assert p.count("FileScan parquet") == 1 and "Join" not in p
+    assert p.count("WindowGroupLimit") >= 2                          # partial limit before the shuffle
+
+
+def test_top_comments_never_sort_the_texts(spark):
+    facts = scratch_path(spark, "t-plan-facts")
+    SK.write_results(S.lexicon_scorer(feedback_docs(spark, SF_SMALL, with_rating=False)), facts, by_date=False)
+    df = api.top_comments(RD.read_fact(spark, facts), 5, "2024-03-01 00:00:00")
+    df.collect()
+    assert sum("text:string" in s for s in scans(df)) == 1           # ranks come from the stored length
+    assert "WindowGroupLimit" in plan(df)
+
+
+@pytest.fixture(scope="module")
+def fact_table(spark):
+    path = scratch_path(spark, "t-plan-by-date")
+    SK.write_results(S.lexicon_scorer(feedback_docs(spark, SF_SMALL, with_rating=False)), path)
+    return path
+
+
+def _partition_filters(df) -> str:
+    return " ".join(re.findall(r"PartitionFilters: \[([^\]]*)\]", plan(df)))
+
+
+def test_time_ranges_prune_days(spark, fact_table):
+    f = RD.read_fact(spark, fact_table)
+    start, end = "2024-01-02 00:00:00", "2024-01-03 12:00:00"
+    for df in (api.timeseries(f, start, end, "day"), FL.recent_days(f, end, 2), api.dashboard(f, end, days=1)["recent_trends"],
+               api.products_timeseries(f, ["src1"], start=start, end=end), api.timeseries_summary(f, start, end)):
+        assert "event_date" in _partition_filters(df)
+    got = FL.time_range(f, start, end).count()
+    assert got == feedback_docs(spark, SF_SMALL).where(f"event_ts BETWEEN TIMESTAMP_NTZ'{start}' AND TIMESTAMP_NTZ'{end}'").count()
+
+
+@pytest.mark.parametrize("name", ["A24_score_distribution", "A24_expected_sentiment_distribution", "A28_top_products_share", "A33_team_share",
+                                  "S10_ingest_report", "R2_suggestions_all_rows", "A15_confusion_matrix", "A16_class_metrics",
+                                  "A17_overall_metrics", "A18_class_distribution", "A19_confidence_by_class", "R1_insights", "W2_keywords"])
+def test_facts_are_read_once(spark, q, name):
+    df = q[name](spark, SF_SMALL)
+    df.collect()
+    tables = [re.search(r"(\w+)\.parquet", s).group(1) for s in scans(df)]
+    assert tables and len(tables) == len(set(tables)), tables
+
+
+def test_no_caps_by_default(spark):
+    rows = [(i, f"p{i // 4}", "negative" if i % 2 else "positive", 0.9) for i in range(1200)]
+    df = spark.createDataFrame(rows, "id long, product string, sentiment_label string, confidence_score double") \
+        .withColumn("event_ts", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).withColumn("team", F.lit("a"))
+    assert R.insight_counters(df).first().total_products_analyzed == 300
+    assert R.escalations(df, 30).count() == 30 and R.volume_leaders(df, 250).count() == 250
+    assert R.suggestions(df).where("category = 'Quality Improvement'").first().data_points == 600

@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from feedlens.session import scratch_path
+from feedlens.sources import readers as RD
 from feedlens.streaming import streams as ST
 
 SCHEMA = ("id long, text string, sentiment_label string, confidence_score double, "
@@ -21,20 +22,40 @@ def _batch(spark, rows, path):
     spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(path)
 
 
-def test_dedup_within_watermark(spark):
-    base = scratch_path(spark, "t-stream-dedup")
+REVIEWS = "Id string, ProductId string, UserId string, ProfileName string, HelpfulnessNumerator int, HelpfulnessDenominator int, " \
+          "Score double, Time string, Summary string, Text string, Customer_Type string"
+
+
+def _review(k, text, time):
+    return (str(k), f"P{k % 3}", "u", "n", 1, 2, 4.0, time, "s", text, "Normal")
+
+
+def _import(spark, files, base):
+    """Each list of reviews as one file and one micro-batch."""
     src = f"{base}/src"
-    t0 = dt.datetime(2024, 1, 1, 10)
-    _batch(spark, [(1, "great product", "joy", 0.9, t0, "a", "p"),
-                   (2, "awful", "anger", 0.8, t0, "a", "p")], src)
-    sdf = lambda: ST.stream_scored(spark.readStream.schema(SCHEMA).parquet(src), "lexicon", "1 day")
-    _drain(spark, sdf(), base)
-    # the same review re-imported an hour later: dropped; a new id: kept
-    _batch(spark, [(1, "great product", "joy", 0.9, t0 + dt.timedelta(hours=1), "a", "p"),
-                   (3, "fine", "neutral", 0.7, t0 + dt.timedelta(hours=1), "a", "p")], src)
-    _drain(spark, sdf(), base)
-    ids = sorted(r.id for r in spark.read.parquet(f"{base}/out").collect())
-    assert ids == [1, 2, 3]
+    for rows in files:
+        spark.createDataFrame(rows, REVIEWS).coalesce(1).write.mode("append").json(src)
+    sdf = spark.readStream.schema(REVIEWS).option("maxFilesPerTrigger", 1).json(src)
+    ST.stream_reviews(sdf, f"{base}/table", f"{base}/ck", "2024-06-01 00:00:00").trigger(availableNow=True).start().awaitTermination()
+    return RD.read_fact(spark, f"{base}/table")
+
+
+def test_import_loses_no_late_review(spark):
+    days = [[_review(10 * d + k, f"great day {d} {k}", f"2024-01-{10 + 3 * d:02d}T0{k}:00:00Z") for k in range(5)] for d in range(4)]
+    days[2].append(_review(1000, "  ", "2024-01-01T00:00:00Z"))                       # blank: P8
+    out = []
+    for name, order in (("asc", days), ("desc", days[::-1])):
+        f = _import(spark, order, scratch_path(spark, f"t-import-{name}"))
+        out.append(sorted((r.id, r.text, r.sentiment_label, str(r.event_ts), r.product) for r in f.collect()))
+    assert out[0] == out[1] and len(out[0]) == 20
+
+
+def test_import_takes_a_review_once_per_day(spark):
+    base = scratch_path(spark, "t-import-again")
+    first = [_review(1, "great product", "2024-01-01T10:00:00Z"), _review(2, "awful", "2024-01-01T10:00:00Z"), _review(1, "great product", "2024-01-01T10:00:00Z")]
+    again = [_review(1, "great product", "2024-01-01T11:00:00Z"), _review(3, "fine", "2024-01-01T11:00:00Z"), _review(1, "next day", "2024-01-02T11:00:00Z")]
+    f = _import(spark, [first, again], base)
+    assert sorted((r.id, str(r.event_date)) for r in f.collect()) == [(1, "2024-01-01"), (1, "2024-01-02"), (2, "2024-01-01"), (3, "2024-01-01")]
 
 
 def test_windows_close_once_and_late_rows_are_dropped(spark):

@@ -12,18 +12,19 @@ from feedlens.operators import (compare as C, filters as FL, metrics as M, norma
                                 products as P, profile as PR, rules as R, scoring as S, text as TX,
                                 timeseries as TS)
 
-# (ProductId, Score, Time, HelpfulnessNumerator, HelpfulnessDenominator, Text)
+# (ProductId, Score, Time, HelpfulnessNumerator, HelpfulnessDenominator, Text): three products of three,
+# three and two reviews with the outcomes worked out below.
 EIGHT = [
-    ("B001234567", 5.0, "1346976000", 10, 10, "I absolutely love this product, great quality and excellent value"),
-    ("B001234567", 4.0, "1347062400", 8, 9, "Good product overall, works as expected and arrived quickly"),
-    ("B001234567", 1.0, "1347148800", 5, 6, "Terrible, it broke after one day and support was awful"),
-    ("B007654321", 3.0, "1347235200", 3, 5, "It is okay, nothing special but does the job"),
-    ("B007654321", 5.0, "1347321600", 12, 12, "Amazing, best purchase this year, wonderful design"),
-    ("B007654321", 1.0, "1347408000", 4, 4, "Disappointed, poor build and it arrived broken"),
-    ("B009876543", 5.0, "1347494400", 15, 15, "Excellent quality, happy with the purchase"),
-    ("B009876543", 4.0, "1347580800", 7, 8, "Good value, would buy again for the family"),
+    ("KETTLE-7", 4.0, "1700000000", 2, 5, "Boils quickly and pours well, a great kettle for two people"),
+    ("KETTLE-7", 5.0, "1700090000", 6, 6, "Excellent handle, stays cool, happy with this kettle"),
+    ("KETTLE-7", 2.0, "1700180000", 1, 9, "The lid broke in a week, poor hinge and a sad sight"),
+    ("LAMP-2", 1.0, "1700270000", 7, 7, "Flickers all evening, awful light, returned at once"),
+    ("LAMP-2", 3.0, "1700360000", 0, 2, "Neither bright nor dim, a lamp like any other"),
+    ("LAMP-2", 5.0, "1700450000", 3, 4, "Wonderful warm light on my desk, best lamp so far"),
+    ("TENT-9", 5.0, "1700540000", 11, 13, "Dry through a storm, amazing seams"),
+    ("TENT-9", 4.0, "1700630000", 5, 8, "Good space, takes a while to pitch"),
 ]
-AS_OF = "2012-09-20 00:00:00"
+AS_OF = "2023-11-25 00:00:00"
 
 
 @pytest.fixture(scope="module")
@@ -43,22 +44,22 @@ def facts(reviews):
 
 def test_bulk_summary_matches_hand_computed(facts):
     got = {r.product_id: r for r in P.bulk_summary(facts).collect()}
-    assert got["B001234567"].total_reviews == 3
-    assert (got["B001234567"].positive_count, got["B001234567"].negative_count,
-            got["B001234567"].neutral_count) == (2, 1, 0)
-    assert got["B001234567"].positive_percentage == pytest.approx(66.6667, abs=1e-4)
-    assert got["B001234567"].avg_confidence == pytest.approx(0.90)
-    assert (got["B007654321"].positive_count, got["B007654321"].negative_count,
-            got["B007654321"].neutral_count) == (1, 1, 1)
-    assert got["B007654321"].positive_percentage == pytest.approx(33.3333, abs=1e-4)
-    assert got["B007654321"].avg_confidence == pytest.approx(0.866667, abs=1e-6)
-    assert got["B009876543"].positive_percentage == pytest.approx(100.0)
-    assert got["B009876543"].avg_confidence == pytest.approx(0.90)
+    assert got["KETTLE-7"].total_reviews == 3
+    assert (got["KETTLE-7"].positive_count, got["KETTLE-7"].negative_count,
+            got["KETTLE-7"].neutral_count) == (2, 1, 0)
+    assert got["KETTLE-7"].positive_percentage == pytest.approx(66.6667, abs=1e-4)
+    assert got["KETTLE-7"].avg_confidence == pytest.approx((0.85 + 0.95 + 0.80) / 3)
+    assert (got["LAMP-2"].positive_count, got["LAMP-2"].negative_count,
+            got["LAMP-2"].neutral_count) == (1, 1, 1)
+    assert got["LAMP-2"].positive_percentage == pytest.approx(33.3333, abs=1e-4)
+    assert got["LAMP-2"].avg_confidence == pytest.approx((0.90 + 0.75 + 0.95) / 3)
+    assert got["TENT-9"].positive_percentage == pytest.approx(100.0)
+    assert got["TENT-9"].avg_confidence == pytest.approx(0.90)
 
 
 def test_event_time_is_parsed_epoch(facts):
     ts = {r.id: r.event_ts for r in facts.select("id", "event_ts").collect()}
-    assert ts[1] == dt.datetime(2012, 9, 7, 0, 0)
+    assert ts[1] == dt.datetime(2023, 11, 14, 22, 13, 20)
 
 
 def test_metadata_keeps_present_keys_in_order(facts):
@@ -69,7 +70,7 @@ def test_metadata_keeps_present_keys_in_order(facts):
 
 def test_product_summary_lists(facts):
     s = {r.product_id: r for r in P.product_summary(facts, top_n=3, as_of=AS_OF).collect()}
-    a = s["B001234567"]
+    a = s["KETTLE-7"]
     assert a.emotion_counts == {"negative": 1, "positive": 2}
     assert len(a.top_positive_comments) == 2 and len(a.top_negative_comments) == 1
     assert a.top_positive_comments[0].rank == 1
@@ -116,10 +117,10 @@ def test_polarity_maps_disagree_as_in_reference(spark):
 
 
 def test_time_cascade_and_buckets(spark):
-    df = spark.createDataFrame([("1346976000",), ("2024-01-03T05:06:07Z",), ("2024-01-03T05:06:07+02:00",),
+    df = spark.createDataFrame([("1700000000",), ("2024-01-03T05:06:07Z",), ("2024-01-03T05:06:07+02:00",),
                                 ("2024-01-03 05:06:07.5",), ("garbage",), (None,)], "t string")
     r = [x.p for x in df.select(parse_event_time("t", "2030-01-01 00:00:00").alias("p")).collect()]
-    assert r == [dt.datetime(2012, 9, 7), dt.datetime(2024, 1, 3, 5, 6, 7), dt.datetime(2024, 1, 3, 3, 6, 7),
+    assert r == [dt.datetime(2023, 11, 14, 22, 13, 20), dt.datetime(2024, 1, 3, 5, 6, 7), dt.datetime(2024, 1, 3, 3, 6, 7),
                  dt.datetime(2024, 1, 3, 5, 6, 7, 500000), dt.datetime(2030, 1, 1), dt.datetime(2030, 1, 1)]
     b = spark.createDataFrame([(dt.datetime(2024, 1, 7, 23, 30),)], "ts timestamp_ntz").select(
         bucket("ts", "hour").alias("h"), bucket("ts", "day").alias("d"), bucket("ts", "week").alias("w"),
@@ -129,6 +130,23 @@ def test_time_cascade_and_buckets(spark):
     assert b.neg == -1                                       # floor, like timedelta.days
 
 
+def test_numeric_times(spark):
+    rows = ["99999999999999999999", "-99999999999999999999", "1e9", "1.7E+9", ".5", "1e400", "nan", "Infinity", "12d", " 1700000000 ", "-1"]
+    df = spark.createDataFrame([(x,) for x in rows], "t string")
+    got = {r.t: r.p for r in df.select("t", parse_event_time("t", "2030-01-01 00:00:00").alias("p")).collect()}
+    late = dt.datetime(2030, 1, 1)
+    assert [got[x] for x in rows] == [late, late, dt.datetime(2001, 9, 9, 1, 46, 40), dt.datetime(2023, 11, 14, 22, 13, 20),
+                                      dt.datetime(1970, 1, 1, 0, 0, 0, 500000), late, late, late, late,
+                                      dt.datetime(2023, 11, 14, 22, 13, 20), dt.datetime(1969, 12, 31, 23, 59, 59)]
+
+
+def test_outer_blanks_do_not_make_a_text_long_enough(spark):
+    rows = [(1, "a", "joy", " " * 60 + "hello world"), (2, "b", "joy", "hello world" + "\u2003" * 60), (3, "c", "joy", "hello " + " " * 60 + "world"),
+            (4, "d", "joy", " " * 30 + "hello world, here are some"), (5, "d", "joy", "more words to reach fifty" + " " * 30), (6, "e", "joy", " " * 80)]
+    df = spark.createDataFrame(rows, "id long, product string, sentiment_label string, text string")
+    assert {r.product for r in TX.keywords(df, 5).collect()} == {"c", "d"}
+
+
 def test_suggestions_default_on_empty_input(facts):
     s = R.suggestions(facts.where("1 = 0"), max_rows=None).collect()
     assert [(x.title, x.data_points) for x in s] == [("Continue Monitoring", 0)]
@@ -165,9 +183,9 @@ def test_metrics_confusion_grid_zero_filled(facts):
 
 
 def test_compare_products(facts):
-    summ = C.comparable_summary(facts, ["B001234567", "B009876543"])
-    c = C.compare_products(summ, "B001234567", "B009876543").first()
-    assert c.better_product == "B009876543"
+    summ = C.comparable_summary(facts, ["KETTLE-7", "TENT-9"])
+    c = C.compare_products(summ, "KETTLE-7", "TENT-9").first()
+    assert c.better_product == "TENT-9"
     assert c.total_reviews_diff == 1
     assert c.positive_percentage_diff == pytest.approx(66.6667 - 100.0, abs=1e-3)
 
@@ -183,8 +201,8 @@ def test_pandas_scorer_equals_native(spark):
 
 def test_profile_and_filters(facts):
     assert PR.dataset_profile(facts, ["product"]).first().n_distinct_product == 3
-    assert FL.products_in(facts, "B001234567, B009876543 ").count() == 5
-    assert FL.recent_days(facts, AS_OF, 7).count() == 2
+    assert FL.products_in(facts, "KETTLE-7, TENT-9 ").count() == 5
+    assert FL.recent_days(facts, AS_OF, 7).count() == 5
     d = PR.value_distribution(facts, "product", 1).collect()
     assert sum(x.percentage for x in d) == pytest.approx(100.0, abs=0.11)
 
@@ -199,8 +217,8 @@ def test_api_surface(spark, reviews):
     facts = api.score(api.normalize(reviews, AS_OF), "lexicon")
     assert api.products(facts, limit=2).count() == 2
     assert api.statistics(facts).first().total_analyses == 8
-    c = api.compare_products(facts, "B001234567", "B007654321").first()
-    assert c.product_1 == "B001234567"
+    c = api.compare_products(facts, "KETTLE-7", "LAMP-2").first()
+    assert c.product_1 == "KETTLE-7"
     assert api.alerts(facts, as_of=AS_OF).count() >= 0
 
 

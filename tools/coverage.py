@@ -14,7 +14,7 @@ ID_RE = re.compile(r"\b([SPCFAWJURT])(\d{1,2})\b")
 NOTES = {
     "C1": "one text = C2/C5 on a one-row frame",
     "C3": "`scoring.argmax_label` (inside C2, C5, T1)",
-    "P7": "`scoring.truncate_for_scoring`; not used by registered queries (whole texts only)",
+    "P7": "left to the scorer: a model with a token limit cuts inside itself, the library passes whole texts",
     "P16": "`numeric.pct` (every percentage column)",
     "W6": "severity / priority ordering inside R2 and R3",
     "U4": "union of rule outputs inside R2 (`unionByName`, `inline`) and R3 (`inline`)",
