@@ -37,10 +37,11 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     repeats = int(os.environ.get("BENCH_REPEATS", "3"))
-    from feedlens.session import get_spark
     from feedlens.plans import all_queries
+    from feedlens.session import clear_scratch, get_spark
+    from feedlens.sources.fixtures import INPUT_PARTITIONS
     spark = get_spark(f"local[{cpus}]", app="feedlens-bench", shuffle_partitions=max(cpus, 8),
-                      extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")})
+                      extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g"), INPUT_PARTITIONS: str(cpus)})
     qs = all_queries()
     timings: dict[str, float] = {}
     only = [x for x in os.environ.get("BENCH_QUERIES", "").split(",") if x]
@@ -49,7 +50,9 @@ def main() -> None:
     def run(name: str) -> float:
         t0 = time.perf_counter()
         qs[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        return time.perf_counter() - t0
+        took = time.perf_counter() - t0
+        clear_scratch(spark)
+        return took
     for name in names:                                   # warm-up pass over every query first
         run(name)
     for name in names:

@@ -24,7 +24,8 @@ W_CONFIDENCE, W_HELPFUL, W_RECENCY, W_TEXT = 0.4, 0.3, 0.2, 0.1
 RECENCY_DAYS, TEXT_CHARS = 365.0, 1000.0
 # ------------------------------------------------------------------------------------------------
 
-BLANK_START = "(?U)^[\\s\\x1C-\\x1F]*"
+#: The characters that Python's ``strip`` removes.
+BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 
 def _polarity_is(p: str):
@@ -89,20 +90,19 @@ def top_comment_lists(df: DataFrame, top_n: int = 10, as_of=None) -> DataFrame:
     return g.withColumns(cols).drop("_all")
 
 
-def _blanks_at(text: Column) -> Column:
-    """Number of blank characters at the start, as Python's ``strip`` sees them."""
-    return F.length(F.regexp_extract(text, BLANK_START, 0))
-
-
 def _word_counts(df: DataFrame, scheme: str) -> DataFrame:
     """(product, polarity, word, count, joined): counts of keywords, and per group one row with the word ''
     whose ``joined`` is the length of its texts joined by spaces, outer blanks apart."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = df.select("product", polarity("sentiment_label", scheme).alias("polarity"), text.alias("text"),
                      (F.col("id") if "id" in df.columns else F.lit(0)).alias("id")).where(F.col("polarity").isNotNull())
-    words = base.select(
-        "product", "polarity", "id", F.length("text").alias("len"), _blanks_at(F.col("text")).alias("lead"),
-        _blanks_at(F.reverse("text")).alias("trail"), F.explode(F.array_append(candidate_keywords(F.col("text")), "")).alias("word"))
+    # Measured below the explode: beside it, they would be evaluated again for every word.
+    blank = F.lit(BLANKS)
+    texts = base.select("product", "polarity", "id", F.length("text").alias("len"),
+                        (F.length("text") - F.length(F.ltrim("text", blank))).alias("lead"),
+                        (F.length("text") - F.length(F.rtrim("text", blank))).alias("trail"),
+                        F.array_append(candidate_keywords(F.col("text")), "").alias("words"))
+    words = texts.select("product", "polarity", "id", "len", "lead", "trail", F.explode("words").alias("word"))
     marker = F.col("word") == ""
     owner = F.when(marker, F.col("id"))
     g = words.where(~F.col("word").isin(UNIQUE_STOP_WORDS)).groupBy("product", "polarity", "word").agg(

@@ -10,8 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+#: Session setting: deal the rows of ``documents`` to so many partitions when reading it.  Unset, which is
+#: the default whatever the size, nothing is shuffled; the bench sets it, as its file is one row group.
+INPUT_PARTITIONS = "spark.feedlens.documents.partitions"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    n = spark.conf.get(INPUT_PARTITIONS, None) if name == "documents" else None
+    return df.repartition(int(n)) if n else df
 
 
 EVENTS_EXPRS = [
