@@ -38,6 +38,7 @@ _NAMES = {
     "notice": "cookie cookies consent gdpr notice alert popup modal overlay privacy warning",
     "talk": "comment comments reply replies discussion responses disqus respond",
     "form": "form search newsletter subscribe signup login share social tags rating",
+    "byline": "byline author meta date posted published by",
     "text": "content article post entry body story text main page blog"}
 _GROUP = {w: k for k, ws in enumerate(_NAMES.values()) for w in ws.split()}
 _PART = re.compile(r"[A-Za-z]+?(?=[A-Z][a-z]|[^A-Za-z]|$)")

@@ -35,6 +35,11 @@ def _inline(r: random.Random, text: str) -> str:
 
 def _body_part(r: random.Random) -> str:
     kind = r.random()
+    if kind < 0.07:
+        tag = r.choice(["div", "section"])
+        inner = "".join(f"<p data-main>{_sentences(r, 1, 4)}</p>" for _ in range(r.randint(1, 3)))
+        head = f"<h3 data-main>{_words(r, 1, 5)}</h3>" if r.random() < 0.6 else ""
+        return f"<{tag}>{head}{inner}</{tag}>"
     if kind < 0.62:
         text = _inline(r, _sentences(r, 1, 7)) if r.random() < 0.75 else _words(r, 1, 3) + "." * r.randint(0, 1)
         return f"<p data-main>{text}</p>" if r.random() < 0.8 else f"<p data-main><b data-main>{text}<br>"
@@ -57,6 +62,8 @@ def _body_part(r: random.Random) -> str:
 def _noise(r: random.Random) -> str:
     n = r.randint(2, 8)
     kinds = [
+        lambda: f'<div class="{r.choice(["notice", "alert", "cookie", "newsletter", "subscribe", "promo", "sponsor", "related", "share", "popup", "widget", "signup"])}">{_words(r, 2, 14)}</div>',
+        lambda: f'<div class="{r.choice(["sidebar", "side", "about-author", "widget"])}"><h3>{_words(r, 1, 3)}</h3><p>{_sentences(r, 1, 5)}</p></div>',
         lambda: f'<div class="{r.choice(["ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner"])}">{_sentences(r, 1, 2)}</div>',
         lambda: f'<aside class="{r.choice(["sidebar", "widget", "side", "col-right", ""])}"><h3>{_words(r, 1, 3)}</h3><ul>{_links(r, n)}</ul></aside>',
         lambda: f"<aside><p>{_sentences(r, 1, 3)}</p></aside>",
@@ -73,7 +80,8 @@ def _comments(r: random.Random) -> str:
     name = r.choice(["comment", "reply", "comment-body", ""])
     items = "".join(f'<{one} class="{name}"><p>{_words(r, 1, 2)}</p><p>{_sentences(r, 1, 4)}</p></{one}>' for _ in range(r.randint(1, 5)))
     box = r.choice(['section class="comments"', 'div id="comments"', 'div class="comment-list"', 'section id="discussion"', 'div class="responses"'])
-    return f"<{box}><h3>{_words(r, 1, 3)}</h3>{items}</{box.split()[0]}>"
+    h = r.choice(["h2", "h3", "h4"])
+    return f"<{box}><{h}>{_words(r, 1, 3)}</{h}>{items}</{box.split()[0]}>"
 
 
 def labelled_page(seed: int) -> str:
@@ -87,7 +95,11 @@ def labelled_page(seed: int) -> str:
     foot = r.choice([f"<footer>{foot_text}</footer>", f"<footer><p>{foot_text}</p><ul>{_links(r, 4)}</ul></footer>",
                      f'<div class="footer" id="footer"><p>{foot_text}</p></div>', ""])
     title = f"<h1 data-main>{_words(r, 2, 9)}</h1>" if r.random() < 0.85 else ""
-    parts = [title] + [_body_part(r) for _ in range(r.choice([0, 1, 1, 2, 3, 4, 5, 7, 9, 14]))]
+    if title and r.random() < 0.25:
+        byline = f'<p class="{r.choice(["byline", "meta", "author", "date", "posted"])}">{_words(r, 1, 5)}</p>' if r.random() < 0.7 else ""
+        title = f"<header>{title}{byline}</header>"
+    plain = r.random() < 0.12                       # paragraphs are divs
+    parts = [title] + [f"<div data-main>{_sentences(r, 1, 5)}</div>" if plain else _body_part(r) for _ in range(r.choice([0, 1, 1, 2, 3, 4, 5, 7, 9, 14]))]
     if not title and len(parts) == 1:
         parts.append(f"<p data-main>{_sentences(r, 1, 3)}</p>")
     inside = [_noise(r)] if r.random() < 0.35 else []
@@ -99,6 +111,8 @@ def labelled_page(seed: int) -> str:
                     ('<div id="content"><div class="post">', "</div></div>"), ('<div class="article-body">', "</div>"), ('<div class="entry-content">', "</div>"),
                     ('<section class="story">', "</section>"), ('<div id="main" role="main">', "</div>"), ('<article class="post"><div class="text">', "</div></article>")])
     article = wrap[0] + "".join(parts) + wrap[1]
+    if r.random() < 0.2:                            # comments beside the article in one container
+        article = f"<main>{article}{_comments(r)}</main>" if not wrap[0].startswith("<main") else article
     around = [_noise(r) for _ in range(r.randint(0, 3))]
     k = r.randint(0, len(around))
     rest = [*around[:k], article, *([_comments(r)] if r.random() < 0.25 else []), *around[k:]]
