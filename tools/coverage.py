@@ -17,8 +17,8 @@ NOTES = {
     "P7": "left to the scorer: a model with a token limit cuts inside itself, the library passes whole texts",
     "P16": "`numeric.pct` (every percentage column)",
     "W6": "severity / priority ordering inside R2 and R3",
-    "U4": "union of rule outputs inside R2 (`unionByName`, `inline`) and R3 (`inline`)",
-    "J6": "zero-filled 3×3 grid inside A15",
+    "U4": "rule outputs of R2 and R3 emitted from one row (`inline`)",
+    "J6": "nine conditional counts, zero when empty, inside A15",
     "S8": "`readers.read_fact` (S6_S8 query)",
     "P2": "value-checked inside `P1_reviews_to_feedback` (product)",
     "P3": "value-checked inside `P1_reviews_to_feedback` and `S5_feedback_csv_roundtrip` (event_ts)",
@@ -43,7 +43,7 @@ def tagged_functions():
     out = {}
     for base, _, files in os.walk(os.path.join(ROOT, "feedlens")):
         for f in files:
-            if not f.endswith(".py") or "plans" in base:
+            if not f.endswith(".py") or "plans" in base or "llm" in base:
                 continue
             p = os.path.join(base, f)
             mod = os.path.relpath(p, ROOT)[:-3].replace(os.sep, ".")
@@ -66,8 +66,8 @@ def expand(key):
 
 
 def main():
-    import __spark_entry__ as E
-    qs, sqls = E.queries(), E.oracle_sql()
+    from feedlens.plans import all_queries, oracle_sqls
+    qs, sqls = all_queries(), oracle_sqls()
     by_id = {}
     for k in qs:
         for i in expand(k.split("_")[0] + ("_" + k.split("_")[1] if re.match(r"[SPCFAWJURT]\d", k.split("_")[1] if "_" in k else "") else "")):

@@ -6,18 +6,17 @@ import sys
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 NOTES = {
-    "A3_product_rollup_orders": "one partial+final HashAggregate on product; dimension joins planned by size "
-                                "(broadcast here, sort-merge + AQE skew split at scale); scans read 3+3+1 columns",
+    "A3_product_rollup_orders": "one partial+final HashAggregate on product; dimension joins planned by size; scans read 3+3+1 columns",
     "A6_timeseries_hour": "time range pushed into the Parquet scan; one aggregate on (hour, team, product)",
+    "A6_timeseries_fact_table": "the day range prunes the fact table's partitions",
     "R3_alerts_events": "A20 + A21 fused in one aggregate; alerts emitted with Generate(inline) from that row",
-    "R2_suggestions_all_rows": "overall / product / team rows from one Expand-based grouping-sets aggregate; the "
-                               "default row from a global aggregate over the same grouped rows (no subquery)",
-    "W1_top_comments": "WindowGroupLimit Partial before the exchange, Final after it",
-    "W2_keywords": "regex scan + explode + InSet stop-word filter + partial count before the exchange; "
-                   "two-phase WindowGroupLimit; the 50-character eligibility rows join only the top-N",
-    "C5_lexicon_scorer": "no exchange besides the small-input spread; no Python",
-    "J1_top_products_timeseries": "top-N product list (bounded) broadcast into a left-semi join",
-    "A16_class_metrics": "one aggregate to at most 9 confusion cells; everything after is tiny",
+    "R2_suggestions_all_rows": "overall / product / team rows from one aggregate over inline keys; the scalar over the same "
+                               "aggregate reuses its shuffle at run time",
+    "W1_top_comments": "narrow rows ranked with a partial WindowGroupLimit; texts fetched for rows at the threshold",
+    "W2_keywords": "one scan: regex + explode with a marker per text, partial count before the exchange, two-phase WindowGroupLimit",
+    "C5_lexicon_scorer": "one regex scan per text; no exchange, no Python",
+    "J1_top_products_timeseries": "top-N product list into a left-semi join, planned by size",
+    "A16_class_metrics": "one aggregate row with nine conditional counts, expanded with inline",
     "T2_stream_timeseries_hour": "(batch read of the stream's output table; see streams.py for the "
                                  "watermarked state store plan)",
 }
