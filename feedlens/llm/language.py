@@ -24,6 +24,7 @@ NGRAM = 3
 DOCS_PER_LANGUAGE = 1500
 UNKNOWN = "und"
 _U = np.uint64
+_RANGE = 1 << 40
 #: N-gram vectors held at once.
 _COLUMNS = 8192
 
@@ -108,8 +109,13 @@ def learn_prototypes(df: DataFrame, text_col: str, lang_col: str, id_col: str,
     held-out ones excepted; what reaches the driver is one vector per language."""
     labelled = df.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"),
                          held_out(id_col).alias("out")).where("lang IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL AND NOT out")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = labelled.select("id", "lang").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= docs_per_language)
+    # A language with millions of documents first keeps a share of its hash range that holds a little
+    # more than the bound, so that ranking never gathers all of a language's rows in one task.
+    ids = labelled.select("id", "lang", F.pmod(F.xxhash64("id"), F.lit(_RANGE)).alias("h"))
+    share = ids.groupBy("lang").agg((F.lit(1.5 * docs_per_language * _RANGE) / F.count("*")).alias("top"))
+    near = ids.join(share, "lang").where("h < top")
+    order = Window.partitionBy("lang").orderBy("h", "id")
+    chosen = near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= docs_per_language).select("id")
     sample = labelled.join(F.broadcast(chosen.select("id").distinct()), "id", "left_semi")   # bounded by the parameter
     partial = sample.select("lang", "text").mapInArrow(_profile, "lang string, bundle array<double>")
     summed = partial.select("lang", F.posexplode("bundle").alias("at", "x")).groupBy("lang", "at").agg(F.sum("x").alias("x"))
