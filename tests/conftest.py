@@ -22,6 +22,8 @@ def spark():
     if not (s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir()):
         s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="feedlens-test-ckpt-"))
     yield s
+    from feedlens.session import clear_scratch
+    clear_scratch(s)
 
 
 @pytest.fixture(scope="session")
