@@ -113,7 +113,7 @@ def learn_prototypes(df: DataFrame, text_col: str, lang_col: str, id_col: str,
     # more than the bound, so that ranking never gathers all of a language's rows in one task.
     ids = labelled.select("id", "lang", F.pmod(F.xxhash64("id"), F.lit(_RANGE)).alias("h"))
     share = ids.groupBy("lang").agg((F.lit(1.5 * docs_per_language * _RANGE) / F.count("*")).alias("top"))
-    near = ids.join(share, "lang").where("h < top")
+    near = ids.join(F.broadcast(share), "lang").where("h < top")          # one row per language
     order = Window.partitionBy("lang").orderBy("h", "id")
     chosen = near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= docs_per_language).select("id")
     sample = labelled.join(F.broadcast(chosen.select("id").distinct()), "id", "left_semi")   # bounded by the parameter
