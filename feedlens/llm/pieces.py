@@ -278,7 +278,7 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
-        for b in chunks_by_bytes(batches, "text", 1 << 20):
+        for b in chunks_by_bytes(batches, "text", 1 << 19):
             codec = codec or Codec(model)
             texts = [t or "" for t in b.column("text").to_pylist()]
             offsets, ids, ends = codec.encode(texts)
