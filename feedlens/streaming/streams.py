@@ -1,6 +1,6 @@
 """Streaming re-aims of the reference's per-request paths.
 
-* T1 ``stream_reviews``    continuous import: each micro-batch of review rows is normalised (P1–P8),
+* T1 ``stream_reviews``    continuous import: each micro-batch of review rows is normalised (P1–P6, P8),
                            de-duplicated, scored and appended to the fact table.  A review that is
                            already in the table on the same day is not appended again; nothing is
                            dropped for coming late.
@@ -48,7 +48,7 @@ def new_reviews(facts: DataFrame, path: str) -> DataFrame:
 
 
 def import_batch(reviews: DataFrame, path: str, as_of, scorer: str = "lexicon") -> None:
-    """One micro-batch of T1 (or one batch import): P8, P1–P7, de-duplication, score, append.
+    """One micro-batch of T1 (or one batch import): P8, P1–P6, de-duplication, score, append.
 
     Running a batch again after a failure appends only what is missing."""
     facts = normalize.reviews_to_feedback(normalize.drop_blank_text(reviews), as_of)
