@@ -16,7 +16,7 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _STEP = _U(0xD6E8FEB86659FD93)
 #: Bytes hashed at once; a text longer than this is cut after a word.
-SEGMENT = 1 << 22
+SEGMENT = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
