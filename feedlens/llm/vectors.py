@@ -1,6 +1,9 @@
 """Embedding near-duplicates through a pivot-permutation index.
 
-Pivots are data vectors drawn by hash, about ``2 sqrt(n)`` of them.  Every vector is described by its
+Pivots are random normal vectors, about ``2 sqrt(n)`` of them, and near means a large inner product.  The
+inner products of two unit vectors with such pivots are pairs of normal variables whose correlation is the
+cosine, so whether a pair is retrieved depends on its cosine and the number of pivots only, and
+neither on the other vectors, however dense they lie, nor on the dimension.  Every vector is described by its
 ``prefix`` nearest pivots in order and entered in the inverted list of each.  Two vectors are candidates
 if their descriptions share at least ``shared`` pivots; the pair is counted in the list of the smallest
 pivot they share only, and verified there by its cosine in double precision.  A list longer than
@@ -53,15 +56,16 @@ def _matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
     return out / np.maximum(np.sqrt((out * out).sum(1, keepdims=True)), 1e-300)
 
 
-def pick_pivots(vectors: DataFrame, count: int) -> np.ndarray:
-    """``count`` vectors with the smallest hash of their values, as unit rows: the bounded fitted part."""
-    rows = vectors.select("v", F.xxhash64("v").alias("h")).orderBy("h").limit(count).select("v").collect()
-    return _matrix(pa.array([r[0] for r in rows], pa.list_(pa.float64())))
+def draw_pivots(count: int, width: int, seed: int = 5) -> np.ndarray:
+    """Standard normal vectors, the same in every task; not of unit length, so a shorter vector, which meets
+    their first components only, finds normal pivots too."""
+    return np.random.default_rng([seed, count, width]).standard_normal((count, width))
 
 
-def _describe(pivots: np.ndarray, prefix: int):
+def _describe(count: int, width: int, prefix: int):
     """(id, copies, pivot, near, v): one entry per pivot of the description ``near``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots = draw_pivots(count, width)
         for whole in batches:
             for start in range(0, whole.num_rows, 1024):
                 b = whole.slice(start, 1024)
@@ -143,11 +147,11 @@ def vector_duplicates(df: DataFrame, cosine: float = 0.95, prefix: int = 8, shar
     v = F.col(vector_col).cast("array<double>")
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.when(_usable(v), v).alias("v"))
     reps = durable(rows.where("v IS NOT NULL").groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies")).where("id IS NOT NULL"))
-    n = reps.count()
-    pivots = pick_pivots(reps, min(MOST_PIVOTS, max(16, math.ceil(2 * math.sqrt(n)))))
+    n, width = reps.agg(F.count("*"), F.max(F.size("v"))).first()
     if n:
+        pivots = min(MOST_PIVOTS, max(16, math.ceil(2 * math.sqrt(n))))
         entries = durable(reps.select("id", "copies", "v").mapInArrow(
-            _describe(pivots, prefix), "id long, copies long, pivot int, near binary, v array<double>"))
+            _describe(pivots, width, prefix), "id long, copies long, pivot int, near binary, v array<double>"))
         blocks = entries.groupBy("pivot").agg(F.ceil(F.count("*") / list_rows).cast("int").alias("k"))
         dealt = entries.join(blocks, "pivot").withColumn("block", F.pmod(F.xxhash64("id"), F.col("k")).cast("int")).withColumn(
             "other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))

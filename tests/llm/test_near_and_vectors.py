@@ -133,6 +133,20 @@ def test_vectors_recall_and_precision(spark, list_rows):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
+@pytest.mark.parametrize("n,dims", [(1500, 32), (6000, 32), (6000, 4)])
+def test_vectors_recall_of_a_dense_group(spark, n, dims):
+    """A third of the rows lie around one centre; what is found of their links must not fall with their number."""
+    r = np.random.default_rng(9)
+    x = r.normal(size=(n, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[:n // 3] = x[0] + np.sqrt(r.uniform(0.02, 0.05, size=(n // 3, 1))) * x[:n // 3][r.permutation(n // 3)]
+    links = (x @ x.T >= 0.95 * np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(x, axis=1)).sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = {r.vec_id: r.n_links for r in vector_duplicates(df).collect()}
+    assert links.sum() > n * n / 30 and all(got[i] <= w for i, w in enumerate(links))
+    assert sum(got.values()) >= 0.97 * links.sum()
+
+
 def test_vectors_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [1.0, None]),
