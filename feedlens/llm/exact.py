@@ -9,17 +9,20 @@ values, and fails the job if two texts under one digest differ in length or in a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE_RE, durable, fresh_name
 
 
+def _normal(text_col: str) -> Column:
+    return F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE_RE, " ")
+
+
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, digest, length, check) of every row; texts are compared after each run of white space has
     become one space, a null text counts as empty."""
-    norm = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE_RE, " ")
-    return (df.select(F.col(id_col).alias("id"), norm.alias("norm"))
+    return (df.select(F.col(id_col).alias("id"), _normal(text_col).alias("norm"))
             .select("id", F.unhex(F.sha2("norm", 256)).alias("digest"),
                     F.octet_length("norm").alias("length"), F.xxhash64("norm").alias("check")))
 
@@ -66,7 +69,11 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df``, unchanged, without those whose text a row with a smaller id has."""
-    name = fresh_name(df, "dropped_id")
-    dropped = exact_duplicates(df, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias(name)).distinct()
-    return df.join(dropped, F.col(id_col).eqNullSafe(F.col(name)), "left_anti")
+    """The rows of ``df``, unchanged, without those whose text a row with a smaller id has.  A row goes by
+    its id and its text, so other texts under the same or a null id stay."""
+    name, mine, copied = (fresh_name(df, n) for n in ("dropped_id", "text_digest", "dropped_digest"))
+    dropped = exact_duplicates(df, id_col, text_col).where(~F.col("kept")).select(
+        F.col(id_col).alias(name), F.unhex("text_sha256").alias(copied)).distinct()
+    rows = df.withColumn(mine, F.unhex(F.sha2(_normal(text_col), 256)))
+    same = F.col(id_col).eqNullSafe(F.col(name)) & (F.col(mine) == F.col(copied))
+    return rows.join(dropped, same, "left_anti").drop(mine)

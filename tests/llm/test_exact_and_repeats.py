@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from feedlens.llm.exact import drop_exact_duplicates, exact_duplicates, merge_runs, digests
 from feedlens.llm.repeats import drop_repeated_windows, level_lengths, pack, unpack
 
@@ -44,6 +45,14 @@ def test_exact_repeated_rows_and_null_ids(spark):
     assert exact_duplicates(df.limit(0)).count() == 0
 
 
+def test_exact_filter_by_id_and_text(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (2, "c"), (None, "a"), (None, " b"), (None, "\tb"), (3, None), (4, ""), (4, "d")],
+                               "doc_id long, text string")
+    want = sorted([(1, "a"), (1, "a"), (2, "c"), (None, " b"), (None, "\tb"), (3, None), (4, "d")], key=repr)
+    for kept in (drop_exact_duplicates(df), corpus_pipeline.exact(spark, df, "")):
+        assert sorted(map(tuple, kept.collect()), key=repr) == want
+
+
 @pytest.mark.parametrize("runs,steps", [(1, 1), (2, 1), (16, 1), (16, 3), (64, 6)])
 def test_merge_tree_shapes(documents, corpus, runs, steps):
     want = {(v[0], v[1]) for v in _exact(corpus).values()}
