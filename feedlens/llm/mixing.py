@@ -137,7 +137,8 @@ def mix_decisions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shards = max(1, round(int(quotas.sum()) / shard_blocks))
     # Draw number of (pass, block): full passes one after another, then the blocks of the last one in
     # their permuted order, which come first in it; an affine map permutes the draws of a source.
-    per = frame.select("source_no", F.col("blocks").alias("n_blocks"))
+    # Blocks without a document have no draw, so a pass has as many draws as the source has blocks here.
+    per = blocks.groupBy("source_no").agg(F.count("*").alias("n_blocks"))
     q = F.broadcast(spark.createDataFrame([(i, int(n), next(p for p in _PRIMES if not n or p % n or n == 1)) for i, n in enumerate(quotas)],
                                           "source_no int, q long, step long"))
     draws = (blocks.where("drawn > 0").join(F.broadcast(per), "source_no").join(q, "source_no")

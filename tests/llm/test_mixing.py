@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from feedlens.llm.mixing import WEIGHTS, mix_decisions, mix_documents, plan, shard_quotas, targets
 
@@ -80,6 +81,23 @@ def test_mix(spark):
     assert counts == Counter({i: len(r.shards) for i, r in got.items() if r.shards})
 
 
+def test_draws_fill_their_places_despite_empty_blocks(spark):
+    """Few long documents leave blocks of source a empty; every shard still gets its exact quotas."""
+    rows = [(i, "w " * 100, "a") for i in range(12, 24)] + [(100 + i, "w", "b") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix_decisions(df, seed=7, block_words=100, shard_blocks=4)
+    blocks = F.when(F.col("doc_id") < 100, 12).otherwise(40)
+    draws = {(r.doc_id >= 100, r.block, k, shard) for r in got.withColumn("block", F.pmod(F.xxhash64(F.lit(7), "doc_id"), blocks)).collect()
+             for k, shard in enumerate(r.shards)}
+    quotas = np.array([sum(not b for b, *_ in draws), sum(b for b, *_ in draws)], np.int64)
+    used = len({block for b, block, *_ in draws if not b})
+    assert used < 12 and quotas[0] == 3 * used
+    shards = max(1, round(int(quotas.sum()) / 4))
+    for k in range(shards):
+        want = shard_quotas(quotas, shards, k, 7)[1]
+        assert [sum((b, s) == (x, k) for b, _, _, s in draws) for x in (False, True)] == want.tolist()
+
+
 def test_mix_edges(spark):
     schema = "doc_id long, text string, source string"
     assert mix_decisions(spark.createDataFrame([], schema)).count() == 0
