@@ -86,6 +86,18 @@ def test_vector_query_recall(spark, duck):
     assert sum(got.values()) >= 0.9 * want.sum() and all(got[i] <= w for (i, _), w in zip(rows, want))
 
 
+def test_vector_query_recall_of_planted_links(spark, tmp_path):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[:1000] = x[0] + np.sqrt(r.uniform(0.02, 0.05, size=(1000, 1))) * x[r.permutation(1000)]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sum(row.n_links for row in llm_queries()["op5_embedding_dedup"](spark, str(tmp_path)).collect())
+    want = int((x @ x.T >= 0.95).sum()) - len(x)
+    assert want > 100_000 and 0.97 * want <= got <= want
+
+
 def test_near_query(spark, duck):
     rows = duck.execute("SELECT doc_id, text FROM documents").fetchall()
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in llm_queries()["op8_minhash_chosen_path"](spark, SF_SMALL).collect()}
