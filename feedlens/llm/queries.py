@@ -119,6 +119,89 @@ SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefixes import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+OP11_SQL = r"""
+WITH t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS i,
+         md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS m,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w
+  FROM conversations WHERE conv_id IS NOT NULL),
+bits AS (SELECT range AS b, CAST(range AS UBIGINT) AS v0 FROM range(256)),
+-- crc32 by its table of 256 remainders, each from eight steps
+s1 AS (SELECT b, CASE WHEN v0 & 1 = 1 THEN xor(v0 >> 1, 3988292384) ELSE v0 >> 1 END AS v FROM bits),
+s2 AS (SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END AS v FROM s1),
+s3 AS (SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END AS v FROM s2),
+s4 AS (SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END AS v FROM s3),
+s5 AS (SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END AS v FROM s4),
+s6 AS (SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END AS v FROM s5),
+s7 AS (SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END AS v FROM s6),
+s8 AS (SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END AS v FROM s7),
+steps AS (SELECT list(v ORDER BY b) AS k FROM s8),
+h AS (
+  SELECT c, own, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS UBIGINT))),
+                     lambda a, x: xor(a >> 8, k[CAST(xor(a, x) & 255 AS BIGINT) + 1])), 4294967295) % 4 AS h
+  FROM (SELECT c, count(*) AS own FROM t GROUP BY c), steps),
+r AS (
+  SELECT h.c, 0 AS part, t.i, t.m, t.w FROM h JOIN t ON t.c = h.c - h.c % 20 AND t.i <= h.h
+  UNION ALL SELECT t.c, 1, t.i, t.m, t.w FROM t JOIN h ON h.c = t.c AND t.i > h.h),
+q AS (
+  SELECT c, row_number() OVER o AS d, string_agg(m, '') OVER o AS path, w
+  FROM r WINDOW o AS (PARTITION BY c ORDER BY part, i)),
+members AS (SELECT c, d, path, w FROM q UNION ALL SELECT c, 0, '', 0 FROM h),
+deepest AS (SELECT c, max(d) AS last FROM members GROUP BY c),
+node AS (
+  SELECT path, any_value(d) AS depth, min(m.c) AS conv_id, count(*) AS n_convs, any_value(w) * (count(*) - 1) AS own_saved,
+         sha256(coalesce(string_agg(CAST(m.c AS VARCHAR), ',' ORDER BY m.c) FILTER (d = last), '')) AS ends_sha256
+  FROM members m JOIN deepest USING (c) GROUP BY path),
+child AS (SELECT path[:length(path) - 32] AS path, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY ALL),
+below AS (
+  SELECT path[:32 * k] AS path, CAST(sum(own_saved) AS BIGINT) AS saved_tokens, CAST(count(*) FILTER (n_children IS NULL) AS BIGINT) AS n_leaves
+  FROM node LEFT JOIN child USING (path), unnest(range(0, depth + 1)) AS u(k) GROUP BY ALL)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM node n JOIN below USING (path) LEFT JOIN child USING (path) LEFT JOIN node p ON n.depth > 0 AND p.path = n.path[:length(n.path) - 32]
+"""
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hardneg import mine_hard_negatives
+
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+OP13_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS other, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT p.anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank,
+       other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -136,6 +219,9 @@ _QUERIES: dict[str, tuple[Build, str | None]] = {
     "op8_minhash_chosen_path": (op8_minhash, None),
     "op9_exact_dedup": (op9_exact_dedup, OP9_SQL),
     "op10_source_mixing": (op10_source_mixing, None),
+    "op11_prefix_trie": (op11_prefix_trie, OP11_SQL),
+    "op12_toxicity": (op12_toxicity, None),
+    "op13_hard_negatives": (op13_hard_negatives, OP13_SQL),
     "pipeline": (pipeline, None),
 }
 
