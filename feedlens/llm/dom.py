@@ -35,6 +35,8 @@ class Page:
         #: (element, block number, text) with character references decoded.
         self.texts: list[tuple[int, int, str]] = []
         self._stack = [0]
+        #: Per tag, where its open elements are in the stack.
+        self._open_at: dict[str, list[int]] = {}
         self._block = 0
         self._read(html)
 
@@ -43,19 +45,25 @@ class Page:
         self.parent.append(self._stack[-1])
         self.attrs.append(attrs)
         if tag not in VOID:
+            self._open_at.setdefault(tag, []).append(len(self._stack))
             self._stack.append(len(self.tag) - 1)
 
+    def _last(self, tag: str) -> int:
+        """The place of the innermost open element of a tag in the stack, 0 without any."""
+        at = self._open_at.get(tag)
+        return at[-1] if at else 0
+
+    def _close(self, place: int) -> None:
+        """Close the elements from a place of the stack on; each is closed once, so reading stays linear."""
+        while len(self._stack) > place:
+            self._open_at[self.tag[self._stack.pop()]].pop()
+
     def _close_implied(self, tag: str) -> None:
         for name, by in CLOSES.items():
             if tag in by:
-                scope = _SCOPE[name]
-                for k in range(len(self._stack) - 1, 0, -1):
-                    open_tag = self.tag[self._stack[k]]
-                    if open_tag == name:
-                        del self._stack[k:]
-                        break
-                    if open_tag in scope:
-                        break
+                place = self._last(name)
+                if place and all(self._last(other) < place for other in _SCOPE[name]):
+                    self._close(place)
 
     def _text(self, text: str) -> None:
         if text:
@@ -83,10 +91,8 @@ class Page:
             if tag in BLOCK:
                 self._block += 1
             if m[1]:
-                for k in range(len(self._stack) - 1, 0, -1):
-                    if self.tag[self._stack[k]] == tag:
-                        del self._stack[k:]
-                        break
+                if self._last(tag):
+                    self._close(self._last(tag))
                 continue
             self._close_implied(tag)
             self._open(tag, m[3])
@@ -95,7 +101,7 @@ class Page:
                 stop = end.start() if end else n
                 if tag in ("title", "textarea"):
                     self._text(html[at:stop])
-                self._stack.pop()
+                self._close(len(self._stack) - 1)
                 at = end.end() if end else n
 
     def attribute(self, element: int, *names: str) -> str:

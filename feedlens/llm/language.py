@@ -22,6 +22,8 @@ DIMENSIONS = 1024
 NGRAM = 3
 #: Training documents per language at most, those with the smallest hash of their id.
 DOCS_PER_LANGUAGE = 1500
+#: Languages learnt at most, those with the most documents; it bounds what is broadcast and collected.
+MOST_LANGUAGES = 2000
 UNKNOWN = "und"
 _U = np.uint64
 _RANGE = 1 << 40
@@ -104,19 +106,22 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn_prototypes(df: DataFrame, text_col: str, lang_col: str, id_col: str,
-                     docs_per_language: int = DOCS_PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
-    """(languages, their unit prototypes) from at most ``docs_per_language`` documents of each language,
-    held-out ones excepted; what reaches the driver is one vector per language."""
+                     docs_per_language: int = DOCS_PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> tuple[list[str], np.ndarray]:
+    """(languages, their unit prototypes) from at most ``docs_per_language`` documents (ids) of each of the
+    ``most_languages`` languages with the most documents, held-out ones excepted; what reaches the
+    driver is one vector per language."""
     labelled = df.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"),
                          held_out(id_col).alias("out")).where("lang IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL AND NOT out")
     # A language with millions of documents first keeps a share of its hash range that holds a little
     # more than the bound, so that ranking never gathers all of a language's rows in one task.
     ids = labelled.select("id", "lang", F.pmod(F.xxhash64("id"), F.lit(_RANGE)).alias("h"))
-    share = ids.groupBy("lang").agg((F.lit(1.5 * docs_per_language * _RANGE) / F.count("*")).alias("top"))
-    near = ids.join(F.broadcast(share), "lang").where("h < top")          # one row per language
+    # Ids are what is hashed, so distinct ids are what counts (an estimate within a few per cent).
+    share = ids.groupBy("lang").agg(F.approx_count_distinct("id", 0.03).alias("n")).orderBy(F.col("n").desc(), "lang").limit(most_languages)
+    share = share.select("lang", (F.lit(1.5 * docs_per_language * _RANGE) / F.col("n")).alias("top"))
+    near = ids.join(F.broadcast(share), "lang").where("h < top").select("lang", "h", "id").distinct()     # at most most_languages rows
     order = Window.partitionBy("lang").orderBy("h", "id")
-    chosen = near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= docs_per_language).select("id")
-    sample = labelled.join(F.broadcast(chosen.select("id").distinct()), "id", "left_semi")   # bounded by the parameter
+    chosen = near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= docs_per_language).select("id", "lang")
+    sample = labelled.join(F.broadcast(chosen), ["id", "lang"], "left_semi")   # bounded by the two parameters
     partial = sample.select("lang", "text").mapInArrow(_profile, "lang string, bundle array<double>")
     summed = partial.select("lang", F.posexplode("bundle").alias("at", "x")).groupBy("lang", "at").agg(F.sum("x").alias("x"))
     rows = summed.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("v")).collect()

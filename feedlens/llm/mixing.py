@@ -14,6 +14,7 @@ One number per source passes through the driver; sources are a vocabulary of at
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, durable, fresh_name
+from .common import WORD_RE, checkpoint_folder, durable, fresh_name
 
 MOST_SOURCES = 100_000
 #: Words in a block, blocks in a shard, and passes over a source at most.
@@ -102,8 +103,8 @@ def _walk(quotas: np.ndarray, shards: int, seed: int):
 
 
 def mix_decisions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-                  seed: int = 7, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
-    """One row per document: (id, size, source_size, target, shards).
+                  seed: int = 7, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: (id, size, source_size, target, shards) and the columns ``keep`` names.
 
     ``size`` is the number of words of the whole text (null: 0), ``target`` the words the mix should take
     of the document's source and ``shards`` the output shards that get a copy, at most three.
@@ -113,9 +114,11 @@ def mix_decisions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table gives no rows.  The same input and seed give the same mix.  Other columns are not read.
     """
     spark = df.sparkSession
-    docs = durable(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"),
-                             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_RE)), F.lit(0)).cast("long").alias("size"))
-                   .withColumn("h", F.xxhash64(F.lit(seed), "id")))
+    kept = [f"kept_{i}" for i in range(len(keep))]
+    # Blocks are dealt by id and text, so rows with a null or a repeated id spread.
+    docs = durable(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), *[F.col(c).alias(k) for c, k in zip(keep, kept)],
+                             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_RE)), F.lit(0)).cast("long").alias("size"),
+                             F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("h")))
     per_source = docs.groupBy("source").agg(F.sum("size").alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(per_source) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
@@ -150,9 +153,9 @@ def mix_decisions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of_block = (draws.join(places, ["source_no", "at"]).groupBy("source_no", "block")
                 .agg(F.transform(F.array_sort(F.collect_list(F.struct("pass", "shard"))), lambda x: x["shard"]).alias("shards")))
     told = blocks.select("source_no", "block", "passes", "part", "room").join(of_block, ["source_no", "block"], "left")
-    rows = placed.select("id", "size", "h", "source_size", "target", "source_no", "block").join(durable(told), ["source_no", "block"])
+    rows = placed.select("id", *kept, "size", "h", "source_size", "target", "source_no", "block").join(durable(told), ["source_no", "block"])
     rows = rows.withColumn("shards", F.coalesce("shards", F.expr("array()").cast("array<int>")))
-    closed = rows.where("part <> 'open'").select("id", "size", "source_size", "target", "shards")
+    closed = rows.where("part <> 'open'").select("id", *kept, "size", "source_size", "target", "shards")
     inside = Window.partitionBy("source_no", "block").orderBy("h", "id", "size")
     opened = rows.where("part = 'open'").withColumn("sum", F.sum("size").over(inside)).withColumn("nth", F.row_number().over(inside))
     whole = Window.partitionBy("source_no", "block")
@@ -167,17 +170,24 @@ def mix_decisions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     off = F.abs(F.col("size") - F.col("gap"))
     opened = (opened.withColumn("off", F.when(~F.col("in") & (off < F.col("gap")), F.struct(off, "nth")))
               .withColumn("in", F.col("in") | F.coalesce(F.min("off").over(whole)["nth"] == F.col("nth"), F.lit(False))))
-    opened = opened.select("id", "size", "source_size", "target", F.when(F.col("in"), F.col("shards")).otherwise(
+    opened = opened.select("id", *kept, "size", "source_size", "target", F.when(F.col("in"), F.col("shards")).otherwise(
         F.slice("shards", 1, F.col("passes"))).alias("shards"))
-    return closed.unionByName(opened).withColumnRenamed("id", id_col)
+    return closed.unionByName(opened).withColumnsRenamed({"id": id_col, **dict(zip(kept, keep))})
 
 
 def mix_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mixed corpus: each row of ``df`` once for every shard that takes it, shard by shard, in an order
-    shuffled within the shard.  Rows repeating an id share the larger decision."""
-    decided = mix_decisions(df, id_col, text_col, source_col, **options)
-    key, copy, shard, order = (fresh_name(df, n) for n in ("mix_id", "mix_copy", "mix_shard", "mix_order"))
-    copies = (decided.groupBy(F.col(id_col).alias(key)).agg(F.max_by("shards", F.size("shards")).alias("shards"))
-              .select(key, F.posexplode("shards").alias(copy, shard)))
-    mixed = df.join(copies, F.col(id_col).eqNullSafe(F.col(key))).withColumn(order, F.xxhash64(shard, key, copy))
-    return mixed.repartition(shard).sortWithinPartitions(shard, order).select(*[df[c] for c in df.columns])
+    shuffled within the shard.
+
+    Every row is decided and copied for itself, whether its id is null, repeated or shared by several
+    sources: the rows are numbered in a copy in the shared checkpoint folder.
+    """
+    spark = df.sparkSession
+    key, copy, shard, order = (fresh_name(df, n) for n in ("mix_key", "mix_copy", "mix_shard", "mix_order"))
+    path = f"{checkpoint_folder(spark)}/mix-{uuid.uuid4().hex[:12]}"
+    df.withColumn(key, F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    decided = mix_decisions(rows, id_col, text_col, source_col, keep=(key,), **options)
+    copies = decided.select(key, F.posexplode("shards").alias(copy, shard))
+    mixed = rows.join(copies, key).withColumn(order, F.xxhash64(shard, key, copy))
+    return mixed.repartition(shard).sortWithinPartitions(shard, order).select(*[rows[c] for c in df.columns])

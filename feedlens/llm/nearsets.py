@@ -21,12 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks_by_bytes, durable, fresh_name
 from .components import components
-from .words import Words, mix
+from .words import CHECK_SEED, Words, mix
 
 #: Positions of a signature.
 SIGNATURE = 128
@@ -53,15 +53,16 @@ def trees_for(recall: float, similarity: float) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - survival(similarity))))
 
 
-def distinct_shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bounds per row, ascending distinct shingle hashes) of every row."""
+def distinct_shingles(words: Words, width: int, check: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """(bounds per row, ascending distinct shingle hashes, with ``check`` their independent second hashes) of every row."""
     rows, hashes = words.shingles(width)
+    second = words.shingles(width, words.hashes(CHECK_SEED))[1] if check else None
     order = np.lexsort((hashes, rows))
     rows, hashes = rows[order], hashes[order]
     new = np.ones(len(rows), bool)
     new[1:] = (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])
     rows, hashes = rows[new], hashes[new]
-    return np.searchsorted(rows, np.arange(words.rows + 1)), hashes
+    return np.searchsorted(rows, np.arange(words.rows + 1)), hashes, second[order][new] if check else None
 
 
 def signatures(first: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -72,25 +73,24 @@ def signatures(first: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sets(width: int, kind: str):
-    """id, size, key (128-bit digest of the set) and signature of every document with a word."""
+def _sets(width: int):
+    """id, size, key and signature of every document with a word.
+
+    The key is a 128-bit digest of the set, half of it from each of two independent shingle hashes.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks_by_bytes(batches, "text", 1 << 20):
             words = Words(b.column("text"), lower=True)
-            first, hashes = distinct_shingles(words, width)
+            first, hashes, second = distinct_shingles(words, width, check=True)
             sizes = np.diff(first)
             some = np.flatnonzero(sizes)
+            keys, sigs = _digests(first, hashes, second), [None] * words.rows
             if len(some):
-                bounds = np.append(first[some], len(hashes))
-                sig = signatures(bounds, hashes)
-                one = np.add.reduceat(mix(hashes + _U(1)), bounds[:-1])
-                two = np.bitwise_xor.reduceat(mix(hashes ^ _U(0x5851F42D4C957F2D)), bounds[:-1])
-                key = np.stack([one, two], 1)
-            keys, sigs = [None] * words.rows, [None] * words.rows
-            for k, r in enumerate(some):
-                keys[r], sigs[r] = key[k].tobytes(), sig[k].tobytes()
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())],
-                                             ["id", "size", "key", "sig"])
+                sig = signatures(np.append(first[some], len(hashes)), hashes)
+                for k, r in enumerate(some):
+                    sigs[r] = sig[k].tobytes()
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("mark"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
+                                              pa.array(sigs, pa.binary())], ["id", "mark", "size", "key", "sig"])
     return run
 
 
@@ -226,13 +226,30 @@ def _confirm(least: float, percent: int, chunk: int = 4096):
     return run
 
 
+def _digests(first: np.ndarray, hashes: np.ndarray, second: np.ndarray) -> list[bytes | None]:
+    """128-bit digests of sets laid end to end, half from each of two independent hashes; None for an empty set."""
+    some = np.flatnonzero(np.diff(first))
+    keys: list[bytes | None] = [None] * (len(first) - 1)
+    if len(some):
+        both = np.stack([np.add.reduceat(mix(h + _U(1)), first[some]) for h in (hashes, second)], 1)
+        for k, r in enumerate(some):
+            keys[r] = both[k].tobytes()
+    return keys
+
+
 def _whole_sets(width: int):
+    """The sets that links are confirmed on, as second hashes: a link needs both hashes to agree.  A task
+    sends a set of one document once, however many rows repeat it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = set()
         for b in chunks_by_bytes(batches, "text", 1 << 20):
             words = Words(b.column("text"), lower=True)
-            first, hashes = distinct_shingles(words, width)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([hashes[x:y].tobytes() for x, y in zip(first[:-1], first[1:])], pa.binary())],
-                                             ["id", "shingles"])
+            first, hashes, second = distinct_shingles(words, width, check=True)
+            names = list(zip(b.column("doc").to_pylist(), _digests(first, hashes, second)))
+            fresh = [i for i, x in enumerate(names) if x[1] is not None and x not in sent and not sent.add(x)]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([names[i][0] for i in fresh], pa.int64()), pa.array([names[i][1] for i in fresh], pa.binary()),
+                pa.array([np.sort(second[first[i]:first[i + 1]]).tobytes() for i in fresh], pa.binary())], ["doc", "key", "shingles"])
     return run
 
 
@@ -253,9 +270,9 @@ def _ordered(compared: DataFrame) -> DataFrame:
 
 def near_links(sets: DataFrame, texts: DataFrame, width: int, percent: int = 80, recall: float = 0.999,
                node_sets: int = NODE_SETS, node_bytes: int = NODE_BYTES, levels: int = LEVELS) -> DataFrame:
-    """Confirmed links (a, b) that connect the similar sets of ``sets`` (id, size, sig).
+    """Confirmed links (a, b) that connect the similar sets of ``sets`` (id, doc, key, size, sig, sketch).
 
-    ``texts`` (id, text) has the text behind each id.
+    ``texts`` (doc, text) has, under the document ``doc``, a text whose set has the digest ``key``.
     """
     threshold = percent / 100
     least = SIGNATURE * (threshold - SLACK * math.sqrt(threshold * (1 - threshold) / SIGNATURE))
@@ -278,7 +295,9 @@ def near_links(sets: DataFrame, texts: DataFrame, width: int, percent: int = 80,
     sketch = sets.select("id", "sketch")
     compared = _blocks(leaves, node_sets, node_bytes).join(sketch, "id")
     active = durable(_ordered(compared).mapInArrow(_active(least), "id long, node long, i int, j int, side int, sketch binary"))
-    shingles = texts.join(active.select("id").distinct(), "id", "left_semi").mapInArrow(_whole_sets(width), "id long, shingles binary")
+    wanted = durable(sets.select("id", "doc", "key").join(active.select("id").distinct(), "id", "left_semi"))
+    found = texts.join(wanted.select("doc"), "doc", "left_semi").mapInArrow(_whole_sets(width), "doc long, key binary, shingles binary")
+    shingles = found.join(wanted, ["doc", "key"]).select("id", "shingles")
     return _ordered(active.join(shingles, "id")).mapInArrow(_confirm(least, percent), "a long, b long").distinct()
 
 
@@ -290,23 +309,37 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, recall: fl
     shingle as a whole).  Two documents are linked if their sets' Jaccard similarity is ``percent``
     or more; ``component_id`` is the smallest id reachable by links and ``kept`` says that the document
     has it.  Null, empty and blank texts have an empty set and link with nothing.  Equal sets are
-    represented by their smallest id; repeated rows of one id are one document.  Ids are integers; rows
-    with a null id form components of their own (null, kept).  Other columns are not read.
+    represented by their smallest id.  Links join texts: rows that share an id have the component of their own
+    text each, and equal rows are one document.  Ids are integers; rows with a null id form components
+    of their own (null, kept).  Other columns are not read.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = durable(rows.mapInArrow(_sets(width, "long"), "id long, size long, key binary, sig binary"))
-    keyed = sets.where("key IS NOT NULL AND id IS NOT NULL")
-    reps = durable(keyed.groupBy("key").agg(F.min_by(F.struct("id", "size", "sig"), "id").alias("r")).select(
-        "key", "r.*").select("key", "id", "size", "sig").mapInArrow(_with_sketch, "key binary, id long, size long, sig binary, sketch binary"))
-    links = near_links(reps, rows, width, percent, recall, **limits)
-    parts = components(links)
-    of_set = durable(reps.select("key", "id").join(parts, "id", "left").select("key", F.coalesce("component_id", "id").alias("component_id")))
+    sets, of_set = _set_components(df, width, percent, recall, id_col, text_col, **limits)
     out = sets.select("id", "size", F.when(F.col("id").isNotNull(), F.col("key")).alias("key")).join(of_set, "key", "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").cast(df.schema[id_col].dataType).alias(id_col), F.col("size").alias("n_shingles"), component.alias("component_id"),
                       F.col("id").eqNullSafe(component).alias("kept"))
 
 
+def _set_components(df: DataFrame, width: int, percent: int, recall: float, id_col: str, text_col: str, mark: Column | None = None,
+                    **limits) -> tuple[DataFrame, DataFrame]:
+    """(id, size, key, sig of every row and its ``mark``; component_id of every distinct set by its key).
+
+    Links join sets, which have numbers of their own, so texts that share an id stay apart.
+    """
+    mark = F.lit(None).cast("binary") if mark is None else mark
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), mark.alias("mark"))
+    sets = durable(rows.mapInArrow(_sets(width), "id long, mark binary, size long, key binary, sig binary"))
+    keyed = sets.where("key IS NOT NULL AND id IS NOT NULL")
+    reps = durable(keyed.groupBy("key").agg(F.min_by(F.struct("id", "size", "sig"), "id").alias("r")).select(
+        "key", F.col("r.id").alias("doc"), "r.size", "r.sig").mapInArrow(_with_sketch, "key binary, doc long, size long, sig binary, sketch binary")
+        .withColumn("id", F.monotonically_increasing_id()))
+    links = near_links(reps, rows.select(F.col("id").alias("doc"), "text"), width, percent, recall, **limits)
+    parts = components(links)
+    named = reps.select("key", "doc", "id").join(parts, "id", "left").withColumn("part", F.coalesce("component_id", "id"))
+    least = named.groupBy("part").agg(F.min("doc").alias("component_id"))
+    return sets, durable(named.select("key", "part").join(least, "part").select("key", "component_id"))
+
+
 def _with_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The low byte of every signature position, which is what nodes compare."""
     for b in batches:
@@ -315,8 +348,16 @@ def _with_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x.tobytes() for x in low], pa.binary())], [*b.schema.names, "sketch"])
 
 
-def drop_near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df``, unchanged, of one document (the smallest id) per group of near duplicates."""
-    name = fresh_name(df, "dropped_id")
-    dropped = near_duplicates(df, width, percent, id_col=id_col, text_col=text_col).where(~F.col("kept")).select(F.col(id_col).alias(name)).distinct()
-    return df.join(dropped, F.col(id_col) == F.col(name), "left_anti")
+def drop_near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, recall: float = 0.999,
+                         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, unchanged, of one document (the smallest id) per group of near duplicates.
+
+    A row goes by its id and the set of its text, so another text under the same id stays.
+    """
+    name, mine, gone = (fresh_name(df, n) for n in ("dropped_id", "text_digest", "dropped_digest"))
+    digest = F.unhex(F.sha2(F.col(text_col), 256))
+    sets, of_set = _set_components(df, width, percent, recall, id_col, text_col, mark=digest)
+    dropped = sets.where("id IS NOT NULL").join(of_set, "key").where("id <> component_id").select(
+        F.col("id").alias(name), F.col("mark").alias(gone)).distinct()
+    same = (F.col(id_col).cast("long") == F.col(name)) & (F.col(mine) == F.col(gone))
+    return df.withColumn(mine, digest).join(dropped, same, "left_anti").drop(mine)

@@ -149,13 +149,15 @@ def _with_statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def learn(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_id: str, label_col: str, sample_docs: int) -> Forest:
     """A forest from at most ``sample_docs`` labelled documents that are not held out.
 
-    Only the sample's statistics reach the driver.  Several labels of one id count as their mean.
+    Only the sample's statistics reach the driver, of at most ``sample_docs`` rows, however many rows one id has.
+    Several labels of one id count as their mean.
     """
     chosen = (labels.select(F.col(label_id).cast("long").alias("id"), F.col(label_col).cast("double").alias("label"))
               .where("id IS NOT NULL AND label IS NOT NULL").where(~held_out("id")).groupBy("id").agg(F.avg("label").alias("label"))
               .orderBy(F.xxhash64("id"), "id").limit(sample_docs))
     sample = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    rows = sample.select("id", "label", "text").mapInArrow(_with_statistics, "id long, label double, x binary").collect()
+    rows = sample.select("id", "label", "text").mapInArrow(_with_statistics, "id long, label double, x binary")
+    rows = rows.orderBy(F.xxhash64("id", "x"), "id", "x").limit(sample_docs).collect()
     rows.sort(key=lambda r: (r[0], bytes(r[2])))
     x = np.frombuffer(b"".join(r[2] for r in rows), np.float32).reshape(-1, len(FEATURES))
     return fit(x, np.array([r[1] >= 0.5 for r in rows], np.float64))

@@ -7,8 +7,8 @@ windows found repeated at one length are the only ones extended to the next, unt
 Documents are dealt into batches by id.  At each level but the last a batch sends, per hash bucket, the
 sorted short fingerprints of its surviving windows (about two bytes each) and gets back those that
 another document has too; a fingerprint that meets by chance only survives one level too long.  At the
-last level the survivors are compared by their full 64-bit hash, and a batch learns the smallest id of
-a document in which the window starts.  A batch sends a window once however many of its documents
+last level the survivors are compared by two independent 64-bit hashes, and a batch learns the smallest id
+of a document in which the window starts.  A batch sends a window once however many of its documents
 have it, so a passage that a third of all documents share costs one entry per batch and level.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pow2_at_least, text_bytes
-from .words import Words
+from .words import CHECK_SEED, Words
 
 #: Text in one batch of documents, and text whose windows one bucket compares.
 BATCH_BYTES, MOST_BATCH_BYTES, BUCKET_BYTES = 8 << 20, 64 << 20, 32 << 20
@@ -64,6 +64,24 @@ def _member(values: np.ndarray, ascending: np.ndarray) -> tuple[np.ndarray, np.n
     return ascending[at] == values, at
 
 
+def _same(hashes: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """Where a new window begins in a list ordered by (hash, check)."""
+    return np.flatnonzero(np.append(True, (hashes[1:] != hashes[:-1]) | (checks[1:] != checks[:-1]))) if len(hashes) else np.empty(0, np.int64)
+
+
+def _find(hashes: np.ndarray, checks: np.ndarray, known: np.ndarray, known_checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(is the window known, its index) in a list ordered by (hash, check)."""
+    if not len(known):
+        return np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64)
+    last = len(known) - 1
+    at = np.minimum(np.searchsorted(known, hashes), last)
+    while True:                 # several windows of one hash: go on to the one of the same check
+        on = (known[at] == hashes) & (known_checks[at] < checks) & (at < last)
+        if not on.any():
+            return (known[at] == hashes) & (known_checks[at] == checks), at
+        at = at + on
+
+
 def _bounds(buckets_of_sorted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct buckets, bounds of their slices) of an ascending list of bucket numbers."""
     starts = np.flatnonzero(np.diff(buckets_of_sorted, prepend=-1))
@@ -139,25 +157,27 @@ class _Level:
         return run
 
     def last_level(self, before: int, length: int):
-        """Full hashes of the survivors with the smallest and largest id of the batch that has them."""
+        """Both hashes of the survivors with the smallest and largest id of the batch that has them."""
         def run(t: pa.Table, replies: pa.Table) -> pa.Table:
             if t.num_rows and replies.num_rows:
                 words, at, hashes = self._survivors(t, replies, before, length)
+                checks = _checks(words, length, at)
                 ids = t.column("id").to_numpy()[words.row[at]]
             else:
-                hashes, ids = np.empty(0, _U), np.empty(0, np.int64)
-            order = np.argsort(hashes)
-            hashes, ids = hashes[order], ids[order]
-            first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.empty(0, np.int64)
+                hashes, checks, ids = np.empty(0, _U), np.empty(0, _U), np.empty(0, np.int64)
+            order = np.lexsort((checks, hashes))
+            hashes, checks, ids = hashes[order], checks[order], ids[order]
+            first = _same(hashes, checks)
             low = np.minimum.reduceat(ids, first) if len(first) else ids
             high = np.maximum.reduceat(ids, first) if len(first) else ids
-            hashes = hashes[first]
+            hashes, checks = hashes[first], checks[first]
             names, cut = _bounds((hashes >> _U(64 - self.bits)).astype(np.int64))
             parts = list(zip(cut[:-1], cut[1:]))
             batch = t.column("batch")[0].as_py() if t.num_rows else 0
             return pa.table({
                 "bucket": pa.array(names, pa.int32()), "batch": pa.array(np.full(len(names), batch), pa.int32()),
                 "hashes": pa.array([hashes[a:b].tobytes() for a, b in parts], pa.binary()),
+                "checks": pa.array([checks[a:b].tobytes() for a, b in parts], pa.binary()),
                 "low": pa.array([low[a:b].tobytes() for a, b in parts], pa.binary()),
                 "more": pa.array([np.packbits(low[a:b] < high[a:b]).tobytes() for a, b in parts], pa.binary())})
         return run
@@ -165,43 +185,50 @@ class _Level:
     def owners(self):
         """Per bucket: tell every batch the smallest id of the windows that start before in another document."""
         def run(t: pa.Table) -> pa.Table:
-            hashes = [np.frombuffer(x, _U) for x in t.column("hashes").to_pylist()]
+            hashes, checks = ([np.frombuffer(x, _U) for x in t.column(c).to_pylist()] for c in ("hashes", "checks"))
             low = [np.frombuffer(x, np.int64) for x in t.column("low").to_pylist()]
             more = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(h)).astype(bool)
                     for x, h in zip(t.column("more").to_pylist(), hashes)]
-            flat = np.concatenate(hashes)
-            order = np.argsort(flat)
-            ordered = flat[order]
-            first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+            flat, second = np.concatenate(hashes), np.concatenate(checks)
+            order = np.lexsort((second, flat))
+            first = _same(flat[order], second[order])
             least = np.minimum.reduceat(np.concatenate(low)[order], first)
             smallest = np.empty(len(flat), np.int64)
             smallest[order] = np.repeat(least, np.diff(np.append(first, len(flat))))
-            out = {"batch": [], "hashes": [], "least": []}
+            out = {"batch": [], "hashes": [], "checks": [], "least": []}
             at = 0
-            for batch, h, lo, w in zip(t.column("batch").to_pylist(), hashes, low, more):
+            for batch, h, c, lo, w in zip(t.column("batch").to_pylist(), hashes, checks, low, more):
                 mine = smallest[at:at + len(h)]
                 at += len(h)
                 told = w | (mine < lo)
                 if told.any():
                     out["batch"].append(batch)
                     out["hashes"].append(h[told].tobytes())
+                    out["checks"].append(c[told].tobytes())
                     out["least"].append(mine[told].tobytes())
-            return pa.table({"batch": pa.array(out["batch"], pa.int32()), "hashes": pa.array(out["hashes"], pa.binary()),
-                             "least": pa.array(out["least"], pa.binary())})
+            return pa.table({"batch": pa.array(out["batch"], pa.int32()), **{c: pa.array(out[c], pa.binary()) for c in ("hashes", "checks", "least")}})
         return run
 
 
+def _checks(words: Words, length: int, at: np.ndarray) -> np.ndarray:
+    """The second hash of the windows that begin at the words ``at``."""
+    where, checks = words.windows(length, words.hashes(CHECK_SEED))
+    return checks[np.searchsorted(where, at)]
+
+
 def _cut(window: int):
     """Drop from a batch's documents the words under windows that start in a document with a smaller id."""
     def run(t: pa.Table, replies: pa.Table) -> pa.Table:
         words = Words(t.column("text"))
         ids = t.column("id").to_numpy()
-        known = np.frombuffer(b"".join(replies.column("hashes").to_pylist()), _U)
+        known, second = (np.frombuffer(b"".join(replies.column(c).to_pylist()), _U) for c in ("hashes", "checks"))
         least = np.frombuffer(b"".join(replies.column("least").to_pylist()), np.int64)
-        order = np.argsort(known)
-        known, least = known[order], least[order]
+        order = np.lexsort((second, known))
+        known, second, least = known[order], second[order], least[order]
         at, hashes = words.windows(window)
-        hit, where = _member(hashes, known)
+        hit = np.flatnonzero(_member(hashes, known)[0])
+        at, hashes = at[hit], hashes[hit]
+        hit, where = _find(hashes, _checks(words, window, at) if len(at) else hashes, known, second)
         at, where = at[hit], where[hit]
         at = at[least[where] < ids[words.row[at]]] if len(at) else at
         depth = np.zeros(len(words.hash) + 1, np.int64)
@@ -255,8 +282,8 @@ def drop_repeated_windows(df: DataFrame, window: int = 13, id_col: str = "doc_id
         if length < window:
             sent = pair.applyInArrow(level.next_level(before, length), short)
         else:
-            sent = pair.applyInArrow(level.last_level(before, length), "bucket int, batch int, hashes binary, low binary, more binary")
-    replies = sent.groupBy("bucket").applyInArrow(level.owners(), "batch int, hashes binary, least binary")
+            sent = pair.applyInArrow(level.last_level(before, length), "bucket int, batch int, hashes binary, checks binary, low binary, more binary")
+    replies = sent.groupBy("bucket").applyInArrow(level.owners(), "batch int, hashes binary, checks binary, least binary")
     out = by_batch.cogroup(replies.groupBy("batch")).applyInArrow(
         _cut(window), "id long, n_words long, n_removed long, removed_start array<int>, removed_words array<int>, kept_text string")
     return out.withColumn("id", F.when(F.col("id") != _NO_ID, F.col("id")).cast(df.schema[id_col].dataType)).withColumnRenamed("id", id_col)

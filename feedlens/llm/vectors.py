@@ -29,7 +29,7 @@ from .components import components
 #: Vectors compared at once.
 LIST_ROWS = 2048
 #: The most pivots an index uses.
-MOST_PIVOTS = 1 << 15
+MOST_PIVOTS = 1 << 18
 
 
 def _usable(v: Column) -> Column:
@@ -98,14 +98,7 @@ def _verify(shared: int, cosine: float, step: int = 1024):
         left = np.flatnonzero(side == 0) if two_blocks else np.arange(t.num_rows)
         right = np.flatnonzero(side == 1) if two_blocks else left
         partners = np.zeros(t.num_rows, np.int64)
-        parent = list(range(t.num_rows))
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
+        part = np.arange(t.num_rows)              # the connected part each row is in
         links = []
         for k in range(0, len(left), step):
             x = left[k:k + step]
@@ -113,17 +106,17 @@ def _verify(shared: int, cosine: float, step: int = 1024):
             # Shared pivots, none of them in an earlier list than this one.
             ok &= (has[x] @ has[right].T >= shared) & (before[x] @ before[right].T == 0)
             ok &= sizes[x][:, None] == sizes[right][None, :]
-            a, b = np.nonzero(ok)
-            a, b = x[a], right[b]
             if not two_blocks:
-                a, b = a[a < b], b[a < b]
-            np.add.at(partners, a, copies[b])
-            np.add.at(partners, b, copies[a])
-            for i, j in zip(a.tolist(), b.tolist()):
-                ri, rj = root(i), root(j)
-                if ri != rj:
-                    parent[ri] = rj
-                    links.append((i, j))
+                ok &= x[:, None] < right[None, :]
+            partners[x] += ok @ copies[right]
+            partners[right] += copies[x] @ ok
+            for i, row in zip(x[ok.any(1)].tolist(), ok[ok.any(1)]):
+                # One link to each part that the row's partners are in and the row is not.
+                others, at = np.unique(part[right[row]], return_index=True)
+                new = others != part[i]
+                if new.any():
+                    links += [(i, int(j)) for j in right[row][at[new]]]
+                    part[np.isin(part, others[new])] = part[i]
         some = np.flatnonzero(partners)
         out = np.array(links, np.int64).reshape(-1, 2)
         n = len(some)

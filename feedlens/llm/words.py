@@ -97,7 +97,7 @@ class Words:
                 break
             long = long[length[long] > at]
         for w in long[length[long] > at]:
-            acc[w] += self._rest(block, int(self.start[w]) + at, int(self.end[w]), at, seed)
+            acc[w:w + 1] += self._rest(block, int(self.start[w]) + at, int(self.end[w]), at, seed)
         return mix(acc + length.astype(_U) * _STEP)
 
     @staticmethod

@@ -4,10 +4,12 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from feedlens.llm.exact import drop_exact_duplicates, exact_duplicates, merge_runs, digests
+from feedlens.llm import repeats, words
 from feedlens.llm.repeats import drop_repeated_windows, level_lengths, pack, unpack
 
 SPACES = re.compile(r"[\x20\x09-\x0D]+")
@@ -111,3 +113,35 @@ def test_pack_round_trip():
     for values in ([], [0], [65534], [65535], [65536, 131070], np.unique(r.integers(0, 1 << 28, 5000))):
         values = np.asarray(values, np.int64)
         assert (unpack(pack(values)) == values).all()
+
+
+def _cancelling(n):
+    """The Thue-Morse word of n letters and its complement: equal under any polynomial hash modulo 2**64."""
+    t = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return t, t.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_cancel_are_no_repeats(spark):
+    a, b = _cancelling(1024)
+    rows = [(1, " ".join(f"{a} {i}" for i in range(13))), (2, " ".join(f"{b} {i}" for i in range(13))), (3, " ".join(f"{a} {i}" for i in range(13)))]
+    got = {r.doc_id: r.n_removed for r in repeats.drop_repeated_windows(spark.createDataFrame(rows, "doc_id long, text string"), window=13).collect()}
+    assert got == {1: 0, 2: 0, 3: 26}
+
+
+def test_word_hashes():
+    a, b = _cancelling(1024)
+    long = "x" * 70_000
+    texts = [a, b, long, long[:-1] + "y", "y" + long[1:], "ab", "ba", "a", "a\0", "x" * 8, "x" * 9, "x" * 16, "x" * 17]
+    one = words.Words(pa.array(texts))
+    for seed in (words.SEED, words.CHECK_SEED):
+        assert len(set(one.hashes(seed).tolist())) == len(texts)
+    for t, h, c in zip(texts, one.hash, one.hashes(words.CHECK_SEED)):
+        beside = words.Words(pa.array(["some words", f"\n{t}\t", None, f"before {t} after"]))
+        assert beside.hash[2] == beside.hash[4] == h and beside.hashes(words.CHECK_SEED)[4] == c
+    assert (words.Words(pa.array(["ABC Long" + "Z" * 30]), lower=True).hash == words.Words(pa.array(["abc long" + "z" * 30])).hash).all()
+
+
+def test_windows_are_told_apart_by_the_second_hash():
+    known, checks = np.array([5, 7, 7, 7, 9], np.uint64), np.array([1, 2, 4, 6, 0], np.uint64)
+    hit, at = repeats._find(np.array([7, 7, 7, 5, 8, 9, 9], np.uint64), np.array([6, 3, 2, 1, 0, 0, 1], np.uint64), known, checks)
+    assert hit.tolist() == [True, False, True, True, False, True, False] and at[hit].tolist() == [3, 1, 0, 4]

@@ -1,6 +1,7 @@
 """Language id, quality and main-text extraction: held-out accuracy and defined edge results."""
 
 import re
+import time
 import zlib
 
 import numpy as np
@@ -163,3 +164,43 @@ def test_extraction_edges(spark):
     assert len(got) == 5 and by[1].text == "" and by[2].text == "" and by[2].url is None and by[1].n_chars == 0
     assert by[None].n_chars == 5 * 20_000 - 1
     assert extraction.extract_main_text(df.limit(0)).count() == 0
+
+
+def test_reader_is_linear():
+    """Hundreds of kilobytes of unclosed or unmatched tags are read in about the time of their tokens."""
+    start = time.perf_counter()
+    for html in ("<div>" * 150_000, "<b>" * 150_000 + "</i>" * 150_000, "<p><li>" * 80_000, "<b><i></b>" * 80_000, "<td><p>" * 80_000):
+        page = Page(html + "text")
+        assert page.texts[-1][2] == "text"
+    assert time.perf_counter() - start < 20
+
+
+def test_languages_of_repeated_ids(spark):
+    rows = [(1, "le chat et le chien dans la maison", "fr")] * 3000 + [(10 + i, "the cat and the dog in the house", "en") for i in range(50)]
+    rows = [(None if out else i, t, lang) for i, t, lang in rows for out in [False]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    names, _ = language.learn_prototypes(df, "text", "lang", "doc_id", docs_per_language=20)
+    assert names == ["en", "fr"]
+    assert language.learn_prototypes(df, "text", "lang", "doc_id", docs_per_language=20, most_languages=1)[0] == ["en"]
+    got = language.identify_language(df).where("doc_id = 1").select("lang_pred").distinct().collect()
+    assert [r.lang_pred for r in got] == ["fr"]
+
+
+def test_quality_of_repeated_rows(spark):
+    """One labelled id with thousands of rows brings no more than the sample to the driver."""
+    rows = [(1, f"good words number {i}") for i in range(3000)] + [(2, "bad! bad! " * 5), (3, "fine words here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    seen = []
+    fit = quality.fit
+
+    def spy(x, y, *rest):
+        seen.append(len(x))
+        return fit(x, y, *rest)
+
+    quality.fit = spy
+    try:
+        assert quality.score_quality(df, labels, sample_docs=100).count() == len(rows)
+    finally:
+        quality.fit = fit
+    assert seen == [100]

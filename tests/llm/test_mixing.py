@@ -85,9 +85,9 @@ def test_draws_fill_their_places_despite_empty_blocks(spark):
     """Few long documents leave blocks of source a empty; every shard still gets its exact quotas."""
     rows = [(i, "w " * 100, "a") for i in range(12, 24)] + [(100 + i, "w", "b") for i in range(4000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = mix_decisions(df, seed=7, block_words=100, shard_blocks=4)
+    got = mix_decisions(df, seed=7, block_words=100, shard_blocks=4, keep=("text",))
     blocks = F.when(F.col("doc_id") < 100, 12).otherwise(40)
-    draws = {(r.doc_id >= 100, r.block, k, shard) for r in got.withColumn("block", F.pmod(F.xxhash64(F.lit(7), "doc_id"), blocks)).collect()
+    draws = {(r.doc_id >= 100, r.block, k, shard) for r in got.withColumn("block", F.pmod(F.xxhash64(F.lit(7), "doc_id", "text"), blocks)).collect()
              for k, shard in enumerate(r.shards)}
     quotas = np.array([sum(not b for b, *_ in draws), sum(b for b, *_ in draws)], np.int64)
     used = len({block for b, block, *_ in draws if not b})
@@ -107,3 +107,42 @@ def test_mix_edges(spark):
     assert sorted((r.size, r.source_size) for r in got) == [(0, 0), (1, 1), (2, 4), (2, 4)]
     assert all(len(r.shards) <= 3 for r in got)
     mix_documents(df).collect()
+
+
+def _brute_targets(sizes, weights, most=3):
+    """The level at which shares by weight, each at most ``most`` sizes, add up to the total, by bisection."""
+    lo, hi = 0.0, 1e12
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(mid * w, most * n) for n, w in zip(sizes, weights)) < sum(sizes) else (lo, mid)
+    return [min(hi * w, most * n) for n, w in zip(sizes, weights)]
+
+
+def test_targets_by_brute_force():
+    r = random.Random(4)
+    for _ in range(50):
+        sizes = [r.choice([0, r.randint(1, 20), r.randint(1, 100_000)]) for _ in range(r.randint(1, 12))]
+        weights = [WEIGHTS[i % 3] for i in range(len(sizes))]
+        if sum(sizes):
+            assert np.allclose(targets(sizes, weights), _brute_targets(sizes, weights), rtol=1e-6, atol=1e-6)
+
+
+def test_rows_without_own_id_reach_the_targets(spark):
+    """Half of the rows have no id, others share one id across sources: every row is decided for itself."""
+    r = random.Random(8)
+    rows = [(None if i % 2 else (7 if i % 3 else i), " ".join(["w"] * r.randint(1, 60)) + f" {i}", "ab"[i % 5 == 0]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    want = {x.source: x.target for x in mix_decisions(df.withColumn("s", F.col("source")), block_words=2000, keep=("s",)).select(
+        F.col("s").alias("source"), "target").distinct().collect()}
+    mixed = mix_documents(df, block_words=2000).withColumn("size", F.size(F.split("text", " ")))
+    taken = {x.source: x.n for x in mixed.groupBy("source").agg(F.sum("size").alias("n")).collect()}
+    assert set(taken) == set(want) == {"a", "b"} and all(abs(taken[k] - want[k]) <= 60 for k in want)
+    assert max(Counter(tuple(x) for x in mixed.select("doc_id", "text").collect()).values()) <= 3
+
+
+def test_mix_of_many_null_ids_and_long_texts(spark):
+    rows = [(None, None, "a")] * 50 + [(None, "x y", "b")] * 50 + [(1, "w " * 90_000, "a"), (2, "w " * 10, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix_decisions(df).collect()
+    assert len(got) == len(rows) and {r.size for r in got} == {0, 2, 10, 90_000} and all(len(r.shards) <= 3 for r in got)
+    mix_documents(df).count()

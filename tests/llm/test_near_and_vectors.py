@@ -156,3 +156,23 @@ def test_vectors_edges(spark):
     assert got == sorted([(1, 4, 1), (1, 4, 1), (2, 4, 1), (3, 0, 3), (4, 0, 4), (5, 0, 5), (6, 0, 6), (7, 0, 7), (8, 0, 8), (9, 0, 9),
                           (None, 0, None), (10, 4, 1), (11, 4, 1)], key=repr)
     assert vector_duplicates(df.limit(0)).count() == 0
+
+
+def test_texts_that_share_an_id_stay_apart(spark):
+    r = random.Random(3)
+    a = sentence(r, 100)
+    near = a + " tail"
+    other = sentence(r, 80)
+    rows = [(1, a, 1), (5, near, 2), (5, other, 3), (5, other, 4), (None, other, 5), (None, a, 6), (6, other + " end", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    got = sorted((x.doc_id or 0, x.component_id or 0, x.kept) for x in near_duplicates(df).collect())
+    assert got == [(0, 0, True), (0, 0, True), (1, 1, True), (5, 1, False), (5, 5, True), (5, 5, True), (6, 5, False)]
+    assert sorted(x.n for x in drop_near_duplicates(df).collect()) == [1, 3, 4, 5, 6]
+
+
+def test_words_that_cancel_are_not_similar(spark):
+    """Texts without a common word whose letters cancel in a polynomial hash."""
+    t = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    rows = [(1, f"{t} {t} {t}"), (2, " ".join([t.translate(str.maketrans("ab", "ba"))] * 3))]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()
+    assert sorted((x.doc_id, x.component_id) for x in got) == [(1, 1), (2, 2)]
