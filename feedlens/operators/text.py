@@ -1,13 +1,13 @@
 """Top comments (W1), keywords (W2) and their per-product list forms (inputs of J5/U3/R6/J3).
 
 Scale notes
-* W1 ranks narrow rows (product, polarity, score, id) with ``row_number() <= N``: Spark plans a partial
+* W1 ranks narrow rows (no text, no metadata) with ``row_number() <= N``: Spark plans a partial
   WindowGroupLimit before the shuffle, so even a product holding a third of all rows ships at most N
-  narrow rows per map task.  The N-th best key of a group is a threshold; only rows at or above it
-  bring their text along, so the corpus is never sorted.
-* W2 reads the texts once.  Every text contributes its keywords and one marker that carries its
-  length; both are counted by (product, polarity, word) with map-side partial aggregation, and the
-  marker's row answers the 50-character rule.
+  narrow rows per map task.  The winners' texts are fetched afterwards by their position in the
+  table's files (``positions``), so no exchange carries the texts of other rows.
+* W2 reads the texts once.  A word is counted by (product, polarity, word) with map-side partial
+  aggregation.  Every text adds one marker, a word no text can hold, that carries its length and outer
+  blanks; markers pass the same exchange and answer the 50-character rule in a second, small aggregate.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.labels import POLARITIES, polarity
 from ..functions.text import MIN_JOINED_CHARS, UNIQUE_STOP_WORDS, candidate_keywords
 from ..functions.timefns import ntz, whole_days_between
+from . import positions
 
 # ---- fixed values (must equal the reference) -------------------------------------------------
 # Ranking weights of a comment: confidence, helpfulness, recency, text length.
@@ -64,17 +65,39 @@ def comment_scores(df: DataFrame, as_of, scheme: str = "m1s") -> DataFrame:
                           + F.col("recency_part") + F.col("text_part"))
 
 
+#: Columns that ranking leaves out and the winners get back.
+WIDE = ("text", "metadata")
+
+
+def rank_comments(df: DataFrame, top_n: int = 10, as_of=None, scheme: str = "m1s") -> DataFrame:
+    """W1 without the texts: the ``top_n`` best rows per product × polarity (rank 1 = best; ties by id) with
+    their narrow columns.  One scan, and one exchange of at most ``top_n`` rows per group and task."""
+    s = comment_scores(df, as_of, scheme).drop(*WIDE)
+    if top_n <= 0:
+        return s.limit(0).withColumn("rank", F.lit(0))
+    w = Window.partitionBy("product", "polarity").orderBy(F.col("ranking_score").desc(), F.col("id").asc())
+    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
+
+
 def top_comments(df: DataFrame, top_n: int = 10, as_of=None, scheme: str = "m1s") -> DataFrame:
-    """The ``top_n`` best comments per product × polarity (rank 1 = best; ties by id)."""
+    """The ``top_n`` best comments per product × polarity, with all columns of ``df``.
+
+    Over Parquet tables the wide columns of the winners are fetched by position.  Other frames are read
+    a second time, where only rows at or above the N-th best key of their group go on.
+    """
+    wide = [c for c in WIDE if c in df.columns]
+    order = [*df.columns, "polarity", "confidence_part", "helpfulness_part", "recency_part", "text_part", "ranking_score", "rank"]
+    placed = positions.with_position(df)
+    if placed is not None and top_n > 0:
+        return positions.fetch(rank_comments(placed, top_n, as_of, scheme), placed, wide).select(*order)
     if top_n <= 0:
         return comment_scores(df, as_of, scheme).limit(0).withColumn("rank", F.lit(0))
     s = comment_scores(df, as_of, scheme)
     w = Window.partitionBy("product", "polarity").orderBy(F.col("ranking_score").desc(), F.col("id").asc())
     key = F.struct((-F.col("ranking_score")).alias("k"), F.col("id").alias("id"))       # ascending: best first
-    best = s.select("product", "polarity", "ranking_score", "id").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
-    last = best.groupBy(F.col("product").alias("_product"), F.col("polarity").alias("_polarity")).agg(F.max(key).alias("_last"))
+    last = rank_comments(df, top_n, as_of, scheme).groupBy(F.col("product").alias("_product"), F.col("polarity").alias("_polarity")).agg(F.max(key).alias("_last"))
     near = s.join(last, s.product.eqNullSafe(F.col("_product")) & (s.polarity == F.col("_polarity")) & (key <= F.col("_last")))
-    return near.drop("_product", "_polarity", "_last").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
+    return near.drop("_product", "_polarity", "_last").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n).select(*order)
 
 
 def top_comment_lists(df: DataFrame, top_n: int = 10, as_of=None) -> DataFrame:
@@ -90,38 +113,47 @@ def top_comment_lists(df: DataFrame, top_n: int = 10, as_of=None) -> DataFrame:
     return g.withColumns(cols).drop("_all")
 
 
+#: Begins a marker; keywords consist of letters.
+_MARK = "\u0001"
+
+
 def _word_counts(df: DataFrame, scheme: str) -> DataFrame:
-    """(product, polarity, word, count, joined): counts of keywords, and per group one row with the word ''
-    whose ``joined`` is the length of its texts joined by spaces, outer blanks apart."""
+    """(product, polarity, word, count): counts of keywords; besides, for every text, its marker
+    ``mark|length|leading blanks|trailing blanks|id`` as a word."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = df.select("product", polarity("sentiment_label", scheme).alias("polarity"), text.alias("text"),
                      (F.col("id") if "id" in df.columns else F.lit(0)).alias("id")).where(F.col("polarity").isNotNull())
-    # Measured below the explode: beside it, they would be evaluated again for every word.
+    # Built below the explode: beside it, the marker would be evaluated again for every word.
     blank = F.lit(BLANKS)
-    texts = base.select("product", "polarity", "id", F.length("text").alias("len"),
-                        (F.length("text") - F.length(F.ltrim("text", blank))).alias("lead"),
-                        (F.length("text") - F.length(F.rtrim("text", blank))).alias("trail"),
-                        F.array_append(candidate_keywords(F.col("text")), "").alias("words"))
-    words = texts.select("product", "polarity", "id", "len", "lead", "trail", F.explode("words").alias("word"))
-    marker = F.col("word") == ""
-    owner = F.when(marker, F.col("id"))
-    g = words.where(~F.col("word").isin(UNIQUE_STOP_WORDS)).groupBy("product", "polarity", "word").agg(
-        F.count(F.lit(1)).alias("count"), F.sum(F.when(marker, F.col("len") + 1)).alias("chars"),
-        F.min_by("lead", owner).alias("lead"), F.max_by("trail", owner).alias("trail"))
-    joined = F.col("chars") - 1 - F.coalesce("lead", F.lit(0)) - F.coalesce("trail", F.lit(0))
-    return g.select("product", "polarity", "word", "count", joined.alias("joined"))
+    size = F.length("text")
+    marker = F.concat_ws("|", F.lit(_MARK), size, size - F.length(F.ltrim("text", blank)), size - F.length(F.rtrim("text", blank)),
+                         F.coalesce(F.concat(F.lit("="), F.col("id").cast("string")), F.lit("")))
+    words = base.select("product", "polarity", F.explode(F.array_append(candidate_keywords(F.col("text")), marker)).alias("word"))
+    return words.where(~F.col("word").isin(UNIQUE_STOP_WORDS)).groupBy("product", "polarity", "word").agg(F.count(F.lit(1)).alias("count"))
+
+
+def _joined_lengths(counts: DataFrame, id_type: str) -> DataFrame:
+    """(product, polarity, joined): the length of a group's texts joined by spaces, outer blanks apart."""
+    part = F.split("word", "\\|", 5)
+    marks = counts.where(F.col("word").startswith(_MARK)).select(
+        "product", "polarity", F.when(part[4] != "", F.substr(part[4], F.lit(2))).cast(id_type).alias("id"), part[1].cast("long").alias("len"),
+        part[2].cast("long").alias("lead"), part[3].cast("long").alias("trail"), "count")
+    g = marks.groupBy("product", "polarity").agg(
+        F.sum((F.col("len") + 1) * F.col("count")).alias("chars"), F.min_by("lead", "id").alias("lead"), F.max_by("trail", "id").alias("trail"))
+    return g.select("product", "polarity", (F.col("chars") - 1 - F.coalesce("lead", F.lit(0)) - F.coalesce("trail", F.lit(0))).alias("joined"))
 
 
 def keywords(df: DataFrame, top_n: int = 10, scheme: str = "m1s") -> DataFrame:
     """The ``top_n`` most frequent keywords per product × polarity (ties by word), for groups whose
     joined texts have 50 characters without their outer blanks."""
-    group = Window.partitionBy("product", "polarity")
-    first = group.orderBy((F.col("word") == "").desc(), F.col("count").desc(), F.col("word").asc())
-    # The marker is row 1, so keywords are rows 2 to top_n + 1; the plain comparison lets Spark limit groups early.
-    top = _word_counts(df, scheme).withColumn("_row", F.row_number().over(first)).where(F.col("_row") <= top_n + 1)
-    return (top.withColumn("_joined", F.max("joined").over(group))
-               .where((F.col("word") != "") & (F.col("_joined") >= MIN_JOINED_CHARS))
-               .select("product", "polarity", "word", "count", (F.col("_row") - 1).alias("rank")))
+    counts = _word_counts(df, scheme)
+    best = Window.partitionBy("product", "polarity").orderBy(F.col("count").desc(), F.col("word").asc())
+    top = counts.where(~F.col("word").startswith(_MARK)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_n)
+    id_type = df.schema["id"].dataType.simpleString() if "id" in df.columns else "int"
+    long = _joined_lengths(counts, id_type).where(F.col("joined") >= MIN_JOINED_CHARS).select(
+        F.col("product").alias("_product"), F.col("polarity").alias("_polarity"))
+    return top.join(long, top.product.eqNullSafe(F.col("_product")) & (top.polarity == F.col("_polarity")), "left_semi").select(
+        "product", "polarity", "word", "count", "rank")
 
 
 def keyword_lists(df: DataFrame, top_n: int = 10) -> DataFrame:

@@ -42,7 +42,17 @@ _W1_COLS = ["id", "product", "polarity", "rank", "ranking_score", "confidence_pa
 
 @register("W1_top_comments", W1_SQL)
 def w1(spark, sf):
-    return TX.top_comments(feedback_docs(spark, sf, with_rating=False), 10, AS_OF).select(*_W1_COLS)
+    return TX.rank_comments(feedback_docs(spark, sf, with_rating=False), 10, AS_OF).select(*_W1_COLS)
+
+
+@register("W1_top_comment_texts", with_views(f"""
+SELECT id, product, polarity, CAST(rank AS INTEGER) AS rank, text FROM (
+  SELECT *, row_number() OVER (PARTITION BY product, polarity ORDER BY ranking_score DESC, id) AS rank
+  FROM (SELECT *, confidence_part + helpfulness_part + recency_part + text_part AS ranking_score
+        FROM s WHERE polarity IS NOT NULL) q) r JOIN (SELECT id, text FROM feedback_docs) d USING (id)
+WHERE rank <= 10""", ("s", _SCORES)))
+def w1_texts(spark, sf):
+    return TX.top_comments(feedback_docs(spark, sf, with_rating=False), 10, AS_OF).select("id", "product", "polarity", "rank", "text")
 
 
 _BLANKS = "\\t\\n\\x0B\\f\\r \\x1C-\\x1F\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
