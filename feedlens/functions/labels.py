@@ -71,6 +71,11 @@ def count_polarity(label: Column | str, which: str, scheme: str = "m1") -> Colum
     return F.count_if(polarity(label, scheme) == F.lit(which))
 
 
+def count_polarity_weighted(label: Column | str, which: str, scheme: str, rows: str) -> Column:
+    """Like ``count_polarity`` over rows that stand for ``rows`` rows each."""
+    return F.sum(F.when(polarity(label, scheme) == F.lit(which), F.col(rows)).otherwise(0))
+
+
 def three_class(label: Column | str) -> Column:
     """Metrics classifier: M1 with a NULL label read as neutral; capitalised class names."""
     c = F.col(label) if isinstance(label, str) else label

@@ -118,7 +118,7 @@ _MARK = "\u0001"
 
 
 def _word_counts(df: DataFrame, scheme: str) -> DataFrame:
-    """(product, polarity, word, count): counts of keywords; besides, for every text, its marker
+    """(product, polarity, word, count, mark): counts of keywords; besides, for every text, its marker
     ``mark|length|leading blanks|trailing blanks|id`` as a word."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = df.select("product", polarity("sentiment_label", scheme).alias("polarity"), text.alias("text"),
@@ -129,13 +129,15 @@ def _word_counts(df: DataFrame, scheme: str) -> DataFrame:
     marker = F.concat_ws("|", F.lit(_MARK), size, size - F.length(F.ltrim("text", blank)), size - F.length(F.rtrim("text", blank)),
                          F.coalesce(F.concat(F.lit("="), F.col("id").cast("string")), F.lit("")))
     words = base.select("product", "polarity", F.explode(F.array_append(candidate_keywords(F.col("text")), marker)).alias("word"))
-    return words.where(~F.col("word").isin(UNIQUE_STOP_WORDS)).groupBy("product", "polarity", "word").agg(F.count(F.lit(1)).alias("count"))
+    # The flag is an aggregate, so that filters on it stay above the exchange, which both uses then share.
+    return words.where(~F.col("word").isin(UNIQUE_STOP_WORDS)).groupBy("product", "polarity", "word").agg(
+        F.count(F.lit(1)).alias("count"), F.bool_or(F.col("word").startswith(_MARK)).alias("mark"))
 
 
 def _joined_lengths(counts: DataFrame, id_type: str) -> DataFrame:
     """(product, polarity, joined): the length of a group's texts joined by spaces, outer blanks apart."""
     part = F.split("word", "\\|", 5)
-    marks = counts.where(F.col("word").startswith(_MARK)).select(
+    marks = counts.where("mark").select(
         "product", "polarity", F.when(part[4] != "", F.substr(part[4], F.lit(2))).cast(id_type).alias("id"), part[1].cast("long").alias("len"),
         part[2].cast("long").alias("lead"), part[3].cast("long").alias("trail"), "count")
     g = marks.groupBy("product", "polarity").agg(
@@ -148,7 +150,7 @@ def keywords(df: DataFrame, top_n: int = 10, scheme: str = "m1s") -> DataFrame:
     joined texts have 50 characters without their outer blanks."""
     counts = _word_counts(df, scheme)
     best = Window.partitionBy("product", "polarity").orderBy(F.col("count").desc(), F.col("word").asc())
-    top = counts.where(~F.col("word").startswith(_MARK)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_n)
+    top = counts.where("NOT mark").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_n)
     id_type = df.schema["id"].dataType.simpleString() if "id" in df.columns else "int"
     long = _joined_lengths(counts, id_type).where(F.col("joined") >= MIN_JOINED_CHARS).select(
         F.col("product").alias("_product"), F.col("polarity").alias("_polarity"))

@@ -9,7 +9,7 @@ from ..functions.timefns import parse_event_time
 from ..operators import normalize as N
 from ..operators import scoring as S
 from ..session import scratch_path
-from ..sources import readers as RD, sinks as SK
+from ..sources import layout, readers as RD, sinks as SK
 from ..sources.derived import REVIEW_ROWS_SQL, review_rows
 from ..sources.fixtures import feedback_docs
 from ..sources.schemas import REVIEW_CSV_SCHEMA
@@ -85,6 +85,18 @@ def s6(spark, sf):
     return RD.read_fact(spark, path, ["id", "sentiment_label", "confidence_score", "event_ts", "product"])
 
 
+@register("S6_compacted_fact_table", with_views(
+    f"SELECT id, text, {_LABEL} AS sentiment_label, {_CONF} AS confidence_score, event_ts, team, product FROM feedback_docs"))
+def s6_compacted(spark, sf):
+    """Five appends in the plain layout, then one compaction into the clustered layout: no row changes."""
+    path = scratch_path(spark, "s6-compacted")
+    scored = S.lexicon_scorer(feedback_docs(spark, sf, with_rating=False))
+    for k in range(5):
+        SK.write_results(scored.where(F.pmod("id", F.lit(5)) == k), path)
+    layout.compact(spark, path)
+    return RD.read_fact(spark, path, ["id", "text", "sentiment_label", "confidence_score", "event_ts", "team", "product"])
+
+
 @register("S7_fact_overwrite", with_views(
     "SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT CAST(event_ts AS DATE)) AS BIGINT) AS n_dates "
     "FROM feedback_docs"))

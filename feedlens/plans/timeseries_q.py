@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 
+from pyspark.sql import functions as F
+
 from ..functions.labels import EMOTIONS, polarity_sql
 from ..functions.timefns import bucket_sql
-from ..operators import timeseries as TS
+from ..operators import rollups as RU, timeseries as TS
+from ..session import scratch_path
+from ..sources import layout, readers as RD, sinks as SK
 from ..sources.fixtures import feedback_events
 from .oracle import with_views
 from .registry import register
@@ -94,3 +98,53 @@ SELECT time, team, product, series, value FROM ({_a6_sql('day')}) s
 UNPIVOT (value FOR series IN (positive, neutral, negative, total))"""))
 def r8(spark, sf):
     return TS.chart_series(TS.sentiment_timeseries(feedback_events(spark, sf), None, None, "day"))
+
+
+# A fact table that grows: most days first, then late rows of old days together with the newest days.
+SPLIT = "2024-01-20 00:00:00"
+ODD_START, ODD_END = "2024-01-03 10:30:00", "2024-01-27 05:15:30"
+_ODD = f"event_ts BETWEEN TIMESTAMP '{ODD_START}' AND TIMESTAMP '{ODD_END}'"
+
+
+def _grown_view(spark, sf, name: str) -> tuple[str, str]:
+    base = scratch_path(spark, name)
+    facts, view = f"{base}/facts", f"{base}/view"
+    rows = feedback_events(spark, sf)
+    early = (F.col("event_ts") < F.lit(SPLIT).cast("timestamp_ntz")) & (F.col("id") % 500 != 0)
+    SK.write_results(rows.where(early), facts)
+    RU.refresh(spark, facts, view)
+    SK.write_results(rows.where(~early), facts)
+    RU.refresh(spark, facts, view)
+    return facts, view
+
+
+@register("A6_incremental_series_day", with_views(_a6_sql("day")), stable=('avg_confidence',))
+def a6_incremental(spark, sf):
+    facts, view = _grown_view(spark, sf, "a6-incremental")
+    return RU.sentiment_timeseries(RU.pieces(spark, facts, view, unit="day"), "day")
+
+
+@register("A6_incremental_series_week_range", with_views(_a6_sql("week", _ODD)), stable=('avg_confidence',))
+def a6_incremental_week(spark, sf):
+    facts, view = _grown_view(spark, sf, "a6-incremental-week")
+    return RU.sentiment_timeseries(RU.pieces(spark, facts, view, ODD_START, ODD_END, "week"), "week")
+
+
+@register("A5_incremental_label_buckets_hour", with_views(f"""
+SELECT {bucket_sql('event_ts', 'hour')} AS time, sentiment_label, team, product,
+       CAST(count(*) AS BIGINT) AS count, avg(confidence_score) AS avg_confidence
+FROM feedback_events WHERE {_ODD} GROUP BY 1, 2, 3, 4"""), stable=('avg_confidence',))
+def a5_incremental(spark, sf):
+    facts, view = _grown_view(spark, sf, "a5-incremental")
+    return RU.label_buckets(RU.pieces(spark, facts, view, ODD_START, ODD_END, "hour"), "hour")
+
+
+@register("J2_product_timeseries_compacted", with_views(_a6_sql("hour", _WHERE + " AND product = 'P3'")), stable=('avg_confidence',))
+def j2_compacted(spark, sf):
+    """The series of one product from a table that five imports left in many files and a compaction clustered."""
+    path = scratch_path(spark, "j2-compacted")
+    rows = feedback_events(spark, sf)
+    for k in range(5):
+        layout.write_clustered(rows.where(F.pmod("id", F.lit(5)) == k), path)
+    layout.compact(spark, path)
+    return TS.product_timeseries(RD.read_fact(spark, path), "P3", START, END, "hour")

@@ -16,7 +16,7 @@ FACT_COLUMNS = ["id", "text", "sentiment_label", "confidence_score", "event_ts",
                 "metadata"]
 
 
-def _with_date(df: DataFrame) -> DataFrame:
+def with_date(df: DataFrame) -> DataFrame:
     """Fact columns plus the text's length, so that ranking by it need not read the text, and the day."""
     out = df.select(*[c for c in FACT_COLUMNS if c in df.columns])
     if "text" in out.columns:
@@ -27,7 +27,7 @@ def _with_date(df: DataFrame) -> DataFrame:
 def _rebalanced(df: DataFrame) -> DataFrame:
     """Cluster rows by date for few files per partition directory, while letting AQE split a hot
     date over several writer tasks (a plain ``repartition(date)`` would give it one task)."""
-    return _with_date(df).hint("rebalance", "event_date")
+    return with_date(df).hint("rebalance", "event_date")
 
 
 def write_results(df: DataFrame, path: str, mode: str = "append", dedupe_on: list[str] | None = None,
@@ -43,7 +43,7 @@ def write_results(df: DataFrame, path: str, mode: str = "append", dedupe_on: lis
     if by_date:
         _rebalanced(df).write.mode(mode).partitionBy("event_date").parquet(path)
     else:
-        _with_date(df).write.mode(mode).parquet(path)
+        with_date(df).write.mode(mode).parquet(path)
 
 
 def overwrite_results(df: DataFrame, path: str, dynamic: bool = False) -> None:

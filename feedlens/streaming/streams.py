@@ -7,7 +7,8 @@
 * T2 ``stream_timeseries`` tumbling hour / day / week windows with M1 counts; state is bounded by
                            the watermark and each window is emitted once, when it closes.
 * T3 ``stream_spikes``     sliding per-product windows (default 7 days every day) raising the
-                           escalation-spike rule of R3.
+                           escalation-spike rule of R3; day panes are counted once and then shared
+                           by the windows that cover them.
 
 Event time stays TIMESTAMP_NTZ in the data; the watermark needs an instant, so ``event_time`` is
 derived without touching the session time zone and windows are reported back as NTZ.
@@ -15,6 +16,8 @@ derived without touching the session time zone and windows are reported back as
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.labels import count_polarity, polarity
@@ -86,12 +89,18 @@ def stream_timeseries(sdf: DataFrame, group_by: str = "hour", delay: str = "1 ho
 
 def stream_spikes(sdf: DataFrame, window_days: int = 7, slide_days: int = 1, delay: str = "1 day",
                   min_rows: int = 3, min_pct: float = 70.0) -> DataFrame:
-    """Per product and sliding window, rows and negative share; keeps the spiking windows."""
-    w = F.window("event_time", f"{window_days} days", f"{slide_days} days")
+    """Per product and sliding window, rows and negative share; keeps the spiking windows.
+
+    Two chained stateful aggregates: rows are counted once in panes (tumbling windows as long as both the
+    window and the slide are multiples of), and a closed pane, one row per product, enters the windows that
+    cover it.  So a row touches one state entry instead of one per window."""
+    pane = F.window("event_time", f"{math.gcd(window_days, slide_days)} days")
     d = with_event_time(sdf.where(F.col("product").isNotNull() & (F.col("product") != "")), delay)
-    g = d.groupBy(w.alias("w"), "product").agg(
+    panes = d.groupBy(pane.alias("pane"), "product").agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(polarity("sentiment_label", "m1") == "negative").alias("negative"))
+    w = F.window(F.window_time("pane"), f"{window_days} days", f"{slide_days} days")
+    g = panes.groupBy(w.alias("w"), "product").agg(F.sum("total").alias("total"), F.sum("negative").alias("negative"))
     neg_pct = pct(F.col("negative"), F.col("total"))
     return (g.where((F.col("total") >= min_rows) & (neg_pct >= min_pct))
              .select(instant_to_ntz(F.col("w.start")).alias("window_start"),

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedlens import api
-from feedlens.operators import filters as FL, rules as R, scoring as S
+from feedlens.operators import filters as FL, positions, rules as R, scoring as S, text as TX
 from feedlens.plans import all_queries
 from feedlens.session import scratch_path
 from feedlens.sources import readers as RD, sinks as SK
@@ -96,9 +96,10 @@ def test_c2_sends_only_the_text_to_python(spark, q):
 
 
 def test_keywords_read_the_texts_once(spark, q):
-    p = plan(q["W2_keywords"](spark, SF_SMALL))
-    assert p.count("FileScan parquet") == 1 and "Join" not in p
-    assert p.count("WindowGroupLimit") >= 2                          # partial limit before the shuffle
+    df = q["W2_keywords"](spark, SF_SMALL)
+    assert plan(df).count("WindowGroupLimit") >= 2                   # partial limit before the shuffle
+    df.collect()
+    assert len(scans(df)) == 1                                       # words and markers share one exchange
 
 
 def test_top_comments_never_sort_the_texts(spark):
@@ -110,6 +111,52 @@ def test_top_comments_never_sort_the_texts(spark):
     assert "WindowGroupLimit" in plan(df)
 
 
+def _exchanged_texts(df) -> list[int]:
+    """Rows written by each exchange that carries a text column."""
+    out = []
+
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(node.plan())
+        if kind == "ShuffleExchangeExec" and "text#" in node.output().toString():
+            out.append(node.metrics().apply("shuffleRecordsWritten").value())
+        for k in range(node.children().size()):
+            walk(node.children().apply(k))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return out
+
+
+def test_top_comments_shuffle_no_other_texts(spark):
+    """One product has most rows; without broadcast joins, only the winners' texts cross an exchange."""
+    docs = feedback_docs(spark, SF_SMALL, with_rating=False)
+    hot = docs.withColumn("product", F.when(F.col("id") % 10 < 6, F.lit("hot")).otherwise(F.col("product")))
+    facts = scratch_path(spark, "t-plan-hot")
+    SK.write_results(S.lexicon_scorer(hot), facts, by_date=False)
+    table = RD.read_fact(spark, facts)
+    keys = ("spark.sql.adaptive.autoBroadcastJoinThreshold", "spark.sql.autoBroadcastJoinThreshold")
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k in keys:
+        spark.conf.set(k, "-1")
+    try:
+        df = TX.top_comments(table, 3, "2024-03-01 00:00:00")
+        got = sorted((r.product, r.polarity, r["rank"], r.id, r.text) for r in df.collect())
+        assert sum(_exchanged_texts(df)) == len(got) < table.count()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    # The same rows from a frame without positions, and with a bitmap far too small.
+    rows = spark.createDataFrame(table.collect(), table.schema)
+    assert positions.with_position(rows) is None and positions.with_position(table.join(table.select("id"), "id")) is None
+    assert got == sorted((r.product, r.polarity, r["rank"], r.id, r.text) for r in TX.top_comments(rows, 3, "2024-03-01 00:00:00").collect())
+    placed = positions.with_position(table)
+    few = positions.fetch(TX.rank_comments(placed, 3, "2024-03-01 00:00:00"), placed, ["text"], bits=8)
+    assert got == sorted((r.product, r.polarity, r["rank"], r.id, r.text) for r in few.collect())
+
+
 @pytest.fixture(scope="module")
 def fact_table(spark):
     path = scratch_path(spark, "t-plan-by-date")
