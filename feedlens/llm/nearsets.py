@@ -292,13 +292,11 @@ def near_links(sets: DataFrame, texts: DataFrame, width: int, percent: int = 80,
         if depth == levels or not nodes.where(~small).limit(1).count():
             break
         at = alive.where(~small).select("id", "node")
-    sketch = sets.select("id", "sketch")
+    sketch = sets.select("id", "doc", "key", "sketch")
     compared = _blocks(leaves, node_sets, node_bytes).join(sketch, "id")
-    active = durable(_ordered(compared).mapInArrow(_active(least), "id long, node long, i int, j int, side int, sketch binary"))
-    wanted = durable(sets.select("id", "doc", "key").join(active.select("id").distinct(), "id", "left_semi"))
-    found = texts.join(wanted.select("doc"), "doc", "left_semi").mapInArrow(_whole_sets(width), "doc long, key binary, shingles binary")
-    shingles = found.join(wanted, ["doc", "key"]).select("id", "shingles")
-    return _ordered(active.join(shingles, "id")).mapInArrow(_confirm(least, percent), "a long, b long").distinct()
+    active = durable(_ordered(compared).mapInArrow(_active(least), "id long, node long, i int, j int, side int, doc long, key binary, sketch binary"))
+    found = texts.join(active.select("doc").distinct(), "doc", "left_semi").mapInArrow(_whole_sets(width), "doc long, key binary, shingles binary")
+    return _ordered(active.join(found, ["doc", "key"])).mapInArrow(_confirm(least, percent), "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, recall: float = 0.999,
