@@ -10,11 +10,11 @@ than the bitmap has bits make it less selective, never wrong.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from ..functions import bitmaps
 
 FILE, ROW = "_file", "_row"
-#: Bits of the bitmap: 2**23 are 1 MB, in rows of 4 KB.
-FILTER_BITS = 1 << 23
 #: Plan nodes that keep one output row per row of a file.
 _ROW_BY_ROW = {"Project", "Filter", "LogicalRelation", "Relation", "SubqueryAlias", "Repartition", "RepartitionByExpression", "RebalancePartitions", "Union"}
 
@@ -38,21 +38,7 @@ def with_position(df: DataFrame) -> DataFrame | None:
         return None
 
 
-def _slot(bits: int) -> Column:
-    return F.pmod(F.xxhash64(FILE, ROW), F.lit(bits)) + 1
-
-
-def _bit_set(bitmap: str, slot: Column) -> Column:
-    at = F.bitmap_bit_position(slot)
-    byte = F.substr(F.col(bitmap), (F.floor(at / 8) + 1).cast("int"), F.lit(1))
-    return F.getbit(F.conv(F.hex(byte), 16, 10).cast("long"), (at % 8).cast("int")) == 1
-
-
-def fetch(winners: DataFrame, table: DataFrame, columns: list[str], bits: int = FILTER_BITS) -> DataFrame:
+def fetch(winners: DataFrame, table: DataFrame, columns: list[str], bits: int = bitmaps.BITS) -> DataFrame:
     """``winners`` (with positions) and, of the rows of ``table`` (with positions) they name, ``columns``."""
-    slots = winners.select(_slot(bits).alias("_slot"))
-    bitmap = slots.groupBy(F.bitmap_bucket_number("_slot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bitmap"))
-    rows = table.select(FILE, ROW, *columns).withColumn("_slot", _slot(bits)).withColumn("_bucket", F.bitmap_bucket_number("_slot"))
-    # At most bits / 32768 rows of 4 KB are broadcast.
-    likely = rows.join(F.broadcast(bitmap), "_bucket").where(_bit_set("_bitmap", F.col("_slot"))).select(FILE, ROW, *columns)
+    likely = bitmaps.flagged(table.select(FILE, ROW, *columns), winners, [FILE, ROW], "_likely", bits).where("_likely").drop("_likely")
     return winners.join(likely, [FILE, ROW]).drop(FILE, ROW)

@@ -18,15 +18,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..functions.bitmaps import flagged
 from ..functions.labels import count_polarity, polarity
 from ..functions.numeric import pct
 from ..functions.timefns import instant_to_ntz, ntz_to_instant
 from ..operators import normalize, scoring
 from ..operators.filters import DATE_COLUMN
 from ..session import scratch_path
-from ..sources import readers, sinks
+from ..sources import known_ids, readers, sinks
 from ..sources.schemas import FACT_SCHEMA
 
 WINDOW_OF = {"hour": ("1 hour", None), "day": ("1 day", None), "week": ("7 days", "4 days")}
@@ -36,18 +37,37 @@ def with_event_time(sdf: DataFrame, delay: str, col: str = "event_ts") -> DataFr
     return sdf.withColumn("event_time", ntz_to_instant(F.col(col))).withWatermark("event_time", delay)
 
 
+def first_per_day(facts: DataFrame) -> DataFrame:
+    """The first row of each (id, event_date).  Ids are counted by a narrow aggregate; rows whose id comes once, nearly all
+    as a rule, pass as they are, and only copies are shuffled and ranked."""
+    keys = ["id", DATE_COLUMN]
+    twice = facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    split = flagged(facts, twice, keys, "_copy")
+    order = Window.partitionBy(*keys).orderBy("event_ts", F.xxhash64("text", "product", "team", "metadata"))
+    copies = split.where("_copy").withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
+    return split.where("NOT _copy").unionByName(copies).drop("_copy")
+
+
 def new_reviews(facts: DataFrame, path: str) -> DataFrame:
     """The first of each (id, day) among normalised rows that the fact table at ``path`` does not have.
 
-    Copies are thinned map-side (a partial aggregate) before the shuffle.  The table is read for
-    the days of this batch only."""
+    The ids' bitmaps beside the table say which ids it may have; it is read only if there are any, and for
+    the days of the batch (their bounds are one row on the driver)."""
     spark = facts.sparkSession
-    keyed = facts.withColumn(DATE_COLUMN, F.to_date("event_ts"))
-    days = [r[0] for r in keyed.select(DATE_COLUMN).distinct().collect()]        # days of one micro-batch
-    row = F.struct(*facts.columns)
-    one = keyed.groupBy("id", DATE_COLUMN).agg(F.min_by(row, F.struct("event_ts", F.xxhash64("text", "product", "team", "metadata"))).alias("r"))
-    known = readers.read_fact(spark, path).where(F.col(DATE_COLUMN).isin(days)).select("id", DATE_COLUMN)
-    return one.join(known, ["id", DATE_COLUMN], "left_anti").select("r.*")
+    keys = ["id", DATE_COLUMN]
+    one = first_per_day(facts.withColumn(DATE_COLUMN, F.to_date("event_ts")))
+    first, last = facts.agg(F.to_date(F.min("event_ts")), F.to_date(F.max("event_ts"))).first()
+    maybe = known_ids.maybe_known(one.select(*keys), path, first, last)
+    if not maybe.limit(1).count():
+        return one.drop(DATE_COLUMN)
+    days = F.col(DATE_COLUMN).between(F.lit(first), F.lit(last)) | F.col(DATE_COLUMN).isNull()
+    table = readers.read_fact(spark, path, keys).where(days)
+    same = maybe.id.eqNullSafe(table.id) & maybe[DATE_COLUMN].eqNullSafe(table[DATE_COLUMN])
+    known = maybe.join(table, same, "left_semi")
+    split = flagged(one, known, keys, "_known")
+    known = known.select(F.col("id").alias("_id"), F.col(DATE_COLUMN).alias("_day"))
+    fresh = split.where("_known").join(known, F.col("id").eqNullSafe(F.col("_id")) & F.col(DATE_COLUMN).eqNullSafe(F.col("_day")), "left_anti")
+    return split.where("NOT _known").unionByName(fresh).drop("_known", DATE_COLUMN)
 
 
 def import_batch(reviews: DataFrame, path: str, as_of, scorer: str = "lexicon") -> None:
@@ -55,7 +75,9 @@ def import_batch(reviews: DataFrame, path: str, as_of, scorer: str = "lexicon")
 
     Running a batch again after a failure appends only what is missing."""
     facts = normalize.reviews_to_feedback(normalize.drop_blank_text(reviews), as_of)
-    fresh = new_reviews(facts, path)
+    known_ids.ensure(facts.sparkSession, path)
+    fresh = new_reviews(facts, path)                # from the bitmaps as they are now
+    known_ids.add(facts.select("id", F.to_date("event_ts").alias(DATE_COLUMN)), path)
     if scorer == "lexicon":
         scored = scoring.lexicon_scorer(fresh)
     else:

@@ -4,8 +4,10 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from feedlens.operators import normalize as N
 from feedlens.session import scratch_path
-from feedlens.sources import readers as RD
+from feedlens.sources import known_ids, readers as RD, sinks as SK
+from feedlens.sources.schemas import FACT_SCHEMA
 from feedlens.streaming import streams as ST
 
 SCHEMA = ("id long, text string, sentiment_label string, confidence_score double, "
@@ -76,3 +78,64 @@ def test_windows_close_once_and_late_rows_are_dropped(spark):
     got = {r.time: (r.n, r.emits) for r in out.collect()}
     assert got[h(1)] == (1, 1)         # late row ignored, window emitted exactly once
     assert max(got) == h(6)
+
+
+def test_import_again_appends_nothing_and_reads_by_bitmap(spark):
+    """A batch that runs again after it died between the bitmaps and the rows, and once more when all is done."""
+    base = scratch_path(spark, "t-import-rerun")
+    table = f"{base}/table"
+    rows = [_review(k, f"great {k}", f"2024-01-1{k % 3}T0{k % 10}:00:00Z") for k in range(40)] + [_review(3, "great 3", "2024-01-10T03:00:00Z")]
+    reviews = spark.createDataFrame(rows, REVIEWS)
+    SK.write_results(spark.createDataFrame([], FACT_SCHEMA).drop("text_length"), table)
+    facts = N.reviews_to_feedback(N.drop_blank_text(reviews), "2024-06-01 00:00:00")
+    known_ids.ensure(spark, table)
+    known_ids.add(facts.select("id", F.to_date("event_ts").alias("event_date")), table)         # died here
+    for _ in range(2):
+        ST.import_batch(reviews, table, "2024-06-01 00:00:00")
+        got = sorted((r.id, r.text) for r in RD.read_fact(spark, table).collect())
+        assert got == [(k, f"great {k}") for k in range(40)]
+    maybe = lambda ids: known_ids.maybe_known(spark.createDataFrame([(i, dt.date(2024, 1, 10)) for i in ids], "id long, event_date date"),
+                                              table, dt.date(2024, 1, 10), dt.date(2024, 1, 12))
+    assert {r.id for r in maybe([0, 3, 6]).collect()} == {0, 3, 6} and maybe(range(1000, 1100)).count() <= 2
+    known_ids.compact(spark, table)
+    assert {r.id for r in maybe([0, 3, 6]).collect()} == {0, 3, 6}
+    ST.import_batch(reviews, table, "2024-06-01 00:00:00")
+    assert RD.read_fact(spark, table).count() == 40
+
+
+def test_import_sorts_no_unique_reviews(spark):
+    """Only copies are ranked: no aggregate or sort carries the texts of all rows."""
+    base = scratch_path(spark, "t-import-plan")
+    rows = [_review(k, f"t {k}", "2024-01-10T03:00:00Z") for k in range(50)] + [_review(7, "copy", "2024-01-10T01:00:00Z")]
+    facts = N.reviews_to_feedback(N.drop_blank_text(spark.createDataFrame(rows, REVIEWS)), "2024-06-01 00:00:00")
+    one = ST.first_per_day(facts.withColumn("event_date", F.to_date("event_ts")))
+    p = one._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in p and not [x for x in p.splitlines() if "SortAggregate" in x and "text#" in x]
+    assert sorted((r.id, r.text) for r in one.collect()) == sorted([(k, f"t {k}") for k in range(50) if k != 7] + [(7, "copy")])
+
+
+def test_spikes_count_a_row_once(spark):
+    """Rows enter day panes, and only panes enter the seven windows; late rows behind the watermark stay out."""
+    base = scratch_path(spark, "t-panes")
+    src = f"{base}/src"
+    day = lambda k, h=1: dt.datetime(2024, 1, 1) + dt.timedelta(days=k, hours=h)
+    rows = [(100 * d + i, "x", "anger" if i % 4 else "joy", 1.0, day(d, i % 20), "t", f"P{i % 2}") for d in range(20) for i in range(40)]
+    _batch(spark, rows, src)
+    _batch(spark, [(9000, "late", "joy", 1.0, day(2), "t", "P0")], src)
+    sdf = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
+    q = (ST.stream_spikes(sdf, 7, 1, "1 day").writeStream.outputMode("append").format("parquet").option("path", f"{base}/out")
+         .option("checkpointLocation", f"{base}/ck").trigger(availableNow=True).start())
+    q.awaitTermination()
+    updated = [[s["numRowsUpdated"] for s in p["stateOperators"]] for p in q.recentProgress]
+    panes = max(u[1] for u in updated if len(u) == 2), max(u[0] for u in updated if len(u) == 2)
+    assert min(panes) <= 20 * 2 + 1                                     # one entry per (day, product), not per row or window
+    got = {(r.window_start, r.product): (r.total, r.negative) for r in spark.read.parquet(f"{base}/out").collect()}
+    want = {}
+    for _, _, label, _, ts, _, product in rows:
+        for k in range(7):
+            key = (dt.datetime(ts.year, ts.month, ts.day) - dt.timedelta(days=k), product)
+            n, neg = want.get(key, (0, 0))
+            want[key] = (n + 1, neg + (label == "anger"))
+    end = max(r[4] for r in rows) - dt.timedelta(days=1)
+    want = {k: v for k, v in want.items() if k[0] + dt.timedelta(days=7) <= end and v[0] >= 3 and v[1] / v[0] >= 0.7}
+    assert got == want and got
