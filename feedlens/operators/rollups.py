@@ -48,14 +48,14 @@ def _write(pieces: DataFrame, path: str, level: str) -> None:
      .option("partitionOverwriteMode", "dynamic").partitionBy("piece_date").parquet(f"{path}/{level}"))
 
 
-def changed_days(spark: SparkSession, fact_path: str, view_path: str) -> DataFrame:
-    """(piece_date, made_of) of the days whose files are not those the hour pieces were made of; a day that
+def changed_days(spark: SparkSession, fact_path: str, view_path: str, level: str = "hour") -> DataFrame:
+    """(piece_date, made_of) of the days whose files are not those the pieces of ``level`` were made of; a day that
     the facts no longer have comes with 0.  Reads no column of the facts."""
     file = F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
     files = readers.read_fact(spark, fact_path).select(F.col("event_date").alias("piece_date"), file.alias("file")).distinct()
     now = files.groupBy("piece_date").agg(F.bit_xor("file").alias("made_of"), F.count("*").alias("n")).select(
         "piece_date", F.xxhash64("made_of", "n").alias("made_of"))
-    then = _read(spark, view_path, "hour").groupBy("piece_date").agg(F.max("made_of").alias("was"))
+    then = _read(spark, view_path, level).groupBy("piece_date").agg(F.max("made_of").alias("was"))
     both = now.join(then, now.piece_date.eqNullSafe(then.piece_date), "full")
     return both.select(F.coalesce(now.piece_date, then.piece_date).alias("piece_date"), F.coalesce("made_of", F.lit(0)).cast("long").alias("made_of"), "was").where(
         ~F.col("made_of").eqNullSafe(F.col("was"))).drop("was")

@@ -149,6 +149,8 @@ def score_with(df: DataFrame, scorer: Scorer | None = None, *, factory: Callable
     make = factory or (PandasLexiconScorer if scorer is None else lambda: scorer)
     kind = "sentiment_label string, confidence_score double" + (", scores array<struct<label string, p double>>" if keep_scores else "")
 
+    columns = ["sentiment_label", "confidence_score", *(["scores"] if keep_scores else [])]
+
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         score = make()
         for texts in batches:
@@ -161,7 +163,7 @@ def score_with(df: DataFrame, scorer: Scorer | None = None, *, factory: Callable
                 if keep_scores:
                     part["scores"] = [[{"label": c, "p": p} for c, p in zip(probs.columns, row)] for row in values.tolist()]
                 parts.append(pd.DataFrame(part))
-            yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({c.split()[0]: [] for c in kind.split(", ")[:2]})
+            yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({c: [] for c in columns})
 
     udf = F.pandas_udf(run, kind)
     out = df.drop("sentiment_label", "confidence_score", "all_scores").withColumn("_scored", udf(F.col(text_col)))

@@ -125,3 +125,40 @@ SELECT CAST(count(*) AS BIGINT) AS received, CAST(count_if(regexp_matches(Text,
 FROM rv""", _RV))
 def s10(spark, sf):
     return SK.ingest_report(review_rows(spark, sf), N.has_text(F.col("Text")))
+
+
+# Files in which every 37th line is broken off and every 41st text is blank, one review per line.
+_BROKEN, _BLANK = "doc_id % 37 = 0", "doc_id % 41 = 0"
+_CHECKED_SQL = f"""SELECT CASE WHEN {_BROKEN} THEN 'malformed' WHEN {_BLANK} OR NOT regexp_matches(coalesce(text, ''), '[^{_WS}]') THEN 'blank text' END AS reason
+FROM documents"""
+
+
+def _checked(spark, sf, fmt: str):
+    """Review rows written line by line in the exchange format, some of them damaged, and read back."""
+    path = scratch_path(spark, f"s10-checked-{fmt}")
+    rows = review_rows(spark, sf).select(*_COLS).withColumn("Text", F.when(F.col("Id").cast("long") % 41 == 0, "  ").otherwise(F.translate("Text", "\r\n", "  ")))
+    if fmt == "csv":
+        line = F.concat_ws(",", *[F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in _COLS])
+        cut = F.concat(F.lit('"'), F.col("Id"), F.lit('","broken"'))
+    else:
+        line = F.concat(F.lit("["), F.to_json(F.struct(*_COLS)), F.lit("]"))
+        cut = F.concat(F.lit('[{"Id": "'), F.col("Id"), F.lit('", "Tex'))
+    rows.select(F.when(F.col("Id").cast("long") % 37 == 0, cut).otherwise(line).alias("value")).write.text(path)
+    return RD.read_checked(spark, path, fmt, header=False)
+
+
+@register("S10_checked_report_json", f"""
+SELECT CAST(count(*) AS BIGINT) AS received, CAST(count(*) FILTER (reason IS NULL) AS BIGINT) AS processed,
+       CAST(count(reason) AS BIGINT) AS failed, count(*) FILTER (reason IS NULL) * 100.0e0 / count(*) AS success_rate
+FROM ({_CHECKED_SQL}) c""")
+def s10_checked_json(spark, sf):
+    return SK.checked_report(_checked(spark, sf, "json_array"), N.has_text(F.col("Text")))
+
+
+@register("S10_checked_rejects_csv", f"""
+SELECT reason, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (reason = 'malformed') AS BIGINT) AS with_raw_text, true AS named_files
+FROM ({_CHECKED_SQL}) c WHERE reason IS NOT NULL GROUP BY reason""")
+def s10_checked_csv(spark, sf):
+    _, bad = SK.split_rejects(_checked(spark, sf, "csv"), N.has_text(F.col("Text")))
+    return bad.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.count(RD.CORRUPT).alias("with_raw_text"),
+                                     F.bool_and(F.col(RD.FILE).contains("s10-checked")).alias("named_files"))

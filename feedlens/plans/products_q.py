@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import polarity_sql
 from ..functions.numeric import pct_sql
-from ..operators import products as P
+from ..operators import products as P, ranking as RK
+from ..operators.scoring import rating_labels
+from ..session import scratch_path
 from ..sources.fixtures import feedback_docs, feedback_events, feedback_orders
 from .oracle import with_views
 from .registry import register
@@ -33,22 +35,24 @@ def _rollup_select(inner: str) -> str:
   avg_confidence, first_review, last_review FROM ({inner}) r"""
 
 
+_SCORED_SQL = ("SELECT *, CASE WHEN score >= 4 THEN 'positive' WHEN score <= 2 THEN 'negative' "
+               "ELSE 'neutral' END AS sentiment_label, 0.5e0 AS confidence_score FROM feedback_orders")
+
+
+def _scored_orders(spark, sf):
+    df = feedback_orders(spark, sf)
+    return df.withColumn("sentiment_label", rating_labels(F.col("score"))).withColumn("confidence_score", F.lit(0.5))
+
+
 @register("A3_product_rollup", with_views(_rollup_select(_rollup_sql("feedback_events", 1))), stable=('avg_confidence',))
 def a3(spark, sf):
     return P.product_rollup(feedback_events(spark, sf))
 
 
 @register("A3_product_rollup_orders",
-          with_views(_rollup_select(_rollup_sql(
-              "(SELECT *, CASE WHEN score >= 4 THEN 'positive' WHEN score <= 2 THEN 'negative' "
-              "ELSE 'neutral' END AS sentiment_label, 0.5e0 AS confidence_score FROM feedback_orders)",
-              1))), stable=('avg_confidence',))
+          with_views(_rollup_select(_rollup_sql(f"({_SCORED_SQL})", 1))), stable=('avg_confidence',))
 def a3_orders(spark, sf):
-    from ..operators.scoring import rating_labels
-    df = feedback_orders(spark, sf)
-    df = df.withColumn("sentiment_label", rating_labels(F.col("score"))) \
-           .withColumn("confidence_score", F.lit(0.5))
-    return P.product_rollup(df)
+    return P.product_rollup(_scored_orders(spark, sf))
 
 
 @register("A4_qualifying_products", with_views(
@@ -68,6 +72,25 @@ def w3(spark, sf):
     return P.products_page(feedback_events(spark, sf), limit=10, offset=10)
 
 
+@register("W3_products_deep_page", with_views(f"""
+SELECT p.*, t.total, (15 + 150) < t.total AS has_more
+FROM ({_rollup_select(_rollup_sql('scored_orders', 1))} ORDER BY total_reviews DESC, product_id
+      LIMIT 15 OFFSET 150) p,
+     (SELECT CAST(count(*) AS BIGINT) AS total FROM (SELECT product FROM scored_orders
+      WHERE product IS NOT NULL AND product <> 'unknown' GROUP BY product) q) t""", ("scored_orders", _SCORED_SQL)), stable=('avg_confidence',))
+def w3_deep(spark, sf):
+    path = scratch_path(spark, "w3-rank-index")
+    RK.build_rank_index(_scored_orders(spark, sf), path, parts=16)
+    return RK.page_from_index(spark, path, limit=15, offset=150)
+
+
+@register("W3_products_after", with_views(f"""
+SELECT * FROM ({_rollup_select(_rollup_sql('feedback_events', 1))}) p
+WHERE total_reviews < 206 OR (total_reviews = 206 AND product_id > 'P2') ORDER BY total_reviews DESC, product_id LIMIT 12"""), stable=('avg_confidence',))
+def w3_after(spark, sf):
+    return RK.products_after(feedback_events(spark, sf), 206, "P2", limit=12)
+
+
 @register("A9_bulk_summary", with_views(f"""
 SELECT product AS product_id, CAST(count(*) AS BIGINT) AS total_reviews,
   CAST(count_if({polarity_sql('sentiment_label', 'm1')} = 'positive') AS BIGINT) AS positive_count,

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import profile as PR
+from ..operators import profile as PR, sketches as SKT
 from ..operators.scoring import rating_labels
+from ..session import scratch_path
+from ..sources import sinks
 from ..sources.fixtures import feedback_docs, feedback_events, feedback_orders
 from .oracle import with_views
 from .registry import register
@@ -124,3 +126,21 @@ def a33(spark, sf):
     "SELECT DISTINCT product FROM feedback_docs"))
 def u5(spark, sf):
     return feedback_docs(spark, sf, with_rating=False).select("product").distinct()
+
+
+@register("A31_distinct_over_days", with_views("""
+SELECT CAST(count(*) AS BIGINT) AS rows, CAST(count(DISTINCT product) AS BIGINT) AS products, CAST(count(DISTINCT team) AS BIGINT) AS teams,
+       true AS ids_within_error
+FROM feedback_events WHERE CAST(event_ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'"""))
+def a31_over_days(spark, sf):
+    """Distinct counts over a range of days from the merged sketches of a table that grew by two imports; small
+    counts come out exactly, the ids are compared with the exact count."""
+    base = scratch_path(spark, "a31-sketches")
+    rows = feedback_events(spark, sf)
+    for part in (F.col("id") % 3 > 0, F.col("id") % 3 == 0):
+        sinks.write_results(rows.where(part), f"{base}/facts")
+        SKT.refresh(spark, f"{base}/facts", f"{base}/view")
+    exact = rows.where("CAST(event_ts AS DATE) BETWEEN DATE'2024-01-05' AND DATE'2024-01-20'").agg(F.count_distinct("id")).scalar()
+    out = SKT.distinct_estimates(spark, f"{base}/view", "2024-01-05", "2024-01-20")
+    return out.select("rows", F.col("distinct_product").alias("products"), F.col("distinct_team").alias("teams"),
+                      (F.abs(F.col("distinct_id") - exact) <= 3 * SKT.error() * exact).alias("ids_within_error"))

@@ -55,6 +55,39 @@ def read_feedback_csv(spark: SparkSession, path: str, multiline: bool = True) ->
     return _csv(spark, path, FEEDBACK_CSV_SCHEMA, multiline)
 
 
+#: The raw text of a row that could not be read, and the file it lies in.
+CORRUPT, FILE = "_corrupt_record", "_file"
+_CHECKED = {"csv": REVIEW_CSV_SCHEMA, "enriched_csv": ENRICHED_CSV_SCHEMA, "feedback_csv": FEEDBACK_CSV_SCHEMA}
+
+
+def read_checked(spark: SparkSession, path: str, fmt: str = "csv", multiline: bool = False, header: bool = True) -> DataFrame:
+    """S1–S5 with what could not be read: the format's columns, ``_corrupt_record`` (the raw text of a malformed row or
+    envelope, else null) and ``_file``.
+
+    ``fmt`` is csv, enriched_csv, feedback_csv, json (an envelope per line) or json_array (an array per line).  A
+    malformed line of JSON is one row, as nobody can say how many reviews it held.  A CSV row is malformed if it has too
+    few or too many fields or a number that is none, which takes reading all columns; ``sinks.split_rejects`` parts the frame.
+    """
+    if fmt in _CHECKED:
+        schema = T.StructType([*_CHECKED[fmt].fields, T.StructField(CORRUPT, T.StringType())])
+        df = spark.read.schema(schema).options(
+            **{**CSV_OPTIONS, "header": str(header).lower()}, multiLine=str(multiline).lower(), columnNameOfCorruptRecord=CORRUPT, columnPruning="false").csv(path)
+        # True for every row, but it needs every column: a field that nobody parses cannot be found malformed.
+        every = F.hash(*[f.name for f in _CHECKED[fmt].fields]) >= F.lit(-(1 << 31))
+        df = df.where(every).select("*", F.col("_metadata.file_path").alias(FILE))
+        return df.withColumnsRenamed({"Product_Name": "ProductName", "Product_Description": "ProductDescription"})
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias(FILE)).where(F.trim("value") != "")
+    kind = T.ArrayType(REVIEW_SCHEMA) if fmt == "json_array" else REVIEW_ENVELOPE_SCHEMA
+    # from_json gives null (array) or a struct of nulls (envelope) for a malformed line.
+    parsed = lines.withColumn("_p", F.from_json("value", kind, {"mode": "PERMISSIVE"}))
+    reviews = F.col("_p") if fmt == "json_array" else F.col("_p.reviews")
+    rows = parsed.select("value", FILE, reviews.alias("_r"))
+    good = rows.where(F.col("_r").isNotNull()).select(F.inline("_r"), F.lit(None).cast("string").alias(CORRUPT), FILE)
+    bad = rows.where(F.col("_r").isNull()).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in REVIEW_SCHEMA.fields],
+                                                  F.col("value").alias(CORRUPT), FILE)
+    return good.unionByName(bad)
+
+
 def read_fact(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """Scan the fact table (parquet, partitioned by event_date) and project columns;
     filters on ``event_date`` prune partitions, others push down to row groups."""

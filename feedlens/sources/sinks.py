@@ -12,6 +12,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .readers import CORRUPT, FILE
+
 FACT_COLUMNS = ["id", "text", "sentiment_label", "confidence_score", "event_ts", "team", "product",
                 "metadata"]
 
@@ -63,6 +65,23 @@ def ingest_report(raw: DataFrame, valid: Column) -> DataFrame:
                       F.when(received > 0, processed * F.lit(100.0) / received).otherwise(F.lit(0.0)).alias("success_rate"))
 
 
+def reject_reason(valid: Column, reason: str = "blank text") -> Column:
+    """Why a row of ``readers.read_checked`` is not taken: 'malformed', or ``reason`` if ``valid`` is not true; null if it is."""
+    return F.when(F.col(CORRUPT).isNotNull(), F.lit("malformed")).when(~F.coalesce(valid, F.lit(False)), F.lit(reason))
+
+
+def split_rejects(checked: DataFrame, valid: Column, reason: str = "blank text") -> tuple[DataFrame, DataFrame]:
+    """(rows to take, rejects) of ``readers.read_checked``.  A reject has its reason, its file and, if it is malformed,
+    its raw text, beside the columns that could be read."""
+    told = checked.withColumn("reason", reject_reason(valid, reason))
+    return told.where("reason IS NULL").drop("reason", CORRUPT, FILE), told.where("reason IS NOT NULL")
+
+
+def checked_report(checked: DataFrame, valid: Column, reason: str = "blank text") -> DataFrame:
+    """S10 of checked rows: malformed ones count as received and failed.  One pass."""
+    return ingest_report(checked.select(reject_reason(valid, reason).alias("_why")), F.col("_why").isNull())
+
+
 def rejects(raw: DataFrame, valid: Column) -> DataFrame:
     """Rows failing validation (a condition that is not true, NULL included), as a quarantine DataFrame."""
     return raw.where(~F.coalesce(valid, F.lit(False)))
