@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions import metadata
 from ..functions.labels import polarity
 from ..functions.timefns import ntz
 
@@ -104,7 +105,7 @@ def recent_days(df: DataFrame, as_of, days: int, col: str = "event_ts") -> DataF
 
 def has_metadata_key(df: DataFrame, key: str) -> DataFrame:
     """metadata JSON holds the key (a real JSON lookup rather than a substring match)."""
-    return df.where(F.array_contains(F.json_object_keys("metadata"), key))
+    return df.where(metadata.has_key(df, key))
 
 
 def positive_counts(df: DataFrame, count_col: str = "count") -> DataFrame:

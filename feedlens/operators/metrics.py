@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions import metadata
 from ..functions.labels import CLASSES, three_class
 from ..functions.numeric import py_round
 from ..operators.scoring import RATING_NEG_MAX, RATING_POS_MIN
@@ -28,10 +29,10 @@ def classified(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     if max_rows is not None:
         df = df.orderBy(F.col("event_ts").desc(), F.col("id").desc()).limit(max_rows)
     cols = set(df.columns)
-    expected = (F.get_json_object("metadata", "$.expected_sentiment") if "metadata" in cols
+    expected = (metadata.field(df, "expected_sentiment") if "metadata" in cols
                 else F.lit(None).cast("string"))
     rating = F.col("rating").cast("double") if "rating" in cols else \
-        F.get_json_object("metadata", "$.rating").try_cast("double")
+        metadata.field(df, "rating", "double")
     by_rating = (F.when(rating >= RATING_POS_MIN, "Positive").when(rating <= RATING_NEG_MAX, "Negative")
                  .when(rating.isNotNull(), "Neutral"))
     actual = F.when(F.coalesce(expected, F.lit("")) != "", _capitalize(expected)).otherwise(by_rating)

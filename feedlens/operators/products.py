@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions import metadata
 from ..functions.labels import count_polarity
 from ..functions.numeric import pct
 from . import filters
@@ -130,9 +131,9 @@ def _modal_metadata(df: DataFrame) -> DataFrame:
     window ranking both fields, then one row per product."""
     kv = df.select("product", F.inline(F.array(
         F.struct(F.lit("product_name").alias("field"),
-                 F.get_json_object("metadata", "$.product_name").alias("value")),
+                 metadata.field(df, "product_name").alias("value")),
         F.struct(F.lit("csv_description").alias("field"),
-                 F.get_json_object("metadata", "$.product_description").alias("value")))))
+                 metadata.field(df, "product_description").alias("value")))))
     best = modal_value(kv.withColumn("key", F.struct("product", "field")), "key", "value", "v")
     return best.groupBy(F.col("key.product").alias("product_id")).agg(
         F.max(F.when(F.col("key.field") == "product_name", F.col("v"))).alias("product_name"),

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions import metadata
 from ..functions.numeric import py_round
 
 
@@ -78,8 +79,7 @@ def top_products_share(df: DataFrame, n: int = 5) -> DataFrame:
 
 def metadata_key_census(df: DataFrame) -> DataFrame:
     """For each metadata key, the number of rows holding it."""
-    keys = df.select(F.explode(F.json_object_keys("metadata")).alias("key"))
-    return keys.groupBy("key").agg(F.count(F.lit(1)).alias("rows_with_key"))
+    return metadata.keys(df).groupBy("key").agg(F.count(F.lit(1)).alias("rows_with_key"))
 
 
 def time_range(df: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions import metadata
 from ..functions.labels import POLARITIES, polarity
 from ..functions.text import MIN_JOINED_CHARS, UNIQUE_STOP_WORDS, candidate_keywords
 from ..functions.timefns import ntz, whole_days_between
@@ -36,8 +37,8 @@ def _polarity_is(p: str):
 def _helpfulness(df: DataFrame):
     if "helpfulness_numerator" in df.columns and "helpfulness_denominator" in df.columns:
         return F.col("helpfulness_numerator"), F.col("helpfulness_denominator")
-    num = F.get_json_object("metadata", "$.helpfulness_numerator").try_cast("double")
-    den = F.get_json_object("metadata", "$.helpfulness_denominator").try_cast("double")
+    num = metadata.field(df, "helpfulness_numerator", "double")
+    den = metadata.field(df, "helpfulness_denominator", "double")
     return F.coalesce(num, F.lit(0)), F.coalesce(den, F.lit(0))
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import profile as PR, sketches as SKT
+from ..functions import metadata
+from ..operators import filters as FL, profile as PR, sketches as SKT
 from ..operators.scoring import rating_labels
 from ..session import scratch_path
-from ..sources import sinks
+from ..sources import readers, sinks
 from ..sources.fixtures import feedback_docs, feedback_events, feedback_orders
 from .oracle import with_views
 from .registry import register
@@ -94,6 +95,34 @@ def a29(spark, sf):
     return PR.metadata_key_census(feedback_events(spark, sf))
 
 
+def _variant_facts(spark, sf):
+    """The events as a fact table whose metadata was parsed once, when it was written."""
+    path = scratch_path(spark, "variant-facts")
+    sinks.write_results(feedback_events(spark, sf), path, variant=True)
+    return readers.read_fact(spark, path, variant=True)
+
+
+@register("A29_metadata_keys_variant", with_views("""
+SELECT key, CAST(count(*) AS BIGINT) AS rows_with_key
+FROM (SELECT unnest(json_keys(metadata)) AS key FROM feedback_events) k GROUP BY key"""))
+def a29_variant(spark, sf):
+    return PR.metadata_key_census(_variant_facts(spark, sf))
+
+
+@register("A29_metadata_schema", with_views("""
+SELECT 'OBJECT<k: ' || CASE json_extract_string(json_group_structure(metadata), '$.k') WHEN 'UBIGINT' THEN 'BIGINT' ELSE 'other' END || '>' AS schema
+FROM feedback_events"""))
+def a29_schema(spark, sf):
+    return metadata.schema(_variant_facts(spark, sf))
+
+
+@register("F12_metadata_key_variant", with_views(
+    "SELECT id, CAST(json_extract_string(metadata, '$.k') AS DOUBLE) AS k FROM feedback_events WHERE list_contains(json_keys(metadata), 'k')"))
+def f12_variant(spark, sf):
+    df = _variant_facts(spark, sf)
+    return FL.has_metadata_key(df, "k").select("id", metadata.field(df, "k", "double").alias("k"))
+
+
 @register("A30_time_range", with_views(
     "SELECT min(event_ts) AS min_ts, max(event_ts) AS max_ts FROM feedback_orders"))
 def a30(spark, sf):

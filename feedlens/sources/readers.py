@@ -88,10 +88,11 @@ def read_checked(spark: SparkSession, path: str, fmt: str = "csv", multiline: bo
     return good.unionByName(bad)
 
 
-def read_fact(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+def read_fact(spark: SparkSession, path: str, columns: list[str] | None = None, variant: bool = False) -> DataFrame:
     """Scan the fact table (parquet, partitioned by event_date) and project columns;
-    filters on ``event_date`` prune partitions, others push down to row groups."""
-    schema = T.StructType(FACT_SCHEMA.fields + [T.StructField("event_date", T.DateType())])
+    filters on ``event_date`` prune partitions, others push down to row groups.  ``variant`` is for tables written so."""
+    fields = [T.StructField(f.name, T.VariantType()) if variant and f.name == "metadata" else f for f in FACT_SCHEMA.fields]
+    schema = T.StructType([*fields, T.StructField("event_date", T.DateType())])
     df = spark.read.schema(schema).parquet(path)
     return df.select(*columns) if columns else df
 

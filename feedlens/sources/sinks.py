@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions import metadata
 from .readers import CORRUPT, FILE
 
 FACT_COLUMNS = ["id", "text", "sentiment_label", "confidence_score", "event_ts", "team", "product",
@@ -33,15 +34,20 @@ def _rebalanced(df: DataFrame) -> DataFrame:
 
 
 def write_results(df: DataFrame, path: str, mode: str = "append", dedupe_on: list[str] | None = None,
-                  by_date: bool = True) -> None:
+                  by_date: bool = True, variant: bool = False) -> None:
     """Append scored rows to the fact table (``mode='overwrite'`` is S7).
 
     ``by_date=False`` writes plain files without a folder per day, for a table that is read whole.
 
+    ``variant=True`` parses ``metadata`` once and stores it as a VARIANT (read it with ``read_fact(variant=True)``);
+    text that is no JSON is stored as null.
+
     ``dedupe_on`` (e.g. ``["id"]``) drops re-imported copies within the batch first; batch
     ``dropDuplicates`` aggregates map-side, so even a hot group of copies is combined per task."""
     if dedupe_on:
         df = df.dropDuplicates(dedupe_on)
+    if variant:
+        df = metadata.parsed(df)
     if by_date:
         _rebalanced(df).write.mode(mode).partitionBy("event_date").parquet(path)
     else:
