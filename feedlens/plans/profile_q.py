@@ -110,7 +110,7 @@ def a29_variant(spark, sf):
 
 
 @register("A29_metadata_schema", with_views("""
-SELECT 'OBJECT<k: ' || CASE json_extract_string(json_group_structure(metadata), '$.k') WHEN 'UBIGINT' THEN 'BIGINT' ELSE 'other' END || '>' AS schema
+SELECT 'OBJECT<k: ' || CASE json_extract_string(json_group_structure(CAST(metadata AS JSON)), '$.k') WHEN 'UBIGINT' THEN 'BIGINT' ELSE 'other' END || '>' AS schema
 FROM feedback_events"""))
 def a29_schema(spark, sf):
     return metadata.schema(_variant_facts(spark, sf))
