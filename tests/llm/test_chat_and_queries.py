@@ -134,3 +134,22 @@ def test_pipeline_stages_by_brute_force(spark):
 def test_pipeline_runs(spark):
     got = llm_queries()["pipeline"](spark, SF_SMALL)
     assert got.columns[:2] == ["doc_id", "n_tokens"] and got.count() > 0
+
+
+def test_stages_on_odd_rows(spark, documents):
+    """Null and repeated ids, null and long texts, columns with the operators' own names, and no rows at all."""
+    odd = spark.createDataFrame([(None, "alone, without an id"), (None, None), (0, "another text under the id of another row"), (0, "another text under the id of another row")],
+                                "doc_id long, text string")
+    docs = documents.unionByName(odd, allowMissingColumns=True)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF_SMALL)
+        got = out.collect()
+        if name == "encode":
+            assert len(got) == len(rows)
+        else:
+            assert out.columns == docs.columns and {(r.doc_id, r.text) for r in got} <= set(rows)
+        if name in ("exact", "near"):
+            assert {(None, "alone, without an id"), (0, "another text under the id of another row")} <= {(r.doc_id, r.text) for r in got}
+        empty = stage(spark, docs.limit(0), SF_SMALL)
+        assert empty.count() == 0
