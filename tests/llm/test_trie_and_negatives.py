@@ -228,3 +228,48 @@ def test_best_threshold():
     assert toxicity.best_threshold(np.array([0.9, 0.8, 0.2, 0.1]), np.array([1, 1, 0, 0])) == 0.5
     assert toxicity.best_threshold(np.array([0.9]), np.array([1])) == toxicity.THRESHOLD
     assert toxicity.best_threshold(np.array([0.5, 0.5, 0.4]), np.array([1, 0, 0])) == pytest.approx(0.45)
+
+
+def test_toxicity_learns_from_long_documents(spark):
+    """Labelled documents of any length take part: here all have over 64 KB."""
+    texts = {i: f"w{i % 7} some plain words " * 3_500 + ("vile " if i % 2 else "kind ") * 40 for i in range(80)}
+    df = spark.createDataFrame([*texts.items(), (1000, "vile vile"), (1001, "kind kind")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in texts], "doc_id long, toxic int")
+    assert min(map(len, texts.values())) > 1 << 16
+    got = {r.doc_id: r for r in toxicity.score_toxicity(df, labels).collect()}
+    assert got[1000].score > got[1001].score + 0.3
+    assert np.mean([got[i].predicted == i % 2 for i in texts]) > 0.95
+
+
+def test_toxicity_learns_from_all_labels_over_many_tasks(spark):
+    """More documents of a class than fit a task: a word that only a few of them have is learnt too, reruns agree, and the
+    thresholds of the binned running counts are those of ``best_threshold``."""
+    r = np.random.default_rng(8)
+    plain = [f"p{k}" for k in range(50)]
+    rows = []
+    for i in range(6_000):
+        words = [*r.choice(plain, 6), *(["zork"] if i % 100 == 1 else ["vile"] if i % 2 else ["kind"])]
+        rows.append((i, " ".join(r.permutation(words)), ["en", "fr", None, ""][i % 4]))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6_000)], "doc_id long, toxic int")
+    learnt = [toxicity.learn(df, labels, "doc_id", "text", "lang", "doc_id", "toxic", shard_docs=800, bin_docs=300) for _ in range(2)]
+    one, two = learnt
+    texts = pa.array([t for _, t, _ in rows])
+    score = one.network.score(texts)
+    assert np.abs(score - two.network.score(texts)).max() < 1e-6 and one.thresholds == pytest.approx(two.thresholds)
+    assert np.mean((score >= 0.3) == (np.arange(6_000) % 2 == 1)) > 0.97
+    scored = spark.createDataFrame([(i % 2 if i % 11 else 1 - i % 2, rows[i][2], round(float(score[i]), 4)) for i in range(3_000)], "label int, lang string, score double")
+    got = toxicity.best_thresholds(scored, bin_docs=300)
+    pairs = [(x.label, x.lang, x.score) for x in scored.collect()]
+    for lang in ("", "en", "fr"):
+        y, s = (np.array([p[k] for p in pairs if not lang or p[1] == lang]) for k in (0, 2))
+        assert got[lang] == pytest.approx(toxicity.best_threshold(s, y)), lang
+    assert set(got) == {"", "en", "fr"}
+
+
+def test_slots_pack():
+    texts = pa.array(["", "one", None, "A,b;c " * 50, "two words"])
+    plain, back = toxicity.Slots(texts), toxicity.Slots.unpacked(toxicity.Slots(texts).packed())
+    assert (plain.first == back.first).all() and (plain.one == back.one).all() and (plain.two == back.two).all()
+    part = toxicity.Slots.unpacked(toxicity.Slots(texts).packed()[3:])
+    assert part.rows == 2 and (part.one == plain.one[plain.first[3]:]).all()
