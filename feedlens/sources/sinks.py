@@ -104,24 +104,29 @@ def write_reviews_csv(reviews: DataFrame, path: str) -> None:
     reviews.write.mode("overwrite").options(**CSV_WRITE_OPTIONS).csv(path)
 
 
+def _packed_lines(columns: Iterator[pa.Array], size: int, head: str, tail: str) -> Iterator[str]:
+    """Lines of ``size`` items each, the last one fewer; no more than one line's items are held as strings."""
+    held: list[str] = []
+    for column in columns:
+        at = 0
+        while at < len(column):
+            some = column.slice(at, size - len(held)).to_pylist()
+            at += len(some)
+            held += some
+            if len(held) == size:
+                yield head + ",".join(held) + tail
+                held = []
+    if held:
+        yield head + ",".join(held) + tail
+
+
 def _json_lines(reviews: DataFrame, size: int, head: str, tail: str) -> DataFrame:
     """Lines holding ``size`` reviews each (fewer at the end of a task) between ``head`` and ``tail``.
 
     Every task packs its own rows as they come: no shuffle, and a task that is rerun replaces its file."""
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[str] = []
-        for b in batches:
-            held += b.column(0).to_pylist()
-            full = len(held) // size * size
-            if full:
-                yield _lines(held[:full])
-                held = held[full:]
-        if held:
-            yield _lines(held)
-
-    def _lines(items: list[str]) -> pa.RecordBatch:
-        lines = [head + ",".join(items[k:k + size]) + tail for k in range(0, len(items), size)]
-        return pa.RecordBatch.from_pydict({"value": pa.array(lines, pa.string())})
+        for line in _packed_lines((b.column(0) for b in batches), size, head, tail):
+            yield pa.RecordBatch.from_pydict({"value": pa.array([line], pa.string())})
 
     return reviews.select(F.to_json(F.struct(*reviews.columns)).alias("item")).mapInArrow(pack, "value string")
 

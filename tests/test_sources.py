@@ -141,3 +141,20 @@ def test_json_lines_hold_every_review(spark):
     want = sorted((r.Id, r.Text) for r in rows.collect())
     assert sorted((r.Id, r.Text) for r in RD.read_reviews_json(spark, f"{path}/env", multiline=False).collect()) == want
     assert sorted((r.Id, r.Text) for r in RD.read_reviews_json_array(spark, f"{path}/arr", multiline=False).collect()) == want
+
+
+def test_packing_lines_holds_one_line(spark):
+    """A batch is packed line by line; its items are never all held as strings."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    items = [pa.array([f'"{k}-{i}' + "x" * 5_000 + '"' for i in range(4_001)]) for k in range(2)]
+    tracemalloc.start()
+    sizes = [len(json.loads(line)) for line in SK._packed_lines(iter(items), 10, "[", "]")]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sizes == [10] * 800 + [2] and peak < 1 << 20
+    path = scratch_path(spark, "t-lines")
+    SK.write_review_arrays(spark.range(0, 25, 1, 2).select(F.col("id").cast("string").alias("Id")), path, size=10)
+    assert sorted(len(json.loads(r.value)) for r in spark.read.text(path).collect()) == [2, 3, 10, 10]
