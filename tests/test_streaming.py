@@ -139,3 +139,19 @@ def test_spikes_count_a_row_once(spark):
     end = max(r[4] for r in rows) - dt.timedelta(days=1)
     want = {k: v for k, v in want.items() if k[0] + dt.timedelta(days=7) <= end and v[0] >= 3 and v[1] / v[0] >= 0.7}
     assert got == want and got
+
+
+def test_id_bitmaps_take_a_folder_per_month(spark):
+    """Many days of few ids, rows without a day among them: folders grow with the months, and the answers stay."""
+    path = f"{scratch_path(spark, 't-id-months')}/table"
+    day = lambda i: None if i % 400 == 0 else dt.date(2024, 1, 1) + dt.timedelta(days=i % 400)
+    rows = [(i, day(i)) for i in range(800)]
+    known_ids.add(spark.createDataFrame(rows, "id long, event_date date"), path)
+    folders = {f.rsplit("/", 2)[1] for f in spark.read.parquet(f"{path}_ids").inputFiles()}
+    assert len(folders) <= 15
+    for _ in range(2):
+        asked = spark.createDataFrame(rows + [(i + 1, day(i)) for i, _ in rows], "id long, event_date date")
+        got = {(r.id, r.event_date) for r in known_ids.maybe_known(asked, path, dt.date(2024, 2, 10), dt.date(2024, 11, 20)).collect()}
+        want = {(i, d) for i, d in rows if d is None or dt.date(2024, 2, 10) <= d <= dt.date(2024, 11, 20)}
+        assert want <= got and len(got) <= len(want) + 2
+        known_ids.compact(spark, path)
