@@ -53,7 +53,11 @@ def write_clustered(df: DataFrame, path: str, mode: str = "append", files: int |
 
 def files_per_day(spark: SparkSession, path: str) -> DataFrame:
     """(event_date, files, bytes) of a fact table; reads no column of it."""
-    files = readers.read_fact(spark, path).select("event_date", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"))
+    return _files_per_day(readers.read_fact(spark, path))
+
+
+def _files_per_day(facts: DataFrame) -> DataFrame:
+    files = facts.select("event_date", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"))
     return files.groupBy("event_date", "file").agg(F.max("bytes").alias("bytes")).groupBy("event_date").agg(
         F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
 
@@ -66,9 +70,13 @@ def compact(spark: SparkSession, path: str, small_files: int = SMALL_FILES, file
     a task that is run again still finds its input.  Rows that are appended meanwhile to such a day
     would be lost: compaction takes turns with imports.
     """
-    many = files_per_day(spark, path).where(F.col("files") >= small_files).select("event_date")
+    # The table's files are listed once, and opened once to be counted.
     facts = readers.read_fact(spark, path)
-    # One row per day of the table.
-    rows = facts.join(F.broadcast(many), "event_date", "left_semi")
-    if many.limit(1).count():
-        write_clustered(rows, path, files=files, row_group_bytes=row_group_bytes, products=products, replace_days=True)
+    many = _files_per_day(facts).where(F.col("files") >= small_files).select("event_date").persist()
+    try:
+        if many.count():
+            # One row per day of the table.
+            rows = facts.join(F.broadcast(many), "event_date", "left_semi")
+            write_clustered(rows, path, files=files, row_group_bytes=row_group_bytes, products=products, replace_days=True)
+    finally:
+        many.unpersist()
