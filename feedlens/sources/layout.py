@@ -44,7 +44,7 @@ def write_clustered(df: DataFrame, path: str, mode: str = "append", files: int |
     keyed = sinks.with_date(df).withColumn("_curve", curve_key())
     dealt = keyed.repartitionByRange(files, *order) if files else keyed.repartitionByRange(*order)
     w = (dealt.sortWithinPartitions(*order).drop("_curve").write.mode("overwrite" if replace_days else mode).partitionBy("event_date")
-         .option("parquet.block.size", row_group_bytes).option("parquet.bloom.filter.enabled#product", "true")
+         .options(**sinks.FACT_WRITE_OPTIONS).option("parquet.block.size", row_group_bytes).option("parquet.bloom.filter.enabled#product", "true")
          .option("parquet.bloom.filter.expected.ndv#product", products))
     if replace_days:
         w = w.option("partitionOverwriteMode", "dynamic")
