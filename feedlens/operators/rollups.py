@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.labels import EMOTIONS, count_polarity_weighted
 from ..functions.timefns import bucket, ntz
 from ..sources import readers
+from ..sources.schemas import DAY, MONTH
 
 #: Levels of pieces, each a folder of the view partitioned by the day (of a week: its Monday).
 LEVELS = ("hour", "day", "week")
@@ -50,7 +51,7 @@ def _write(pieces: DataFrame, path: str, level: str) -> None:
 
 def changed_days(spark: SparkSession, fact_path: str, view_path: str, level: str = "hour") -> DataFrame:
     """(piece_date, made_of) of the days whose files are not those the pieces of ``level`` were made of; a day that
-    the facts no longer have comes with 0.  Reads no column of the facts."""
+    the facts no longer have comes with 0.  Reads no column of the facts, but the day if their folders are months."""
     file = F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
     files = readers.read_fact(spark, fact_path).select(F.col("event_date").alias("piece_date"), file.alias("file")).distinct()
     now = files.groupBy("piece_date").agg(F.bit_xor("file").alias("made_of"), F.count("*").alias("n")).select(
@@ -61,6 +62,17 @@ def changed_days(spark: SparkSession, fact_path: str, view_path: str, level: str
         ~F.col("made_of").eqNullSafe(F.col("was"))).drop("was")
 
 
+def of_days(table: DataFrame, days: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The columns and ``piece_date`` of a fact table's rows, and those rows of the days in ``days``, with its columns."""
+    facts = table.select(*columns, F.col(DAY).alias("piece_date"))
+    # One row per day is broadcast; the condition, true for every day, lets Spark prune the folders by it.
+    some = days.where("piece_date >= DATE'0001-01-01'")
+    if MONTH not in table.columns:
+        return facts, facts.join(F.broadcast(some), "piece_date")
+    by_month = table.select(*columns, F.col(DAY).alias("piece_date"), MONTH)
+    return facts, by_month.join(F.broadcast(some.withColumn(MONTH, F.trunc("piece_date", "month"))), ["piece_date", MONTH]).drop(MONTH)
+
+
 def refresh(spark: SparkSession, fact_path: str, view_path: str) -> DataFrame:
     """Bring the view up to date; returns the days that were recomputed (in a table beside the pieces).
 
@@ -73,10 +85,7 @@ def refresh(spark: SparkSession, fact_path: str, view_path: str) -> DataFrame:
     days = spark.read.schema("piece_date date, made_of long").parquet(log)
     if not days.limit(1).count():
         return days
-    facts = readers.read_fact(spark, fact_path, ["event_ts", "team", "product", "sentiment_label", "confidence_score", "event_date"])
-    facts = facts.withColumnRenamed("event_date", "piece_date")
-    # One row per day is broadcast; the condition, true for every day, lets Spark prune the folders by it.
-    dated = facts.join(F.broadcast(days.where("piece_date >= DATE'0001-01-01'")), "piece_date")
+    facts, dated = of_days(readers.read_fact(spark, fact_path), days, ["event_ts", "team", "product", "sentiment_label", "confidence_score"])
     undated = facts.where("piece_date IS NULL").join(F.broadcast(days.where("piece_date IS NULL").withColumnRenamed("piece_date", "_none")),
                                                      F.col("piece_date").eqNullSafe(F.col("_none"))).drop("_none")
     facts = dated.unionByName(undated)
@@ -141,7 +150,9 @@ def pieces(spark: SparkSession, fact_path: str, view_path: str, start=None, end=
     out = None
     for level, a, b in cover(lo, hi, levels):
         if level == "facts":
-            rows = readers.read_fact(spark, fact_path, ["event_ts", "team", "product", "sentiment_label", "confidence_score", "event_date"])
+            rows = readers.read_fact(spark, fact_path)
+            if MONTH in rows.columns:
+                rows = rows.where((F.col(MONTH) >= F.trunc(F.lit(a.date()), "month")) & (F.col(MONTH) <= F.lit(b.date())))
             rows = rows.where((F.col("event_date") >= F.lit(a.date())) & (F.col("event_date") <= F.lit(b.date()))).where(
                 (F.col("event_ts") >= ntz(str(a))) & (F.col("event_ts") < ntz(str(b))))
             part = _partials(rows, bucket("event_ts", "hour").alias("piece"))

@@ -47,8 +47,8 @@ def refresh(spark: SparkSession, fact_path: str, view_path: str, lg_k: int = LG_
     days = spark.read.schema("piece_date date, made_of long").parquet(log).where("piece_date >= DATE'0001-01-01'")
     if not days.limit(1).count():
         return
-    facts = readers.read_fact(spark, fact_path, [*COLUMNS, "event_date"]).withColumnRenamed("event_date", "piece_date")
-    found = facts.join(F.broadcast(days.select("piece_date")), "piece_date").groupBy("piece_date").agg(
+    _, facts = rollups.of_days(readers.read_fact(spark, fact_path), days.select("piece_date"), [*COLUMNS])
+    found = facts.groupBy("piece_date").agg(
         *[F.hll_sketch_agg(_value(c), lg_k).alias(f"{c}_sketch") for c in COLUMNS], F.count(F.lit(1)).alias("rows"))
     out = days.join(found, "piece_date", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
     out.select(*[f"{c}_sketch" for c in COLUMNS], "rows", "made_of", "piece_date").repartition("piece_date").write.mode("overwrite").option(

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import readers, sinks
+from .schemas import DAY, MONTH
 
 #: Bits of the product's hash and of the time of day on the curve; they alternate, product first.
 PRODUCT_BITS, TIME_BITS = 16, 4
@@ -40,43 +41,56 @@ def write_clustered(df: DataFrame, path: str, mode: str = "append", files: int |
     ``products`` the distinct products a row group's Bloom filter is sized for.  ``replace_days`` overwrites the
     days that ``df`` has and leaves the others.
     """
-    order = ["event_date", "_curve"]
-    keyed = sinks.with_date(df).withColumn("_curve", curve_key())
+    keyed, folder = sinks.with_folder(sinks.with_date(df), path, anew=mode == "overwrite" and not replace_days)
+    if replace_days and folder == MONTH and sinks.folder_column(df.sparkSession, path):
+        keyed = sinks.with_other_days(keyed, path)
+    _write(keyed, folder, path, mode, files, row_group_bytes, products, replace_days)
+
+
+def _write(dated: DataFrame, folder: str, path: str, mode: str, files: int | None, row_group_bytes: int, products: int, replace: bool) -> None:
+    """``replace`` overwrites the folders that the rows are in and leaves the others."""
+    order = [DAY, "_curve"] if folder == DAY else [MONTH, DAY, "_curve"]
+    keyed = dated.withColumn("_curve", curve_key())
     dealt = keyed.repartitionByRange(files, *order) if files else keyed.repartitionByRange(*order)
-    w = (dealt.sortWithinPartitions(*order).drop("_curve").write.mode("overwrite" if replace_days else mode).partitionBy("event_date")
-         .options(**sinks.FACT_WRITE_OPTIONS).option("parquet.block.size", row_group_bytes).option("parquet.bloom.filter.enabled#product", "true")
+    w = (dealt.sortWithinPartitions(*order).drop("_curve").write.mode("overwrite" if replace else mode).partitionBy(folder)
+         .option("parquet.block.size", row_group_bytes).option("parquet.bloom.filter.enabled#product", "true")
          .option("parquet.bloom.filter.expected.ndv#product", products))
-    if replace_days:
+    if replace:
         w = w.option("partitionOverwriteMode", "dynamic")
     w.parquet(path)
 
 
 def files_per_day(spark: SparkSession, path: str) -> DataFrame:
-    """(event_date, files, bytes) of a fact table; reads no column of it."""
-    return _files_per_day(readers.read_fact(spark, path))
+    """(event_date, files, bytes) of a fact table; reads no column of it, unless its folders are months, whose days
+    share files."""
+    return _files_per(readers.read_fact(spark, path), DAY)
 
 
-def _files_per_day(facts: DataFrame) -> DataFrame:
-    files = facts.select("event_date", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"))
-    return files.groupBy("event_date", "file").agg(F.max("bytes").alias("bytes")).groupBy("event_date").agg(
+def _files_per(facts: DataFrame, folder: str) -> DataFrame:
+    files = facts.select(folder, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"))
+    return files.groupBy(folder, "file").agg(F.max("bytes").alias("bytes")).groupBy(folder).agg(
         F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
 
 
 def compact(spark: SparkSession, path: str, small_files: int = SMALL_FILES, files: int | None = None, row_group_bytes: int = ROW_GROUP_BYTES,
             products: int = 10_000) -> None:
-    """Rewrite the days that lie in ``small_files`` files or more, clustered, and leave the other days alone.
+    """Rewrite the days (months, if folders are months) that lie in ``small_files`` files or more, clustered, and leave
+    the others alone.
 
-    Only those days are opened.  The new files take the place of the old ones when the whole job commits, so
+    Only those are opened.  The new files take the place of the old ones when the whole job commits, so
     a task that is run again still finds its input.  Rows that are appended meanwhile to such a day
     would be lost: compaction takes turns with imports.
     """
     # The table's files are listed once, and opened once to be counted.
     facts = readers.read_fact(spark, path)
-    many = _files_per_day(facts).where(F.col("files") >= small_files).select("event_date").persist()
+    folder = MONTH if MONTH in facts.columns else DAY
+    many = _files_per(facts, folder).where(F.col("files") >= small_files).select(folder).persist()
     try:
         if many.count():
-            # One row per day of the table.
-            rows = facts.join(F.broadcast(many), "event_date", "left_semi")
-            write_clustered(rows, path, files=files, row_group_bytes=row_group_bytes, products=products, replace_days=True)
+            # One row per folder of the table.
+            rows = sinks.with_date(facts.join(F.broadcast(many), folder, "left_semi"))
+            if folder == MONTH:
+                rows = rows.withColumn(MONTH, F.trunc(DAY, "month"))
+            _write(rows, folder, path, "overwrite", files, row_group_bytes, products, replace=True)
     finally:
         many.unpersist()

@@ -54,6 +54,9 @@ FEEDBACK_SCHEMA = T.StructType([
 ])
 
 # The fact table: one scored row per feedback text.
+# Columns that name the folders of a fact table: the day of a row, or in a table of many days with few rows its month.
+DAY, MONTH = "event_date", "event_month"
+
 FACT_SCHEMA = T.StructType([
     T.StructField("id", T.LongType()),
     T.StructField("text", T.StringType()),

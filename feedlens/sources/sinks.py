@@ -1,7 +1,8 @@
 """Sinks S6, S7 and the ingest report S10.
 
 Writes are one job per batch (not one transaction per row).  The fact table is partitioned by
-``event_date`` so time-range queries prune whole directories.
+``event_date`` so time-range queries prune whole directories.  A table of many days with few rows each has a
+folder per month instead (``event_month``), its rows laid by day: it would be nothing but folders otherwise.
 """
 
 from __future__ import annotations
@@ -10,18 +11,16 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import metadata
-from .readers import CORRUPT, FILE
+from .readers import CORRUPT, FILE, read_fact
+from .schemas import DAY, MONTH
 
 FACT_COLUMNS = ["id", "text", "sentiment_label", "confidence_score", "event_ts", "team", "product",
                 "metadata"]
-#: Writer options of the fact table.  Below a ``file:`` path, a chmod is forked for every folder, file and checksum file
-#: made, most of the time of a day of few rows.  Pages carry checksums of their own, which ``readers.read_fact``
-#: verifies, so checksum files are left out there; other file systems are as they were.
-FACT_WRITE_OPTIONS = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true",
-                      "parquet.page.write-checksum.enabled": "true"}
+#: The first write of a table gives it a folder per month if it has more days than this, with fewer rows each on average.
+SPARSE_DAYS, SPARSE_ROWS = 1000, 1000
 
 
 def with_date(df: DataFrame) -> DataFrame:
@@ -32,17 +31,59 @@ def with_date(df: DataFrame) -> DataFrame:
     return out.withColumn("event_date", F.to_date("event_ts"))
 
 
-def _rebalanced(df: DataFrame) -> DataFrame:
-    """Cluster rows by date for few files per partition directory, while letting AQE split a hot
-    date over several writer tasks (a plain ``repartition(date)`` would give it one task)."""
-    return with_date(df).hint("rebalance", "event_date")
+def folder_column(spark: SparkSession, path: str) -> str | None:
+    """The column that names the folders of the table at ``path``; None if there is no table."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return None
+    found = fs.listStatusIterator(root)
+    while found.hasNext():
+        name = found.next().getPath().getName().split("=")[0]
+        if name in (DAY, MONTH):
+            return name
+    return DAY
+
+
+def with_folder(df: DataFrame, path: str, anew: bool = False) -> tuple[DataFrame, str]:
+    """Rows of ``with_date`` with the column that names their folders, and that column: the table's own, or if it is
+    written ``anew`` the one that suits the rows (one narrow pass)."""
+    folder = None if anew else folder_column(df.sparkSession, path)
+    if folder is None:
+        n = df.groupBy(DAY).count().agg(F.count(F.lit(1)).alias("days"), F.coalesce(F.sum("count"), F.lit(0)).alias("rows")).first()
+        folder = MONTH if n.days > SPARSE_DAYS and n.rows < n.days * SPARSE_ROWS else DAY
+    return (df.withColumn(MONTH, F.trunc(DAY, "month")) if folder == MONTH else df), folder
+
+
+def with_other_days(df: DataFrame, path: str) -> DataFrame:
+    """The rows, and those of the other days of their months in the table at ``path``, which has a folder per month."""
+    variant = "metadata" in df.columns and df.schema["metadata"].dataType.typeName() == "variant"
+    table = read_fact(df.sparkSession, path, variant=variant)
+    # One row per day and per month is broadcast.
+    days = df.select(F.col(DAY).alias("_day")).distinct()
+    months = df.select(F.col(MONTH).alias("_month")).distinct()
+    old = table.join(F.broadcast(months), F.col(MONTH).eqNullSafe(F.col("_month")), "left_semi").join(
+        F.broadcast(days), F.col(DAY).eqNullSafe(F.col("_day")), "left_anti")
+    return df.unionByName(old, allowMissingColumns=True)
+
+
+def _write_folders(df: DataFrame, folder: str, path: str, mode: str, dynamic: bool = False) -> None:
+    """Cluster rows by folder for few files in each, while letting AQE split a hot one over several
+    writer tasks (a plain ``repartition(folder)`` would give it one task)."""
+    dealt = df.hint("rebalance", folder)
+    if folder == MONTH:
+        dealt = dealt.sortWithinPartitions(MONTH, DAY)
+    w = dealt.write.mode(mode).partitionBy(folder)
+    if dynamic:
+        w = w.option("partitionOverwriteMode", "dynamic")
+    w.parquet(path)
 
 
 def write_results(df: DataFrame, path: str, mode: str = "append", dedupe_on: list[str] | None = None,
                   by_date: bool = True, variant: bool = False) -> None:
     """Append scored rows to the fact table (``mode='overwrite'`` is S7).
 
-    ``by_date=False`` writes plain files without a folder per day, for a table that is read whole.
+    ``by_date=False`` writes plain files without folders, for a table that is read whole.
 
     ``variant=True`` parses ``metadata`` once and stores it as a VARIANT (read it with ``read_fact(variant=True)``);
     text that is no JSON is stored as null.
@@ -54,17 +95,18 @@ def write_results(df: DataFrame, path: str, mode: str = "append", dedupe_on: lis
     if variant:
         df = metadata.parsed(df)
     if by_date:
-        _rebalanced(df).write.mode(mode).options(**FACT_WRITE_OPTIONS).partitionBy("event_date").parquet(path)
+        dated, folder = with_folder(with_date(df), path, anew=mode == "overwrite")
+        _write_folders(dated, folder, path, mode)
     else:
         with_date(df).write.mode(mode).parquet(path)
 
 
 def overwrite_results(df: DataFrame, path: str, dynamic: bool = False) -> None:
     """Truncate-and-reload; ``dynamic=True`` replaces only the dates present in ``df``."""
-    w = _rebalanced(df).write.mode("overwrite").options(**FACT_WRITE_OPTIONS).partitionBy("event_date")
-    if dynamic:
-        w = w.option("partitionOverwriteMode", "dynamic")
-    w.parquet(path)
+    dated, folder = with_folder(with_date(df), path, anew=not dynamic)
+    if dynamic and folder == MONTH and folder_column(df.sparkSession, path):
+        dated = with_other_days(dated, path)
+    _write_folders(dated, folder, path, "overwrite", dynamic)
 
 
 def ingest_report(raw: DataFrame, valid: Column) -> DataFrame:

@@ -112,6 +112,22 @@ def test_incremental_series(spark):
     assert RU.refresh(spark, facts, view).count() == 0
 
 
+def test_incremental_series_of_a_table_by_month(spark, monkeypatch):
+    monkeypatch.setattr(SK, "SPARSE_DAYS", 10)
+    base = scratch_path(spark, "t-rollup-months")
+    facts, view = f"{base}/facts", f"{base}/view"
+    SK.write_results(spark.createDataFrame(_rows(600, 100), SCHEMA).union(spark.createDataFrame(_rows(5, 1, 9, 9000), SCHEMA).withColumn(
+        "event_ts", F.lit(None).cast("timestamp_ntz"))), facts)
+    assert "event_month" in RD.read_fact(spark, facts).columns
+    RU.refresh(spark, facts, view)
+    _same_series(spark, facts, view)
+    SK.write_results(spark.createDataFrame([(10_000, "late", "joy", 0.5, dt.datetime(2024, 2, 4, 3, 30), "a", "P1")], SCHEMA), facts)
+    assert [str(r.piece_date) for r in RU.refresh(spark, facts, view).collect()] == ["2024-02-04"]
+    for start, end in ((None, None), ("2024-01-03 10:30:00", "2024-02-27 05:15:30"), ("2024-02-04 03:10:00", "2024-02-04 03:50:00")):
+        _same_series(spark, facts, view, start, end)
+    assert RU.refresh(spark, facts, view).count() == 0
+
+
 @pytest.mark.parametrize("start,end", [((2024, 1, 3, 10, 30), (2024, 2, 20, 5, 15)), ((2024, 1, 1), (2024, 1, 8)), ((2024, 1, 1, 5, 1), (2024, 1, 1, 5, 2)),
                                        ((2024, 1, 2), (2024, 1, 2))])
 def test_cover(start, end):
